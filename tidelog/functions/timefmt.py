@@ -37,7 +37,6 @@ DEFAULT_DATE_FORMATS = (
     "MMM d yyyy HH:mm:ss",
     "MM/dd/yyyy hh:mm a",
     "dd MMM yyyy HH:mm:ss",
-    "EEE MMM d HH:mm:ss yyyy",
     "yyyy-MM-dd",
 )
 
@@ -52,9 +51,9 @@ def detect_epoch(c: Column) -> Column:
 
 def wire_to_timestamp(wire: Column) -> Column:
     """``'1545407742.757'`` -> TIMESTAMP (fraction truncated to microseconds)."""
-    secs = F.try_cast(F.split_part(wire, F.lit("."), F.lit(1)), "bigint")
+    secs = F.split_part(wire, F.lit("."), F.lit(1)).try_cast("bigint")
     frac = F.split_part(wire, F.lit("."), F.lit(2))
-    micros = F.try_cast(F.rpad(F.substring(frac, 1, 6), 6, "0"), "bigint")
+    micros = F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("bigint")
     return F.timestamp_micros(secs * F.lit(1_000_000) + F.coalesce(micros, F.lit(0)))
 
 
@@ -70,7 +69,7 @@ def timestamp_to_wire(ts: Column) -> Column:
 def epoch_seconds(c: Column) -> Column:
     """Integer epoch seconds of a time value: text cut at ``.``, numbers truncated,
     timestamps to seconds; NULL when not numeric (the reference raises)."""
-    return F.try_cast(F.trim(F.split_part(c.cast("string"), F.lit("."), F.lit(1))), "bigint")
+    return F.trim(F.split_part(c.cast("string"), F.lit("."), F.lit(1))).try_cast("bigint")
 
 
 def ts_epoch_seconds(ts: Column) -> Column:
@@ -119,17 +118,21 @@ def parse_date(c: Column, formats=DEFAULT_DATE_FORMATS, zones: dict[str, str] |
     return F.date_trunc("second", F.to_utc_timestamp(wall, zone))
 
 
-def field_time(fields: Column, parse_time: str | None, **date_opts) -> tuple[Column, Column]:
-    """Time of one record from ``fields[parse_time]``.
+def with_field_time(df, parse_time: str | None, fields_col: str = "fields", **date_opts):
+    """Add ``time_wire`` and ``event_time`` from ``fields[parse_time]``.
 
-    Returns ``(time_wire, event_time)``; both NULL when the field is missing or
-    empty.  An epoch found at the start wins; otherwise the date parser."""
+    Both are NULL when the field is missing or empty.  An epoch found at the
+    start wins; only otherwise is the date parser run.  Each stage is its own
+    projection so the generated code stays small and nothing is computed twice.
+    """
     if not parse_time:
-        return F.lit(None).cast("string"), F.lit(None).cast("timestamp")
-    v = F.element_at(fields, F.lit(parse_time))
-    v = F.when(F.length(v) > 0, v)
-    ep = detect_epoch(v)
-    parsed = parse_date(v, **date_opts)
-    wire = F.coalesce(ep, timestamp_to_wire(parsed))
-    t = F.when(ep.isNotNull(), wire_to_timestamp(ep)).otherwise(parsed)
-    return wire, t
+        return df.withColumn("time_wire", F.lit(None).cast("string")) \
+                 .withColumn("event_time", F.lit(None).cast("timestamp"))
+    v, ep, pd_ = "__tl_tv", "__tl_tep", "__tl_tpd"
+    d = df.withColumn(v, F.element_at(F.col(fields_col), F.lit(parse_time)))
+    d = d.withColumn(v, F.when(F.length(F.col(v)) > 0, F.col(v)))
+    d = d.withColumn(ep, detect_epoch(F.col(v)))
+    d = d.withColumn(pd_, F.when(F.col(ep).isNull() & F.col(v).isNotNull(), parse_date(F.col(v), **date_opts)))
+    d = d.withColumn("time_wire", F.coalesce(F.col(ep), timestamp_to_wire(F.col(pd_))))
+    d = d.withColumn("event_time", F.when(F.col(ep).isNotNull(), wire_to_timestamp(F.col(ep))).otherwise(F.col(pd_)))
+    return d.drop(v, ep, pd_)
