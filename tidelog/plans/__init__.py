@@ -1,6 +1,6 @@
 """Registered queries over the driver tables (one per operator group)."""
 
-from . import q_delivery, q_fields, q_json, q_routes, q_time  # noqa: F401  (register queries)
+from . import q_delivery, q_fields, q_files, q_json, q_packets, q_routes, q_time  # noqa: F401  (register queries)
 from .registry import REGISTRY, Query, query
 
 __all__ = ["REGISTRY", "Query", "query"]
