@@ -15,26 +15,40 @@ def member_path(key: str) -> str:
     return "$['" + key.replace("'", "\\'") + "']"
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row, however often ``fn``
+    uses it (a one-element ``transform``: the lambda variable holds the value).
+    Catalyst would otherwise copy a large expression into every use, including
+    a filter pushed below the projection that defined it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def strict_parse_json(c: Column) -> Column:
     """Decode a stripped string as one JSON value; NULL when blank or invalid.
 
     ``try_parse_json`` alone accepts trailing junk (``{"a":1} junk``), so a
     value is accepted only if it is valid inside ``[...]`` with exactly one
     element *and* as the value of ``{"v": ...}``.  Duplicate keys and ``NaN``
-    stay rejects (Python would take them).
+    stay rejects (Python would take them).  Each parse runs once per row.
     """
-    s = py_strip(c)
-    as_arr = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    as_obj = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    ok = (as_arr.isNotNull() & F.try_variant_get(as_arr, "$[0]", "variant").isNotNull()
-          & F.try_variant_get(as_arr, "$[1]", "variant").isNull() & as_obj.isNotNull())
-    return F.when(ok & (F.length(s) > 0), F.try_variant_get(as_arr, "$[0]", "variant"))
+    def check(s):
+        parsed = F.struct(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).alias("a"),
+                          F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).alias("o"))
+
+        def decide(p):
+            a = p["a"]
+            first = F.try_variant_get(a, "$[0]", "variant")
+            ok = (a.isNotNull() & first.isNotNull() & F.try_variant_get(a, "$[1]", "variant").isNull()
+                  & p["o"].isNotNull())
+            return F.when(ok, first)
+        return F.when(F.length(s) > 0, bind(parsed, decide))
+    return bind(py_strip(c), check)
 
 
 def json_status(c: Column) -> Column:
     """'blank' (nothing after strip), 'invalid' or 'ok'."""
-    s = py_strip(c)
-    return (F.when(c.isNull() | (F.length(s) == 0), F.lit("blank"))
+    blank = F.coalesce(F.length(py_strip(c)) == 0, F.lit(True))
+    return (F.when(blank, F.lit("blank"))
             .when(strict_parse_json(c).isNull(), F.lit("invalid"))
             .otherwise(F.lit("ok")))
 
@@ -55,3 +69,13 @@ def has_member(v: Column, key: str) -> Column:
 
 def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def is_object_with(v: Column, *keys: str) -> Column:
+    """The value is an object holding every member in ``keys`` (``v`` evaluated once)."""
+    def test(x):
+        cond = is_object(x)
+        for k in keys:
+            cond = cond & has_member(x, k)
+        return cond
+    return F.coalesce(bind(v, test), F.lit(False))

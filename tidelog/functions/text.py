@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 # U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
 PY_SPACE_CLASS = ("[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                   "\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_STRIP_RX = "^" + PY_SPACE_CLASS + "+|" + PY_SPACE_CLASS + "+$"
+# The same code points as a plain character set, for btrim.
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
 
 # The universal newline split used by text files.
 LINE_BREAK_RX = "\r\n|\r|\n"
@@ -22,8 +24,9 @@ MASK_PREFIX = "xxxxxxxx-xxxx-xxxx-xxxx-xxxxxxxx"
 
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()`` with Python's whitespace set (``trim`` strips spaces only)."""
-    return F.regexp_replace(c, _STRIP_RX, "")
+    """``str.strip()`` with Python's whitespace set (``trim`` strips spaces
+    only).  ``btrim`` with a character set looks at the two ends only."""
+    return F.btrim(c, F.lit(PY_SPACE_CHARS))
 
 
 def split_lines(c: Column) -> Column:
