@@ -74,3 +74,27 @@ def test_stream_equals_batch(spark):
         a = sorted(tuple(r) for r in q[s_name](spark, sf).collect())
         b = sorted(tuple(r) for r in q[b_name](spark, sf).collect())
         assert a == b, s_name
+
+
+def test_read_packets_from_capture_file(spark, tmpdir_path):
+    from tidelog.sources.text import read_packets
+    p = os.path.join(tmpdir_path, "cap.json")
+    rec = {"timestamp": "1", "layers": {"ip": {"ip_ip_src": "10.0.0.1", "text_ip_note": "x"}}}
+    with open(p, "wb") as fh:
+        fh.write(b'{"index": {"_index": "packets"}}\n' + json.dumps(rec).encode() + b"\n\xff\n")
+    got = [json.loads(r["event"]) for r in read_packets(spark, p).collect()]
+    assert got == [{"ip": {"src": "10.0.0.1", "text_ip": {"note": "x"}}, "timestamp": "1"}]
+
+
+def test_collector_sink_requeues(spark, tmpdir_path):
+    from tidelog.sinks import CollectorSink, write_json_lines
+    b = spark.createDataFrame([("e", "t", "ok-batch", "main"), ("e", "t", "bad-batch", "web")],
+                              "endpoint string, token string, batch string, index string")
+    sink = CollectorSink(lambda e, t, body: (500, "") if body.startswith("bad") else (200, ""),
+                         os.path.join(tmpdir_path, "retry"))
+    sink(b, 7)
+    r = spark.read.parquet(os.path.join(tmpdir_path, "retry")).collect()
+    assert [(x["batch"], x["batch_id"], x["outcome"]) for x in r] == [("bad-batch", 7, "server_error")]
+    write_json_lines(b, os.path.join(tmpdir_path, "out"), column="batch", partition_by=["index"])
+    assert sorted(x[0] for x in spark.read.text(os.path.join(tmpdir_path, "out")).collect()) == ["bad-batch",
+                                                                                                  "ok-batch"]
