@@ -45,6 +45,15 @@ def strict_parse_json(c: Column) -> Column:
     return bind(py_strip(c), check)
 
 
+def is_strict_json(c: Column) -> Column:
+    """The same acceptance as ``strict_parse_json`` as a plain predicate: each
+    parse appears once and no lambda is involved, so it is cheap in a filter."""
+    s = py_strip(c)
+    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
+    obj = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+    return F.coalesce((F.size(arr) == 1) & obj.isNotNull() & (F.length(s) > 0), F.lit(False))
+
+
 def json_status(c: Column) -> Column:
     """'blank' (nothing after strip), 'invalid' or 'ok'."""
     blank = F.coalesce(F.length(py_strip(c)) == 0, F.lit(True))
