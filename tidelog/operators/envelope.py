@@ -4,15 +4,16 @@
 all rows.  A plain ``last(ignorenulls).over(partitionBy(source).orderBy(seq))``
 puts a whole source into one window task.  Instead:
 
-1. rows are cut into chunks ``floor(seq / width)`` and filled *inside* each
-   (source, chunk) by a window (bounded work per window partition);
-2. each chunk reports its last non-null value (``max_by``, partial aggregation
-   on the same partitioning, no new shuffle);
+1. rows are cut into chunks ``floor(seq / width)``;
+2. each chunk reports its last non-null value (``max_by``, partially
+   aggregated before its shuffle, so the report costs one small row per task
+   and chunk);
 3. the value entering a chunk is the last report of an earlier chunk: an as-of
    lookup solved by the same procedure on the (much smaller) report table,
    recursively, until it is small enough for a plain window;
-4. chunk rows take ``coalesce(local fill, carried in)`` through an equi-join on
-   (source, chunk).
+4. the entering value is added to its chunk as a *seed* row ordered first, and
+   one window over (source, chunk) fills every row: the big rows are shuffled
+   and sorted once, with bounded work per window partition, and no join.
 
 The result equals the plain window exactly; ``seq`` must be an integer order
 key unique within a source.
@@ -44,20 +45,29 @@ def carry_forward(df: DataFrame, value_col: str, by: str, order: str, out_col: s
     if levels <= 0:
         w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out_col, F.last(F.col(value_col), ignorenulls=True).over(w))
-    ch, loc, cin, o2, v2 = (_P + s + str(levels) for s in ("ch", "loc", "cin", "o2", "v2"))
+    ch, seed, cin, o2, v2 = (_P + s + str(levels) for s in ("ch", "seed", "cin", "o2", "v2"))
     d = df.withColumn(ch, F.floor(F.col(order) / F.lit(width)).cast("long"))
-    wl = Window.partitionBy(by, ch).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn(loc, F.last(F.col(value_col), ignorenulls=True).over(wl))
     report = d.groupBy(by, ch).agg(
         F.max_by(F.col(value_col), F.when(F.col(value_col).isNotNull(), F.col(order))).alias(v2))
     # As-of lookup: report rows sit at 2c+1, query rows at 2c; the carried value
     # at a query row is the last report of a chunk strictly before c.
-    lookup = (report.where(F.col(v2).isNotNull()).select(by, (F.col(ch) * 2 + 1).alias(o2), F.col(v2))
-              .unionByName(report.select(by, (F.col(ch) * 2).alias(o2), F.lit(None).cast(report.schema[v2].dataType).alias(v2))))
+    # Both rows come from one report row (one consumer of the report, so its
+    # input is not derived twice).
+    vtype = report.schema[v2].dataType
+    pair = F.array(F.struct((F.col(ch) * 2 + 1).alias("o"), F.col(v2).alias("v")),
+                   F.struct((F.col(ch) * 2).alias("o"), F.lit(None).cast(vtype).alias("v")))
+    lookup = report.select(by, F.inline(pair)).select(by, F.col("o").alias(o2), F.col("v").alias(v2)) \
+        .where((F.col(o2) % 2 == 0) | F.col(v2).isNotNull())
     lookup = carry_forward(lookup, v2, by, o2, out_col=v2, width=width, levels=levels - 1)
-    carried = lookup.where(F.col(o2) % 2 == 0).select(by, (F.col(o2) / 2).cast("long").alias(ch), F.col(v2).alias(cin))
-    d = d.join(carried, [by, ch], "left")
-    return d.withColumn(out_col, F.coalesce(F.col(loc), F.col(cin))).drop(ch, loc, cin)
+    seeds = lookup.where((F.col(o2) % 2 == 0) & F.col(v2).isNotNull()).select(
+        by, (F.col(o2) / 2).cast("long").alias(ch), F.col(v2).alias(cin), F.lit(True).alias(seed))
+    rows = d.withColumn(seed, F.lit(False)).withColumn(cin, F.lit(None).cast(vtype))
+    u = rows.unionByName(seeds, allowMissingColumns=True)
+    fill = F.coalesce(F.col(value_col), F.col(cin))
+    w = Window.partitionBy(by, ch).orderBy(F.col(seed).desc(), F.col(order)) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn(out_col, F.last(fill, ignorenulls=True).over(w))
+    return u.where(~F.col(seed)).drop(ch, seed, cin)
 
 
 def carry_time(df: DataFrame, by: str = "source", order: str = "seq", width: int = DEFAULT_CHUNK) -> DataFrame:
