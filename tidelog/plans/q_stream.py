@@ -62,7 +62,9 @@ def stream_lines(spark, sf_dir):
                  py_strip(parts[2]).alias("line"))
     s = s.where(~is_blank(F.col("line")))
     drain(write_parquet(s, base + "/out", base + "/ckpt"))
-    return spark.read.parquet(base + "/out")
+    parts = F.split(F.col("event_text"), "\t", 2)
+    return spark.read.parquet(base + "/out").select(parts[0].cast("bigint").alias("doc_id"),
+                                                    parts[1].alias("line"))
 
 
 @query("stream_carry", "O24(stream) O81 O82", oracle=REGISTRY["carry_time"].oracle)
@@ -99,3 +101,51 @@ def stream_throttle_q(spark, sf_dir):
     drain(write_parquet(s, base + "/out", base + "/ckpt"))
     return spark.read.parquet(base + "/out").select("event_id", "tag", "kept")
 
+
+
+def _local(path: str) -> str:
+    return path[5:] if path.startswith("file:") and not path.startswith("file://") else \
+        (path[7:] if path.startswith("file://") else path)
+
+
+@query("json_lines_files", "O01 O03 O30", oracle=r"""
+SELECT event_id, json_extract_string(props, '$.k') AS k
+FROM events
+WHERE event_type <> 'error'
+""")
+def json_lines_files(spark, sf_dir):
+    """Events landed as JSON-lines files (error rows cut, so invalid), read
+    back with the line source and strict JSON decoding; rejects are dropped."""
+    from ..sources.text import read_json_lines
+    from .tables import table
+    base = _scratch(spark)
+    ev = table(spark, sf_dir, "events")
+    body = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("props"),
+                    F.lit("}"))
+    line = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, 3)")).otherwise(body)
+    ev.select(line.alias("value")).write.text(base + "/in")
+    ok, _rejects = read_json_lines(spark, base + "/in")
+    return ok.select(F.variant_get("event_json", "$.id", "bigint").alias("event_id"),
+                     F.variant_get("event_json", "$.props.k", "string").alias("k"))
+
+
+@query("growing_lines", "O02 O81", oracle=r"""
+SELECT doc_id, line FROM (
+  SELECT doc_id, t.raw AS line
+  FROM documents, unnest(string_split_regex(text, '\r\n|\r|\n')) AS t(raw))
+""")
+def growing_lines(spark, sf_dir):
+    """Document lines landed as files and read by the growing-file source
+    (byte offsets as the stream offset) in a one-shot drain."""
+    from ..streaming.growing import stream_growing_lines
+    from .tables import table
+    base = _scratch(spark)
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.explode(split_lines(F.col("text"))).alias("raw"))
+    lines = lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("raw")).alias("value"))
+    lines.write.text(base + "/in")
+    s = stream_growing_lines(spark, _local(base) + "/in/*.txt")
+    drain(write_parquet(s, base + "/out", base + "/ckpt"))
+    parts = F.split(F.col("event_text"), "\t", 2)
+    return spark.read.parquet(base + "/out").select(parts[0].cast("bigint").alias("doc_id"),
+                                                    parts[1].alias("line"))
