@@ -95,17 +95,33 @@ def test_throttle_every_second_kept(spark):
 def test_throttle_against_spec(spark):
     rng = random.Random(9)
     rows = []
-    for tag in ["a", "b", "c|x"]:
+    for tag in ["a", "b", "c|x", "hot"]:
         t = 0.0
-        for i in range(rng.randint(1, 200)):
+        for i in range(rng.randint(1, 200) if tag != "hot" else 1500):
             t += rng.choice([0.0, 0.05, 0.3, 1.0, 2.5])
             rows.append((tag, round(t, 6), i, rng.random() < 0.1))
     df = spark.createDataFrame(rows, "tag string, ts double, i long, failed boolean")
-    for failed in (None, "failed"):
-        got = {(r["tag"], r["i"]): r["kept"] for r in throttle(df, "tag", "ts", 1.0, ["i"], failed_col=failed).collect()}
-        for tag in ["a", "b", "c|x"]:
+    for failed, parts in ((None, 8), ("failed", 8), ("failed", 23)):
+        got = {(r["tag"], r["i"]): r["kept"]
+               for r in throttle(df, "tag", "ts", 1.0, ["i"], failed_col=failed, partitions=parts).collect()}
+        for tag in ["a", "b", "c|x", "hot"]:
             mine = sorted((t, i, f) for g, t, i, f in rows if g == tag)
             exp = throttle_sequential([t for t, _, _ in mine], 1.0, [f for _, _, f in mine] if failed else None)
             assert [got[(tag, i)] for _, i, _ in mine] == exp
     r = spark.range(1).select(message_tag(F.lit("test-%s"), F.lit("two"))).first()[0]
     assert r == "test-%s|two"
+
+
+def test_throttle_chunk_steps_equal_sequential():
+    from tidelog.operators.throttle import chunk_report, mark_kept, walk_reports
+    rng = random.Random(4)
+    for _ in range(2000):
+        n, lim = rng.randint(1, 50), rng.choice([0, 1, 3, 10])
+        t = sorted(rng.choice(range(80)) for _ in range(n))
+        f = [rng.random() < 0.2 for _ in range(n)]
+        cuts = sorted(rng.sample(range(1, n), rng.randint(0, min(5, n - 1)))) if n > 1 else []
+        b = [0] + cuts + [n]
+        chunks = [(np.array(t[x:y], dtype=np.int64), np.array(f[x:y], dtype=bool)) for x, y in zip(b, b[1:])]
+        res = walk_reports([chunk_report(tt, ff, lim) for tt, ff in chunks], lim)
+        got = np.concatenate([mark_kept(tt, ff, s, lim) for (tt, ff), (s, _) in zip(chunks, res)])
+        assert list(got) == throttle_sequential(t, lim, f)

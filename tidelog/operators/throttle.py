@@ -2,10 +2,27 @@
 
 Per tag an event is kept when at least ``limit`` seconds passed since the last
 *kept* event (``>=``); the first is kept; a kept event whose processing failed
-does not start the clock.  Greedy, so it is an ordered scan
-(``sequential.ordered_scan``); inside a batch the scan jumps from kept event to
-kept event with a binary search, so the cost follows the number of kept
-events, not of rows.
+does not start the clock.
+
+The rule is greedy, and one tag may hold a third of all rows, so it runs
+exactly and in parallel in three steps (as the packing does):
+
+1. **Chunks.** ``repartitionByRange(tag, time)`` cuts every tag, a hot one
+   into many, into bounded runs; a chunk is (tag, range partition).  The
+   chunked input is checkpointed (reliably, lazily) so both passes below see
+   the same chunks.
+2. **Chunk scan** (per chunk).  From a successful kept event ``i`` the next
+   one is found by binary search, so the clock at the chunk end is known for
+   every start (a reverse pass).  An entering clock ``L`` is older than the
+   chunk's first time ``t0``, so the first kept event of the chunk is one of
+   the events before ``t0 + limit`` (or the one after): the chunk reports only
+   those candidates with their end clocks.
+3. **Walk and assign.**  Per tag, a walk over the small chunk reports fixes
+   the entering clock of each chunk; a second per-chunk pass marks the kept
+   events.  Equal to the sequential rule (tested against it).
+
+``throttle_scan`` keeps the single ordered scan (``sequential.ordered_scan``)
+for comparison.
 """
 
 from __future__ import annotations
@@ -16,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .sequential import ordered_scan
 
 _T = "__tl_thr_t"
@@ -62,8 +80,8 @@ def _step(limit: float, failed_col: str | None):
     return step
 
 
-def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, order_cols: list[str] | None = None,
-             failed_col: str | None = None, tag_col: str = "tag") -> DataFrame:
+def throttle_scan(df: DataFrame, tag: Column | str, time_col: str, limit: float, order_cols: list[str] | None = None,
+                  failed_col: str | None = None, tag_col: str = "tag") -> DataFrame:
     """Add ``kept BOOLEAN``.  ``time_col`` is a TIMESTAMP or epoch seconds;
     ``order_cols`` break ties of equal times (default: the time only).  Times
     are compared as integer microseconds, so the ``>=`` boundary is exact."""
@@ -79,3 +97,129 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
 def message_tag(*parts: Column | str) -> Column:
     """The tag of a message throttle: its template parts joined by ``|``."""
     return F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+# --- exact parallel form ----------------------------------------------------
+
+_NONE = -(1 << 62)          # "no clock yet" / "clock unchanged" marker
+
+
+def chunk_tables(t: np.ndarray, failed: np.ndarray, limit: int):
+    """Per chunk (times sorted): next successful index from each position,
+    and the end clock for a successful kept event at each position."""
+    n = len(t)
+    nextok = np.full(n + 1, n, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        nextok[i] = i if not failed[i] else nextok[i + 1]
+    jump = np.searchsorted(t, t + limit, side="left")   # first index with t >= t_i + limit
+    jump = np.maximum(jump, np.arange(n) + 1)
+    end = np.empty(n, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        j = jump[i]
+        k = nextok[j] if j < n else n
+        end[i] = t[i] if k >= n else end[k]
+    return nextok, jump, end
+
+
+def chunk_report(t: np.ndarray, failed: np.ndarray, limit: int):
+    """Candidates an entering clock can lead to: thresholds ``t[:k]`` and, for
+    each start 0..k, the end clock (``_NONE`` = the entering clock stays)."""
+    n = len(t)
+    nextok, _, end = chunk_tables(t, failed, limit)
+    k = int(np.searchsorted(t, t[0] + limit, side="left")) if n else 0
+    exits = []
+    for s in range(k + 1):
+        if s >= n:
+            exits.append(_NONE)
+        else:
+            q = nextok[s]
+            exits.append(int(end[q]) if q < n else _NONE)
+    return t[:k].tolist(), exits
+
+
+def walk_reports(reports, limit: int) -> list[tuple[int, int]]:
+    """Per tag, chunks in order: ``(start index, entering clock)`` per chunk."""
+    clock, out = _NONE, []
+    for cand_t, exits in reports:
+        s = 0 if clock == _NONE else int(np.searchsorted(np.asarray(cand_t, dtype=np.int64), clock + limit,
+                                                          side="left"))
+        out.append((s, clock))
+        ex = exits[s]
+        if ex != _NONE:
+            clock = ex
+    return out
+
+
+def mark_kept(t: np.ndarray, failed: np.ndarray, start: int, limit: int) -> np.ndarray:
+    """Kept flags of one chunk given the first index the entering clock allows."""
+    n = len(t)
+    kept = np.zeros(n, dtype=bool)
+    i = start
+    while i < n:
+        kept[i] = True
+        if failed[i]:
+            i += 1                      # clock unchanged: the next event passes too
+            continue
+        i = max(i + 1, int(np.searchsorted(t, t[i] + limit, side="left")))
+    return kept
+
+
+def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, order_cols: list[str] | None = None,
+             failed_col: str | None = None, tag_col: str = "tag", partitions: int | None = None) -> DataFrame:
+    """Add ``kept BOOLEAN`` (see module doc).  ``time_col`` is a TIMESTAMP or
+    epoch seconds; ``order_cols`` break ties of equal times.  Times are compared
+    as integer microseconds, so the ``>=`` boundary is exact."""
+    order_cols = list(order_cols or [])
+    tcol = F.col(time_col)
+    micros = F.unix_micros(tcol.cast("timestamp")) if dict(df.dtypes)[time_col].startswith("timestamp") \
+        else (tcol.cast("decimal(20,6)") * F.lit(1_000_000)).cast("long")
+    lim = int(round(limit * 1_000_000))
+    fcol = "__tl_thr_f"
+    d = df.withColumn(tag_col, tag if isinstance(tag, Column) else F.col(tag)).withColumn(_T, micros) \
+        .withColumn(fcol, F.coalesce(F.col(failed_col), F.lit(False)) if failed_col else F.lit(False))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ch = "__tl_thr_c"
+    # The range bounds come from a sample; both passes must see the same chunks,
+    # so the chunked input is one RDD: a reliable (not local) lazy checkpoint in
+    # the session's checkpoint directory, which also cuts the lineage.
+    ensure_checkpoint_dir(df.sparkSession)
+    d = d.repartitionByRange(parts, tag_col, _T, *order_cols).withColumn(ch, F.spark_partition_id()) \
+        .checkpoint(eager=False)
+    keys = [tag_col, ch]
+    sort_cols = [_T] + order_cols
+
+    rep_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
+                               T.StructField("cand_t", T.ArrayType(T.LongType())),
+                               T.StructField("exits", T.ArrayType(T.LongType()))])
+
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(sort_cols, kind="stable")
+        cand_t, exits = chunk_report(pdf[_T].to_numpy(dtype=np.int64), pdf[fcol].to_numpy(dtype=bool), lim)
+        return pd.DataFrame([{tag_col: pdf[tag_col].iloc[0], ch: int(pdf[ch].iloc[0]), "cand_t": cand_t,
+                              "exits": exits}])
+
+    reports = d.select(*keys, _T, fcol, *order_cols).groupBy(*keys).applyInPandas(report, rep_schema)
+    entry_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
+                                 T.StructField("start", T.LongType())])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ch, kind="stable")
+        res = walk_reports(zip(pdf["cand_t"], pdf["exits"]), lim)
+        out = pdf[keys].copy()
+        out["start"] = [r[0] for r in res]
+        return out
+
+    entries = reports.groupBy(tag_col).applyInPandas(walk, entry_schema)
+    out_schema = T.StructType([f for f in d.schema.fields if f.name not in (_T, fcol, ch)]
+                              + [T.StructField("kept", T.BooleanType())])
+    names = out_schema.names
+
+    def assign(pdf: pd.DataFrame, epdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values(sort_cols, kind="stable").reset_index(drop=True)
+        start = int(epdf["start"].iloc[0]) if not epdf.empty else 0
+        pdf["kept"] = mark_kept(pdf[_T].to_numpy(dtype=np.int64), pdf[fcol].to_numpy(dtype=bool), start, lim)
+        return pdf[names]
+
+    return d.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(assign, out_schema)
