@@ -6,18 +6,21 @@ large for that goes alone.  Greedy means sequential, and one delivery group
 may hold a third of all rows, so the packing is computed in parallel and
 *exactly* in three steps:
 
-1. **Chunk scan** (``applyInPandas`` per (group, chunk); a chunk is a bounded
+1. **Chunk scan** (per (group, chunk); a chunk is a bounded
    run of consecutive items given by the caller, e.g. ``floor(seq / W)``).
    With ``Q[k] = sum(size[:k]) + k*len(sep)``, a fresh batch starting at item
    ``i`` ends before ``next(i)`` (one ``searchsorted``).  A reverse pass gives,
    for every start ``i``, the state at the chunk end (bytes of the open batch)
    and the number of batches started.  Only the starts an incoming open batch
    can lead to matter: the first ``K`` items with ``Q[k]-Q[0] < max``.
-2. **Chunk walk** (``applyInPandas`` per group over the chunk summaries only,
+2. **Chunk walk** (per group over the chunk summaries only,
    K+1 numbers per chunk): the open batch entering each chunk, how many leading
    items join it, and the first batch number of the chunk.
-3. **Assign** (``applyInPandas`` per (group, chunk) again, co-grouped with the
-   walk result): batch numbers per item.
+3. **Assign** (per (group, chunk) again, joined with the walk result): batch
+   numbers per item.
+
+Each pass is one ``mapInPandas`` per partition over sorted runs of equal keys
+(chunks are many and small; a Python call per group would dominate).
 
 Batch numbers are equal to a sequential run over the whole group; nothing
 larger than one chunk is ever in one Python worker.
@@ -31,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequential import key_segments
+
 # The collector batch limit and the two separators.
 DEFAULT_MAX_BYTES = 102_400
 COLLECTOR_SEP = " "
@@ -130,45 +135,50 @@ def pack_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], si
     keep chunks bounded (e.g. ``floor(seq / 65536)``)."""
     sep_len = len(sep.encode("utf-8"))
     keys = list(group_cols) + [chunk_col]
-    items = df.withColumn(_S, F.col(size_col).cast("long"))
+    order_only = [c for c in order_cols if c not in keys]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Chunks are many and small: each pass is one mapInPandas per partition over
+    # runs of equal keys (sorted), not a Python call per group.
+    items = df.withColumn(_S, F.col(size_col).cast("long")).repartition(parts, *keys) \
+        .sortWithinPartitions(*keys, *order_only)
     key_schema = [items.schema[k] for k in keys]
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols, kind="stable")
-        sizes = pdf[_S].to_numpy(dtype=np.int64)
-        n, qlead, endv, cntv = chunk_summary(sizes, max_bytes, sep_len)
-        row = {c: pdf[c].iloc[0] for c in keys}
-        row.update(n=n, qlead=qlead, end=endv, cnt=cntv)
-        return pd.DataFrame([row])
-
     sum_schema = T.StructType(key_schema + list(SUMMARY_SCHEMA.fields))
-    summary = items.groupBy(*keys).applyInPandas(scan, sum_schema)
 
+    def scan(it):
+        rows = []
+        for seg in key_segments(it, keys):
+            n, qlead, endv, cntv = chunk_summary(seg[_S].to_numpy(dtype=np.int64), max_bytes, sep_len)
+            rows.append([seg[c].iloc[0] for c in keys] + [n, qlead, endv, cntv])
+        if rows:
+            yield pd.DataFrame(rows, columns=sum_schema.names)
+
+    summary = items.select(*keys, *order_only, _S).mapInPandas(scan, sum_schema)
     walk_schema = T.StructType(key_schema + [T.StructField("join_n", T.LongType()),
                                              T.StructField("base_id", T.LongType())])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(chunk_col, kind="stable")
-        res = walk_chunks(zip(pdf["n"], pdf["qlead"], pdf["end"], pdf["cnt"]), max_bytes)
-        out = pdf[keys].copy()
-        out["join_n"] = [r[0] for r in res]
-        out["base_id"] = [r[1] for r in res]
-        return out
-
-    entry = summary.groupBy(*group_cols).applyInPandas(walk, walk_schema)
-
-    out_schema = T.StructType([f for f in items.schema.fields if f.name != _S] + [T.StructField(out_col, T.LongType())])
-
-    def assign(pdf: pd.DataFrame, epdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=[f.name for f in out_schema.fields])
-        pdf = pdf.sort_values(order_cols, kind="stable").reset_index(drop=True)
-        sizes = pdf[_S].to_numpy(dtype=np.int64)
-        ids = assign_chunk(sizes, int(epdf["join_n"].iloc[0]), int(epdf["base_id"].iloc[0]), max_bytes, sep_len)
-        pdf[out_col] = ids
-        return pdf.drop(columns=[_S])
-
-    return items.groupBy(*keys).cogroup(entry.groupBy(*keys)).applyInPandas(assign, out_schema)
+    def walk(it):
+        rows = []
+        for seg in key_segments(it, list(group_cols)):
+            res = walk_chunks(zip(seg["n"], seg["qlead"], seg["end"], seg["cnt"]), max_bytes)
+            for r, (t, b) in enumerate(res):
+                rows.append([seg[c].iloc[r] for c in keys] + [t, b])
+        if rows:
+            yield pd.DataFrame(rows, columns=walk_schema.names)
+
+    entry = summary.repartition(parts, *group_cols).sortWithinPartitions(*keys).mapInPandas(walk, walk_schema)
+    out_fields = [f for f in items.schema.fields if f.name != _S] + [T.StructField(out_col, T.LongType())]
+    out_schema = T.StructType(out_fields)
+    names = out_schema.names
+
+    def assign(it):
+        for seg in key_segments(it, keys):
+            seg = seg.copy()
+            seg[out_col] = assign_chunk(seg[_S].to_numpy(dtype=np.int64), int(seg["join_n"].iloc[0]),
+                                        int(seg["base_id"].iloc[0]), max_bytes, sep_len)
+            yield seg[names]
+
+    joined = items.join(entry, keys, "inner").sortWithinPartitions(*keys, *order_only)
+    return joined.mapInPandas(assign, out_schema)
 
 
 def assemble_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], payload_col: str,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,15 +32,14 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = pdf[group_cols].astype(str).agg("\x1f".join, axis=1) if len(group_cols) > 1 \
-                else pdf[group_cols[0]].astype(str)
-            starts = (keys != keys.shift()).to_numpy()
-            starts[0] = True
-            idx = list(pdf.index[starts]) + [None]
+            starts_idx = _run_starts(pdf, group_cols)
+            idx = [int(i) for i in starts_idx] + [None]
+            heads = pdf[group_cols].iloc[starts_idx].astype(str)
+            keys = heads.agg("\x1f".join, axis=1) if len(group_cols) > 1 else heads[group_cols[0]]
             pieces = []
-            for a, b in zip(idx, idx[1:]):
-                seg = pdf.loc[a:] if b is None else pdf.loc[a:b].iloc[:-1]
-                k = keys.loc[a]
+            for j, (a, b) in enumerate(zip(idx, idx[1:])):
+                seg = pdf.iloc[a:] if b is None else pdf.iloc[a:b]
+                k = keys.iloc[j]
                 if k != cur_key:
                     cur_key, state = k, init()
                 cols, state = step(seg, state)
@@ -50,3 +50,34 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
             yield pd.concat(pieces, ignore_index=True)
 
     return d.mapInPandas(run, schema)
+
+
+def _run_starts(pdf: pd.DataFrame, key_cols: list[str]) -> np.ndarray:
+    """Positions where the key differs from the row before (vectorised)."""
+    n = len(pdf)
+    change = np.zeros(n, dtype=bool)
+    if n:
+        change[0] = True
+    for c in key_cols:
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change)
+
+
+def key_segments(batches: Iterator[pd.DataFrame], key_cols: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole runs of equal keys from Arrow batches of a partition sorted by
+    ``key_cols``; a run cut by a batch boundary is finished with the next batch.
+    Used instead of ``applyInPandas`` where groups are many and small (one
+    Python call per partition, not per group)."""
+    pending = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        if pending is not None:
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+        bounds = list(_run_starts(pdf, key_cols)) + [len(pdf)]
+        for a, b in zip(bounds[:-2], bounds[1:-1]):
+            yield pdf.iloc[a:b]
+        pending = pdf.iloc[bounds[-2]:].reset_index(drop=True)
+    if pending is not None and not pending.empty:
+        yield pending

@@ -18,8 +18,9 @@ exactly and in parallel in three steps (as the packing does):
    the events before ``t0 + limit`` (or the one after): the chunk reports only
    those candidates with their end clocks.
 3. **Walk and assign.**  Per tag, a walk over the small chunk reports fixes
-   the entering clock of each chunk; a second per-chunk pass marks the kept
-   events.  Equal to the sequential rule (tested against it).
+   the entering clock of each chunk; joined back on (tag, chunk), a second
+   pass marks the kept events.  Every pass is one ``mapInPandas`` per
+   partition over sorted key runs: chunks are many and small.  Equal to the sequential rule (tested against it).
 
 ``throttle_scan`` keeps the single ordered scan (``sequential.ordered_scan``)
 for comparison.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .sequential import ordered_scan
+from .sequential import key_segments, ordered_scan
 
 _T = "__tl_thr_t"
 
@@ -187,39 +188,46 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
         .checkpoint(eager=False)
     keys = [tag_col, ch]
     sort_cols = [_T] + order_cols
+    # Chunks are many and small: every pass is one mapInPandas per partition
+    # walking sorted key runs (key_segments), not a Python call per group.
+    d = d.sortWithinPartitions(*keys, *sort_cols)
 
     rep_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
                                T.StructField("cand_t", T.ArrayType(T.LongType())),
                                T.StructField("exits", T.ArrayType(T.LongType()))])
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, kind="stable")
-        cand_t, exits = chunk_report(pdf[_T].to_numpy(dtype=np.int64), pdf[fcol].to_numpy(dtype=bool), lim)
-        return pd.DataFrame([{tag_col: pdf[tag_col].iloc[0], ch: int(pdf[ch].iloc[0]), "cand_t": cand_t,
-                              "exits": exits}])
+    def report(it):
+        rows = []
+        for seg in key_segments(it, keys):
+            cand_t, exits = chunk_report(seg[_T].to_numpy(dtype=np.int64), seg[fcol].to_numpy(dtype=bool), lim)
+            rows.append((seg[tag_col].iloc[0], int(seg[ch].iloc[0]), cand_t, exits))
+        if rows:
+            yield pd.DataFrame(rows, columns=rep_schema.names)
 
-    reports = d.select(*keys, _T, fcol, *order_cols).groupBy(*keys).applyInPandas(report, rep_schema)
+    reports = d.select(*keys, _T, fcol).mapInPandas(report, rep_schema)
     entry_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
                                  T.StructField("start", T.LongType())])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ch, kind="stable")
-        res = walk_reports(zip(pdf["cand_t"], pdf["exits"]), lim)
-        out = pdf[keys].copy()
-        out["start"] = [r[0] for r in res]
-        return out
+    def walk(it):
+        rows = []
+        for seg in key_segments(it, [tag_col]):
+            res = walk_reports(zip(seg["cand_t"], seg["exits"]), lim)
+            rows.extend((tg, c, r[0]) for tg, c, r in zip(seg[tag_col], seg[ch], res))
+        if rows:
+            yield pd.DataFrame(rows, columns=entry_schema.names)
 
-    entries = reports.groupBy(tag_col).applyInPandas(walk, entry_schema)
+    entries = reports.repartition(parts, tag_col).sortWithinPartitions(tag_col, ch) \
+        .mapInPandas(walk, entry_schema)
     out_schema = T.StructType([f for f in d.schema.fields if f.name not in (_T, fcol, ch)]
                               + [T.StructField("kept", T.BooleanType())])
     names = out_schema.names
 
-    def assign(pdf: pd.DataFrame, epdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(sort_cols, kind="stable").reset_index(drop=True)
-        start = int(epdf["start"].iloc[0]) if not epdf.empty else 0
-        pdf["kept"] = mark_kept(pdf[_T].to_numpy(dtype=np.int64), pdf[fcol].to_numpy(dtype=bool), start, lim)
-        return pdf[names]
+    def assign(it):
+        for seg in key_segments(it, keys):
+            seg = seg.copy()
+            seg["kept"] = mark_kept(seg[_T].to_numpy(dtype=np.int64), seg[fcol].to_numpy(dtype=bool),
+                                    int(seg["start"].iloc[0]), lim)
+            yield seg[names]
 
-    return d.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(assign, out_schema)
+    joined = d.join(entries, keys, "inner").sortWithinPartitions(*keys, *sort_cols)
+    return joined.mapInPandas(assign, out_schema)
