@@ -27,21 +27,25 @@ def strict_parse_json(c: Column) -> Column:
     """Decode a stripped string as one JSON value; NULL when blank or invalid.
 
     ``try_parse_json`` alone accepts trailing junk (``{"a":1} junk``), so a
-    value is accepted only if it is valid inside ``[...]`` with exactly one
-    element *and* as the value of ``{"v": ...}`` (``is_strict_json``).
-    Duplicate keys and ``NaN`` stay rejects (Python would take them).  Three
-    parses, no lambda: everything stays in generated code.
+    value is accepted only if ``is_strict_json`` holds; then it is decoded
+    into VARIANT.  Duplicate keys (VARIANT refuses them) and ``NaN`` stay
+    rejects (Python would take them).
     """
     return F.when(is_strict_json(c), F.try_parse_json(py_strip(c)))
 
 
 def is_strict_json(c: Column) -> Column:
-    """The same acceptance as ``strict_parse_json`` as a plain predicate: each
-    parse appears once and no lambda is involved, so it is cheap in a filter."""
+    """The stripped text is exactly one JSON value (Python's acceptance, no
+    trailing junk).  ``try_parse_json`` alone accepts ``{"a":1} junk``, so the
+    text must be the single element of ``[...]`` *and* the value of
+    ``{"v": ...}``; one wrapper alone lets ``1] junk`` or ``1} junk`` through.
+    Both checks use Jackson's streaming validation (``json_array_length``,
+    ``json_object_keys``): nothing is built, and duplicate keys pass as in
+    Python."""
     s = py_strip(c)
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
-    obj = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    return F.coalesce((F.size(arr) == 1) & obj.isNotNull() & (F.length(s) > 0), F.lit(False))
+    one = F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1
+    obj = F.json_object_keys(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
+    return F.coalesce(one & obj & (F.length(s) > 0), F.lit(False))
 
 
 def json_status(c: Column) -> Column:
