@@ -95,3 +95,12 @@ def test_manifest_round_trip(spark, tmpdir_path):
     got = {r["path"]: r["pos"] for r in load_manifest(spark, m).collect()}
     assert got == {"/a": 9, "/b": 1}
     assert json.loads(json.dumps(got)) == got
+
+
+def test_command_json(spark, tmpdir_path):
+    from tidelog.sources.text import read_command_json
+    p = os.path.join(tmpdir_path, "cmd.json")
+    _write(p, b'{"a": "x\xff"}\n' + b"not json\n" + b"\n")
+    ok, bad = read_command_json(spark, p)
+    assert [r["event_text"] for r in ok.collect()] == ['{"a": "x"}']
+    assert [r["preview"] for r in bad.collect()] == ["not json"]

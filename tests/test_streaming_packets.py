@@ -99,3 +99,33 @@ def test_collector_sink_requeues(spark, tmpdir_path):
     write_json_lines(b, os.path.join(tmpdir_path, "out"), column="batch", partition_by=["index"])
     assert sorted(x[0] for x in spark.read.text(os.path.join(tmpdir_path, "out")).collect()) == ["bad-batch",
                                                                                                   "ok-batch"]
+
+
+def test_growing_file_truncated_restarts(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "t")
+    os.makedirs(d)
+    a = os.path.join(d, "a.log")
+    _append(a, "one\ntwo\nthree\n")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    drain(write_parquet(stream_growing_lines(spark, d + "/*.log"), out, ck))
+    with open(a, "w") as fh:          # truncated and rewritten shorter
+        fh.write("new\n")
+    drain(write_parquet(stream_growing_lines(spark, d + "/*.log"), out, ck))
+    got = sorted((r["pos"], r["event_text"]) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "new"), (0, "one"), (4, "two"), (8, "three")]
+
+
+def test_continuous_trigger(spark, tmpdir_path):
+    from tidelog.sources.text import stream_lines
+    d = os.path.join(tmpdir_path, "in")
+    os.makedirs(d)
+    _append(os.path.join(d, "x.txt"), "a\n\nb\n")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    from tidelog.operators.filters import blank_filter
+    q = write_parquet(blank_filter(stream_lines(spark, d, max_files_per_trigger=1)), out, ck, mode="continuous",
+                      interval_s=0.5)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r["event_text"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
