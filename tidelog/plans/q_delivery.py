@@ -159,3 +159,14 @@ def message_throttle(spark, sf_dir):
     ev = events_ts_utc(table(spark, sf_dir, "events"))
     return throttle(ev, message_tag(F.col("user_id").cast("string"), "event_type"), "ts", 3_600,
                     order_cols=["event_id"]).select("event_id", "tag", "kept")
+
+
+@query("queue_sizes", "O73", oracle="""
+SELECT role, CAST(count(*) AS BIGINT) AS items, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
+       CAST(sum(strlen(text)) + greatest(0, count(*) - 1) AS BIGINT) AS bytes_with_sep
+FROM conversations GROUP BY role
+""")
+def queue_sizes(spark, sf_dir):
+    from ..operators.metrics import size_measures
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("text", "payload")
+    return size_measures(c, ["role"], payload="payload", sep=" ")
