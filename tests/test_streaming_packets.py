@@ -42,9 +42,8 @@ def test_nest_prefixes_literal():
 
 
 def test_build_layer_rules():
-    e = lambda orig, key, split, d, name, v: dict(
-        orig=orig, key=key, split=split, dissector=d, name=name,
-        vs=v if isinstance(v, str) else None, vj=None if isinstance(v, str) else json.dumps(v))
+    e = lambda orig, key, split, d, name, v: (
+        orig, key, split, d, name, v if isinstance(v, str) else None, None if isinstance(v, str) else json.dumps(v))
     got = build_layer("ip", [e("ip_ip_src", "ip_ip_src", True, None, "src", "10.0.0.1"),
                              e("ip_flags_ip_flags_df", "ip_flags_ip_flags_df", True, "flags", "df", "1"),
                              e("ip_src", "ip_src", False, None, None, "x"),
