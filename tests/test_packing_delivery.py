@@ -125,3 +125,16 @@ def test_throttle_chunk_steps_equal_sequential():
         res = walk_reports([chunk_report(tt, ff, lim) for tt, ff in chunks], lim)
         got = np.concatenate([mark_kept(tt, ff, s, lim) for (tt, ff), (s, _) in zip(chunks, res)])
         assert list(got) == throttle_sequential(t, lim, f)
+
+
+def test_observed_counters(spark):
+    from pyspark.sql import Observation
+
+    from tidelog.operators.metrics import observe_counters, source_counters
+    df = spark.createDataFrame([("a", "queued"), ("a", "filtered"), ("b", "error"), ("b", "rejected"), ("b", "queued")],
+                               "source string, status string")
+    obs = Observation("counters")
+    observe_counters(df, obs).write.format("noop").mode("overwrite").save()
+    assert obs.get == {"events": 3, "queued": 2, "filtered": 1, "rejected": 1}
+    got = {r["source"]: tuple(r)[1:] for r in source_counters(df).collect()}
+    assert got == {"a": (2, 1, 1, 0, 0), "b": (1, 1, 0, 1, 1)}

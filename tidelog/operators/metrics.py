@@ -32,8 +32,10 @@ def size_measures(df: DataFrame, group_cols: list[str], payload: str = "payload"
         (b + F.greatest(F.lit(0), n - 1) * F.lit(sep_len)).cast("bigint").alias("bytes_with_sep"))
 
 
-def observe_counters(df: DataFrame, name: str, status: str = "status") -> DataFrame:
-    """Streaming form: the same counters as observed metrics of each micro-batch."""
+def observe_counters(df: DataFrame, name, status: str = "status") -> DataFrame:
+    """The same counters as observed metrics, without a separate aggregation
+    job: per micro-batch on a stream (``name`` is a string; read them from the
+    query's progress), or once on a batch (``name`` is an ``Observation``)."""
     s = F.col(status)
     return df.observe(name, F.count_if(~s.isin("error", "rejected")).alias("events"),
                       F.count_if(s == "queued").alias("queued"),

@@ -41,7 +41,6 @@ DEFAULT_MAX_BYTES = 102_400
 COLLECTOR_SEP = " "
 FILE_SEP = "\n"
 
-_C = "__tl_chunk"
 _S = "__tl_size"
 _EMPTY = -1
 
