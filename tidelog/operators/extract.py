@@ -175,12 +175,11 @@ def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_tex
                 df, m = _apply_step(df, spec, st, text_col, json_col, gate, None)
                 df = df.select(*[F.col(c) for c in df.columns if c not in (d, m_name, f"{_H}g")],
                                (F.col(d) | F.col(f"{_H}g")).alias(d))
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(st.v(k)).alias("v"), F.col(st.p(k)).alias("p"))
-                        for k in st.keys]) if st.keys else F.array().cast("array<struct<k:string,v:string,p:boolean>>")
-    kept = F.filter(entries, lambda e: e["p"])
-    fields = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))
-    if not st.keys:
-        fields = F.create_map().cast("map<string,string>")
+    # The map is a concatenation of one-entry maps, empty where a key is absent:
+    # key order is first appearance and no lambda is needed (codegen stays on).
+    empty = F.create_map().cast("map<string,string>")
+    parts = [F.when(F.col(st.p(k)), F.create_map(F.lit(k), F.col(st.v(k)))).otherwise(empty) for k in st.keys]
+    fields = F.map_concat(*parts) if len(parts) > 1 else (parts[0] if parts else empty)
     return df.select(*[F.col(c) for c in base_cols if c != out_col], fields.alias(out_col))
 
 
