@@ -11,9 +11,10 @@ from .registry import query
 from .tables import events_ts_utc, table
 
 PACK_MAX = 4000
-# Conversations per chunk of the packing scan.  Small here so that the sf0.01
-# check crosses many chunk boundaries; a production run uses ~1<<16.
-PACK_CHUNK = 32
+# Conversations per chunk of the packing scan: a chunk (~16k turns) is what one
+# Python worker holds, and the per-role walk reads one small report per chunk.
+# Chunk boundaries are exercised by tests/test_packing_delivery.py (widths 1, 7).
+PACK_CHUNK = 4096
 
 PACK_CTE = f"""
 WITH RECURSIVE items AS (
