@@ -43,7 +43,7 @@ def test_routes_fallback_and_skip(spark):
 def test_text_helpers(spark):
     r = spark.range(1).select(
         mask_secret(F.lit("abcd-ef12")), mask_secret(F.lit(None).cast("string")),
-        mask_keep_last4(F.lit("Splunk abcd-1234")), preview(F.lit("x" * 120)), preview(F.lit("y" * 90), "short"),
+        mask_keep_last4(F.lit("Token abcd-1234")), preview(F.lit("x" * 120)), preview(F.lit("y" * 90), "short"),
         normalise_collector_url(F.lit("https://h:8088/")), normalise_file_target(F.lit("file://out.json")),
         normalise_file_target(F.lit("file:///var/x.json")), py_strip(F.lit(" \t\x0b　 a b  \n"))).first()
     assert r[0] == "xxxx-xxxx" and r[1] == "None"
