@@ -128,3 +128,14 @@ def test_continuous_trigger(spark, tmpdir_path):
     finally:
         q.stop()
     assert sorted(r["event_text"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_is_packet_predicate(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.functions import jsonv
+    from tidelog.operators.packets import is_packet
+    lines = ['{"timestamp": "1", "layers": {}}', '{"index": {}}', '[1]', '42', '{"timestamp": "1"}']
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = [r[0] for r in df.select(is_packet(jsonv.strict_parse_json(F.col("t")))).collect()]
+    assert got == [True, False, False, False, False]
