@@ -5,7 +5,8 @@ a row for each pair.
 joins edges to connected components, ``block_members`` cuts a group of any size
 into blocks of bounded weight and deals out pairs of blocks, and the callers
 verify one pair of blocks at a time in a task.  A hot bucket or group is thus
-spread over many tasks.
+spread over many tasks.  What is summed up for a key is kept as a table before it
+is joined back, as AQE splits a hot key only between two plain shuffles.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ EDGE = "a long, b long"
 
 def bucket_edges(keys: DataFrame) -> DataFrame:
     """``keys(id, bucket)`` -> distinct edges ``(a, b)`` from each id to the smallest id of a bucket."""
-    hubs = keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("_last")) \
-        .filter("hub < _last").select("bucket", "hub")
+    hubs = kept_table(keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("_last"))
+                      .filter("hub < _last").select("bucket", "hub"))
     return keys.join(hubs, "bucket").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
@@ -43,9 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = kept_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = kept_table(large)
+        low = kept_table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b") \
             .unionByName(low.select("a", F.col("m").alias("b")))
         edges = kept_table(small.distinct())
@@ -60,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
 def block_members(members: DataFrame, budget: int) -> DataFrame:
     """``members(cluster, id, weight, ...)`` -> the same rows with ``block`` and the pairs of blocks
     ``(bi, bj)`` they belong to; no block's expected weight is over ``budget``."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("weight") / F.lit(float(budget))).cast("int").alias("_n"))
+    sizes = kept_table(members.groupBy("cluster").agg(F.ceil(F.sum("weight") / F.lit(float(budget))).cast("int").alias("_n")))
     return members.join(sizes, "cluster") \
         .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_n").cast("long")).cast("int")) \
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))) \

@@ -179,7 +179,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number of other documents linked directly, copies included.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = kept_table(docs.mapInPandas(lambda fs: _signed(fs, rows, bands), "id long, fp binary, n long, buckets array<long>"))
+    named = docs.withColumn("id", F.col("id").cast("string"))  # pandas would make floats of longs with nulls
+    signed = named.mapInPandas(lambda fs: _signed(fs, rows, bands), "id string, fp binary, n long, buckets array<long>")
+    signed = kept_table(signed.withColumn("id", F.col("id").cast("long")))
     usable = signed.filter("fp is not null and id is not null")
     classes = kept_table(usable.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
                                                   F.first("buckets").alias("buckets")))
@@ -188,7 +190,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("rep", "id").drop("buckets"), "id") \
         .withColumn("weight", F.greatest("n", F.lit(LEAST)))
     placed = block_members(members.select("id", "fp", "copies", "cluster", "weight"), BLOCK).drop("weight")
-    sets = members.select("id", "fp").join(docs, "id").mapInPandas(_texts_to_sets, "id long, fp binary, shingles binary")
+    sets = members.select("id", "fp").join(docs, "id").select("id", "fp", "text").mapInPandas(_texts_to_sets, "id long, fp binary, shingles binary")
     dealt = placed.join(sets, ["id", "fp"]).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id")
     found = summed_links(dealt.mapInPandas(_verified, "id long, links long, low long"))
     known = classes.select("fp", "rep", "copies").join(found, F.col("rep") == F.col("id"), "left").drop("id")
