@@ -71,23 +71,28 @@ def hashed(tokens: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], dtype=np.uint64)
 
 
-def runs(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal (non-null, integer) keys from a partition sorted by them;
-    a group may span batches.  Callers bound the size of a group."""
-    held: list[pd.DataFrame] = []
+def runs(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal (non-null, integer) keys from a partition sorted by them, as
+    columns; a group may span batches.  Callers bound the size of a group."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for f in frames:
         if not len(f):
             continue
-        k = f[keys].to_numpy()
+        cols = {c: f[c].to_numpy() for c in f.columns}
+        k = np.stack([cols[c] for c in keys], axis=1)
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         edges = [0, *cuts.tolist(), len(f)]
         for lo, hi in zip(edges, edges[1:]):
-            key = tuple(k[lo])
+            key = tuple(k[lo].tolist())
             if held and key != last:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                yield whole()
                 held = []
-            held.append(f.iloc[lo:hi])
+            held.append({c: v[lo:hi] for c, v in cols.items()})
             last = key
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield whole()

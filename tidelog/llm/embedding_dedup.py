@@ -103,11 +103,11 @@ def _verified(frames: Iterator[pd.DataFrame], tables: int, hashes: int, threshol
     made: dict[int, Projections] = {}
     held: list[pd.DataFrame] = []
     for g in runs(frames, ["cluster", "bi", "bj"]):
-        x = np.stack(g["unit"].to_numpy())
-        node, copies, block = (g[c].to_numpy(np.int64) for c in ("id", "copies", "block"))
-        same = g["bi"].iloc[0] == g["bj"].iloc[0]
-        p = np.flatnonzero(block == g["bi"].iloc[0])
-        q = p if same else np.flatnonzero(block == g["bj"].iloc[0])
+        x = np.stack(g["unit"])
+        node, copies, block = (g[c].astype(np.int64) for c in ("id", "copies", "block"))
+        same = g["bi"][0] == g["bj"][0]
+        p = np.flatnonzero(block == g["bi"][0])
+        q = p if same else np.flatnonzero(block == g["bj"][0])
         if not len(p) or not len(q):
             continue
         linked = x[p] @ x[q].T >= threshold
@@ -117,7 +117,7 @@ def _verified(frames: Iterator[pd.DataFrame], tables: int, hashes: int, threshol
         if not len(i):
             continue
         keys = made.setdefault(x.shape[1], Projections(x.shape[1], tables, hashes)).keys(x)
-        at = int(g["place"].iloc[0])  # the bucket's table
+        at = int(g["place"][0])  # the bucket's table
         for k in range(0, len(i), 65_536):
             a, b = i[k:k + 65_536], j[k:k + 65_536]
             met = (keys[p[a], :at] == keys[q[b], :at]).any(axis=1)

@@ -132,16 +132,17 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids, links, lows, size = [], [], [], 0
     for g in runs(frames, ["cluster", "bi", "bj"]):
-        g = g.drop_duplicates(["id", "fp"])
-        if len(g) < 2:
+        once = list({key: i for i, key in enumerate(zip(g["id"].tolist(), g["fp"]))}.values())  # rows that repeat an id
+        if len(once) < 2:
             continue
+        g = {c: v[once] for c, v in g.items()}
         sets = [np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]]
         n = np.array([len(s) for s in sets])
-        node, copies, block = (g[c].to_numpy(np.int64) for c in ("id", "copies", "block"))
-        if g["bi"].iloc[0] == g["bj"].iloc[0]:
-            p = q = np.arange(len(g))
+        node, copies, block = (g[c].astype(np.int64) for c in ("id", "copies", "block"))
+        if g["bi"][0] == g["bj"][0]:
+            p = q = np.arange(len(once))
         else:
-            p, q = np.flatnonzero(block == g["bi"].iloc[0]), np.flatnonzero(block == g["bj"].iloc[0])
+            p, q = np.flatnonzero(block == g["bi"][0]), np.flatnonzero(block == g["bj"][0])
         if not len(p) or not len(q):
             continue
         both = _overlaps([sets[i] for i in p], [sets[i] for i in q])

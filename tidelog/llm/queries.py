@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
 from .ngram_join import ngram_join
+from .vector_packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +63,8 @@ FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """)
 def _op10(spark, sf_dir):
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+@_query("op4_vector_packing")
+def _op4(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
