@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,11 +35,11 @@ from .common import words
 END_ID = 2
 #: Tokens and rows of a shard, at which it is packed (a single text may be longer).
 SHARD_TOKENS = 1 << 20
-SHARD_ROWS = 2048
+SHARD_ROWS = 1024
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
-#: A private-use character that parts words in one call of the tokenizer.
-MARK = "\ue000"
+REMEMBERED = 1_200_000
+#: Marks that may close a word.
+CLOSING = ".,!?;:"
 
 
 @dataclass(frozen=True)
@@ -52,41 +53,48 @@ class WordTokenizer:
     """Ids of whole texts, as little-endian uint32 bytes, word by word.
 
     The vocabulary's tokenizer drops white space and never joins characters
-    across it, so a text's ids are those of its words in a row.  Unknown words are
-    tokenized many at a time, parted by a mark.
+    across it, so a text's ids are those of its words in a row.  Ids of words
+    seen before are remembered.  Unknown words that are letters below U+0300
+    (where normal form C changes nothing) and closing marks are taken in lower
+    case and without the marks, which the tokenizer parts from letters anyway, and
+    go straight to its BPE model; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.mark = self._ids(MARK)
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.full = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.full.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x41, 0x300) if chr(c).isalpha()]
+        self.as_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in letters}
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+    @staticmethod
+    def _bytes(encodings) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in encodings]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return self._bytes(self.full.encode_batch_fast(texts, add_special_tokens=False))
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if MARK.encode() not in w]
-        for k in range(0, len(plain), 4096):
-            part = plain[k:k + 4096]
-            enc = self.tok.encode_batch_fast([f" {MARK} ".join([w.decode() for w in part])], add_special_tokens=False)[0]
-            ids = np.array(enc.ids, dtype="<u4")
-            n = len(self.mark)
-            at = np.ones(max(0, len(ids) - n + 1), dtype=bool)
-            for i, m in enumerate(self.mark):
-                at &= ids[i:i + len(at)] == m
-            cut = np.flatnonzero(at)
-            if len(cut) != len(part) - 1:
-                self.known.update((w, array("I", self._ids(w.decode())).tobytes()) for w in part)
-                continue
-            raw = ids.tobytes()
-            starts = [0, *((cut + n) * 4).tolist()]
-            ends = [*(cut * 4).tolist(), len(raw)]
-            self.known.update((w, raw[s:e]) for w, s, e in zip(part, starts, ends))
+        cores: dict[bytes, tuple[str, str]] = {}
+        other = []
         for w in new:
-            if w not in self.known:
-                self.known[w] = array("I", self._ids(w.decode())).tobytes()
+            low = w.decode().lower()
+            core = low.rstrip(CLOSING)
+            if core.isalpha() and max(core) < "\u0300":
+                cores[w] = core, low[len(core):]
+            else:
+                other.append(w)
+        self.known.update(zip(other, self._whole([w.decode() for w in other])))
+        tails = {t for _, t in cores.values()}
+        tail_ids = dict(zip(tails, self._whole(list(tails))))
+        needed = list({c for c, _ in cores.values() if c.encode() not in self.known})
+        mapped = self.bare.encode_batch_fast([c.translate(self.as_bytes) for c in needed], add_special_tokens=False)
+        self.known.update(zip((c.encode() for c in needed), self._bytes(mapped)))
+        for w, (core, tail) in cores.items():
+            self.known[w] = self.known[core.encode()] + tail_ids[tail]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [words(t) for t in texts]
@@ -94,11 +102,18 @@ class WordTokenizer:
         new = [w for w in used if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {w: self.known[w] for w in used if w in self.known}
-        self._learn(new)
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for a Python worker, which serves many tasks."""
+    return WordTokenizer(path)
+
+
 def pack_shard(lengths: list[int], loss_from: list[int], limits: Limits) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(example, start, length, sequence, offset)`` of one shard.
 
@@ -165,7 +180,7 @@ def pack_shard(lengths: list[int], loss_from: list[int], limits: Limits) -> list
 
 
 def _packed(frames: Iterator[pd.DataFrame], path: str, limits: Limits) -> Iterator[pd.DataFrame]:
-    tok = WordTokenizer(path)
+    tok = word_tokenizer(path)
     end = array("I", [END_ID]).tobytes()
     base = TaskContext.get().partitionId() << 40
     names: list = []
