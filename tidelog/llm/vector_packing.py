@@ -35,11 +35,11 @@ from .common import words
 END_ID = 2
 #: Tokens and rows of a shard, at which it is packed (a single text may be longer).
 SHARD_TOKENS = 1 << 20
-SHARD_ROWS = 1024
-#: Words whose ids a task remembers.
-REMEMBERED = 1_200_000
+SHARD_ROWS = 512
+#: Words whose ids a Python worker remembers (about 200 bytes each).
+REMEMBERED = 2_400_000
 #: Marks that may close a word.
-CLOSING = ".,!?;:"
+CLOSING = b".,!?;:"
 
 
 @dataclass(frozen=True)
@@ -78,23 +78,30 @@ class WordTokenizer:
         return self._bytes(self.full.encode_batch_fast(texts, add_special_tokens=False))
 
     def _learn(self, new: list[bytes]) -> None:
-        cores: dict[bytes, tuple[str, str]] = {}
-        other = []
+        known = self.known
+        words_, cores, other = [], [], []
         for w in new:
-            low = w.decode().lower()
-            core = low.rstrip(CLOSING)
-            if core.isalpha() and max(core) < "\u0300":
-                cores[w] = core, low[len(core):]
+            core = w.lower().rstrip(CLOSING)
+            if not core.isalpha():  # not ASCII letters alone
+                text = core.decode().lower()
+                if not text.isalpha() or max(text) >= "\u0300":
+                    other.append(w)
+                    continue
+                core = text.encode()
+            if core != w:
+                words_.append(w)
+                cores.append(core)
             else:
-                other.append(w)
-        self.known.update(zip(other, self._whole([w.decode() for w in other])))
-        tails = {t for _, t in cores.values()}
-        tail_ids = dict(zip(tails, self._whole(list(tails))))
-        needed = list({c for c, _ in cores.values() if c.encode() not in self.known})
-        mapped = self.bare.encode_batch_fast([c.translate(self.as_bytes) for c in needed], add_special_tokens=False)
-        self.known.update(zip((c.encode() for c in needed), self._bytes(mapped)))
-        for w, (core, tail) in cores.items():
-            self.known[w] = self.known[core.encode()] + tail_ids[tail]
+                known[w] = b""
+        known.update(zip(other, self._whole([w.decode() for w in other])))
+        needed = [w for w in new if known.get(w) == b""]
+        needed += {c for c in cores if c not in known}
+        mapped = self.bare.encode_batch_fast([c.decode().translate(self.as_bytes) for c in needed], add_special_tokens=False)
+        known.update(zip(needed, self._bytes(mapped)))
+        tails = list({w[len(w.rstrip(CLOSING)):] for w in words_})
+        tail_ids = dict(zip(tails, self._whole([t.decode() for t in tails])))
+        for w, core in zip(words_, cores):
+            known[w] = known[core] + tail_ids[w[len(w.rstrip(CLOSING)):]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [words(t) for t in texts]
