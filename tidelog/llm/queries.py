@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
+from .mixing import mix
 from .ngram_join import ngram_join
+from .quality_knn import quality
 from .vector_packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,13 @@ def _op10(spark, sf_dir):
 @_query("op4_vector_packing")
 def _op4(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op6_cube_mixing")
+def _op6(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents")).drop("row_key")
+
+
+@_query("op8_quality_neighbour_voting")
+def _op8(spark, sf_dir):
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
