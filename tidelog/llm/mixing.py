@@ -33,6 +33,7 @@ from .common import WORD, kept_table, runs
 MOST = 3
 CHUNK = 4096
 NEAR = 1e-9
+LANDING_STEPS = 8
 
 
 def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -64,24 +65,43 @@ def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.nda
         active = [i for i in active if 0.0 < pi[i] < 1.0]
 
 
-def landing(size: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """Round the few fractions left so that the words stay nearest to the target."""
-    pi = pi.copy()
+def landing(size: np.ndarray, pi: np.ndarray, want: float) -> np.ndarray:
+    """Landing phase: the few fractions left become 0 or 1, and while it brings the
+    words nearer to ``want``, one document is exchanged for another, put in or left out."""
+    size, pi = size.astype(float), pi.copy()
     left = np.flatnonzero((pi > 0) & (pi < 1))
     if len(left):
-        want = float(size[left] @ pi[left])
-        pi[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda s: abs(float(size[left] @ np.array(s)) - want))
+        rest = want - float(size @ np.where((pi > 0) & (pi < 1), 0.0, pi))
+        pi[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda s: abs(float(size[left] @ np.array(s)) - rest))
+    off = float(size @ pi) - want
+    for _ in range(LANDING_STEPS):
+        one = np.abs(off + (1 - 2 * pi) * size)
+        moves = [(float(one.min()), (int(np.argmin(one)),))]
+        ins, outs = np.flatnonzero(pi == 1), np.flatnonzero(pi == 0)
+        if len(ins) and len(outs):
+            ins = ins[np.argsort(size[ins], kind="stable")]
+            at = np.searchsorted(size[ins], off + size[outs])
+            for near in (np.clip(at, 0, len(ins) - 1), np.clip(at - 1, 0, len(ins) - 1)):
+                gap = np.abs(off + size[outs] - size[ins[near]])
+                k = int(np.argmin(gap))
+                moves.append((float(gap[k]), (int(outs[k]), int(ins[near[k]]))))
+        best, units = min(moves)
+        if best >= abs(off) - 0.5:
+            break
+        off += sum((1 - 2 * pi[u]) * size[u] for u in units)
+        for u in units:
+            pi[u] = 1 - pi[u]
     return pi
 
 
 def _flown(frames: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
     for g in runs(frames, ["place", "chunk"]):
-        order = np.lexsort((g["row_key"], g["h"], -g["size"]))  # the large first: what is left over is small
+        order = np.lexsort((g["size"], g["row_key"], g["h"]))
         g = {c: v[order] for c, v in g.items()}
         rng = np.random.default_rng([17, turn, int(g["place"][0]), int(g["chunk"][0])])
         pi = flight(g["size"], g["pi"], rng)
         if g["chunks"][0] == 1:
-            pi = landing(g["size"], pi)
+            pi = landing(g["size"], pi, float(g["size"] @ g["pi"]))
         yield pd.DataFrame(g | {"pi": pi})
 
 

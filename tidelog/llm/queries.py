@@ -11,6 +11,7 @@ from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
+from .pii import personal_data
 from .quality_knn import quality
 from .vector_packing import pack
 
@@ -80,3 +81,8 @@ def _op6(spark, sf_dir):
 @_query("op8_quality_neighbour_voting")
 def _op8(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query("op5_personal_data")
+def _op5(spark, sf_dir):
+    return personal_data(read(spark, sf_dir, "documents"))
