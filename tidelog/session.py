@@ -9,6 +9,7 @@ the only place a directory of our own is chosen.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,21 +50,26 @@ def apply_job_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.conf.get("spark.checkpoint.dir", None)
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; only when none is set (local runs,
-    tests) choose a fresh scratch folder."""
-    d = checkpoint_dir(spark)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tidelog-ckpt-", dir=os.environ.get("TIDELOG_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    """The session's checkpoint folder, as the cluster names it in
+    ``spark.checkpoint.dir``; a fresh scratch folder only where none is named and the
+    session is local (tests, bench).  Setting it again would nest a new folder
+    in the old one, so that happens once."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tidelog-ckpt-", dir=os.environ.get("TIDELOG_SCRATCH", "/tmp"))
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
