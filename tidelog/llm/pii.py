@@ -267,7 +267,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``n_chars``, if there, follows the new text.
     """
     found = with_spans(docs, text_col)
-    model = learn(found.select(F.xxhash64(id_col).alias("_key"), "_cands"))
+    model = learn(kept_table(found.select(F.xxhash64(id_col).alias("_key"), "_cands")))
     spans = F.array_sort(F.concat(F.col("_base"), model.extra(F.col("_cands"))))
     out = found.withColumn(text_col, _replaced(F.col(text_col), spans))
     if "n_chars" in docs.columns:
