@@ -63,10 +63,14 @@ def counts(text: str | None) -> tuple[int, ...]:
             len(lines), len(lines) - len(set(lines)), repeated_words(ws))
 
 
-@F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        yield pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
+def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the counts of each text in place of the text."""
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
+    kept = [c for c in docs.columns if c != text_col]
+    return docs.select(*kept, counted(F.col(text_col)).alias("_c")).select(*kept, "_c.*")
 
 
 def beta_prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
@@ -96,7 +100,7 @@ def host_verdicts(judged: DataFrame, host_col: str) -> DataFrame:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each document: its counts, ``base_failed``, its host's shrunk rates, ``host_rejected`` and ``kept``."""
-    counted = docs.select(F.col(id_col), F.col(host_col), _counts(F.col(text_col)).alias("c")).select(id_col, host_col, "c.*")
+    counted = with_counts(docs.select(id_col, host_col, text_col), text_col)
     judged = kept_table(counted.select("*", *[F.expr(rule).alias(f"fails_{r}") for r, rule in RULES.items()]))
     hosts = kept_table(host_verdicts(judged, host_col))
     out = judged.join(hosts, F.col(host_col).eqNullSafe(F.col("_host"))).drop("_host")

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
+from .langid import language
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pii import personal_data
 from .quality_knn import quality
+from .quality_rules import quality_rules
+from .reply_trees import chat_digest
+from .secret_scan import secret_scan
 from .vector_packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +90,60 @@ def _op8(spark, sf_dir):
 @_query("op5_personal_data")
 def _op5(spark, sf_dir):
     return personal_data(read(spark, sf_dir, "documents"))
+
+
+@_query("op1_host_quality_rules", r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i+1] || chr(10) || ws[i+2] AS gram FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, unnest([0, 1, 2]) AS o(k) WHERE n > 1 GROUP BY 1),
+ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ls WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT w.doc_id, w.source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_lines, 0) AS n_lines,
+             coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS f1,
+             10 * n_dup_lines > 3 * n_lines AS f2, word_chars < 2 * n_words OR word_chars > 15 * n_words AS f3 FROM c),
+h AS (SELECT source, r AS rule, count(*) AS n, sum(CAST([base_failed, f1, f2, f3][r] AS INT)) AS bad FROM j, unnest([1, 2, 3, 4]) AS o(r) GROUP BY 1, 2),
+m AS (SELECT rule, sum(bad) / sum(n) AS m, sum(n) AS docs, count(*) AS k FROM h GROUP BY 1),
+v AS (SELECT rule, m, sum(n * (bad / n - m) * (bad / n - m)) / any_value(docs) - any_value(k) * m * (1 - m) / any_value(docs) AS between_
+      FROM h JOIN m USING (rule) GROUP BY 1, 2),
+s AS (SELECT rule, m, least(greatest(CASE WHEN between_ > 0 THEN m * (1 - m) / between_ - 1 ELSE 10000 END, 1), 10000) AS strength FROM v),
+r AS (SELECT source, max((bad + m * strength) / (n + strength)) > 0.5 AS host_rejected FROM h JOIN s USING (rule) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, NOT base_failed AND NOT host_rejected AS kept
+FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
+""")
+def _op1(spark, sf_dir):
+    return quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+
+
+@_query("op3_secret_scan")
+def _op3(spark, sf_dir):
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@_query("op7_reply_tree_chats", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n,
+      length('<|im_start|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + 1
+      + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+""")
+def _op7(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
+    return chat_digest(rows.unionByName(control))
+
+
+@_query("op9_hyperdimensional_language")
+def _op9(spark, sf_dir):
+    return language(read(spark, sf_dir, "documents"))
