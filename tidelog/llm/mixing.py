@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept_table, runs
+from .common import WORD, kept_table, runs, unused
 
 MOST = 3
 CHUNK = 4096
@@ -126,15 +126,15 @@ def targets(per: DataFrame) -> DataFrame:
     return per.withColumn("target", F.least(most, F.lit(level) * F.col("weight")))
 
 
-def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
     """Rows equal in id, source and text have one key; they are interchangeable."""
-    return docs.withColumn("row_key", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)))
+    return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: ``doc_id, size, source_size, target, taken, copies, row_key``."""
-    rows = kept_table(with_row_key(docs, id_col, text_col, source_col).select(
-        F.col(id_col).alias(id_col), F.col(source_col).alias("source"), "row_key",
+    rows = kept_table(docs.select(
+        F.col(id_col), F.col(source_col).alias("source"), row_key(id_col, text_col, source_col).alias("row_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -168,6 +168,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs).groupBy("row_key").agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("_copies")).filter("_copies > 0")
-    out = with_row_key(docs).join(taken, "row_key").dropDuplicates(["row_key"])
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    key, copies, n = (unused(docs, x) for x in ("_key", "_copies", "_n"))
+    taken = mix(docs).groupBy(F.col("row_key").alias(key)).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias(copies)).filter(F.col(copies) > 0)
+    out = docs.withColumn(key, row_key()).join(taken, key).dropDuplicates([key])
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

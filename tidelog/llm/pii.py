@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, spread
+from .common import kept_table, spread, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns of the contract, with possessive loops.
@@ -158,10 +158,10 @@ def candidates(text: Column, base: Column) -> Column:
     return F.transform(loose, described)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", base: str = "_base", cands: str = "_cands") -> DataFrame:
     """``docs`` with its base spans and candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_base", base_spans(text)).withColumn("_cands", candidates(text, F.col("_base")))
+    return docs.withColumn(base, base_spans(text)).withColumn(cands, candidates(text, F.col(base)))
 
 
 def _tree(lines: list[str], f: Column) -> Column:
@@ -266,9 +266,10 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``n_chars``, if there, follows the new text.
     """
-    found = with_spans(docs, text_col)
-    model = learn(kept_table(found.select(F.xxhash64(id_col).alias("_key"), "_cands")))
-    spans = F.array_sort(F.concat(F.col("_base"), model.extra(F.col("_cands"))))
+    base, cands = unused(docs, "_base"), unused(docs, "_cands")
+    found = with_spans(docs, text_col, base, cands)
+    model = learn(kept_table(found.select(F.xxhash64(id_col).alias("_key"), F.col(cands).alias("_cands"))))
+    spans = F.array_sort(F.concat(F.col(base), model.extra(F.col(cands))))
     out = found.withColumn(text_col, _replaced(F.col(text_col), spans))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

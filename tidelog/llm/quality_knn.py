@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spread
+from .common import held_out, spread, unused
 
 #: Labelled rows of each class to learn from (expected number, chosen by hash).
 SAMPLE = 2000
@@ -144,4 +144,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts as quality 1."""
-    return with_score(docs, learn(docs, labels), score_col="_score").filter(F.col("_score") >= KEEP).drop("_score")
+    score = unused(docs, "_score")
+    return with_score(docs, learn(docs, labels), score_col=score).filter(F.col(score) >= KEEP).drop(score)

@@ -65,9 +65,9 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     levels = [state]
     while 2 ** (len(levels) - 1) <= most and not state.filter("jump is not null").isEmpty():
         on = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("steps").alias("_s"), F.col("total").alias("_t"))
-        state = kept_table(state.join(on, ["tree", "jump"], "left").select(
-            "tree", "node", F.col("_j").alias("jump"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total")))
+        further = state.filter("jump is not null").join(on, ["tree", "jump"]).select(
+            "tree", "node", F.col("_j").alias("jump"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("total") + F.col("_t")).alias("total"))
+        state = kept_table(state.filter("jump is null").unionByName(further))
         levels.append(state)
     parents = levels[0].filter("jump is not null").select("tree", F.col("jump").alias("node"))
     leaves = state.filter("jump is null").join(parents, ["tree", "node"], "left_anti")
