@@ -108,8 +108,20 @@ def test_throttle_against_spec(spark):
             mine = sorted((t, i, f) for g, t, i, f in rows if g == tag)
             exp = throttle_sequential([t for t, _, _ in mine], 1.0, [f for _, _, f in mine] if failed else None)
             assert [got[(tag, i)] for _, i, _ in mine] == exp
-    r = spark.range(1).select(message_tag(F.lit("test-%s"), F.lit("two"))).first()[0]
-    assert r == "test-%s|two"
+    r = spark.range(1).select(message_tag(F.lit("disk %s"), F.lit("sda"))).first()[0]
+    assert r == "disk %s|sda"
+
+
+def test_null_groups_tags_times_and_sizes(spark):
+    rows = [(g, i, p) for i, (g, p) in enumerate([("a", "xx"), (None, "yy"), (None, None), ("a", "z"), (None, "ww"), (None, "vvvv")])]
+    df = spark.createDataFrame(rows, "g string, i long, p string").withColumn("n", F.octet_length("p")).withColumn("c", F.lit(0))
+    got = {r["i"]: r["batch_no"] for r in pack_batches(df, ["g"], ["i"], "n", "c", max_bytes=7).collect()}
+    assert got == dict([*zip((0, 3), pack_sequential([2, 1], 7, 1)), *zip((1, 2, 4, 5), pack_sequential([2, 0, 2, 4], 7, 1))])
+    ids = spark.createDataFrame([(None, 0, 3), (5, 1, 3), (None, 2, 3)], "g long, i long, n int").withColumn("c", F.lit(0))
+    assert sorted((r["g"] is None, r["batch_no"]) for r in pack_batches(ids, ["g"], ["i"], "n", "c", max_bytes=6).collect()) == [(False, 0), (True, 0), (True, 1)]
+    ev = spark.createDataFrame([(None, 1.0, 0), (None, 1.5, 1), ("t", None, 2), (None, 2.0, 3), ("t", 5.0, 4), (None, None, 5)], "tag string, ts double, i long")
+    got = {r["i"]: r["kept"] for r in throttle(ev, "tag", "ts", 1.0, ["i"]).collect()}
+    assert got == {0: True, 1: False, 2: None, 3: True, 4: True, 5: None}
 
 
 def test_throttle_chunk_steps_equal_sequential():

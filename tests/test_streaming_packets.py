@@ -3,7 +3,7 @@
 import json
 import os
 
-from tidelog.operators.packets import build_layer, nest_prefixes, normalise_packets
+from tidelog.operators.packets import key_parts, layer_shape, nested, normalise_packets, rewrite_keys
 from tidelog.streaming.growing import stream_growing_lines
 from tidelog.streaming.pipeline import drain, write_parquet
 
@@ -33,23 +33,36 @@ def test_growing_files_resume(spark, tmpdir_path):
                      ("b.log", 3, "b2-half-done")]
 
 
-def test_nest_prefixes_literal():
-    dat = {"lol": "wut", "lol_supz_mang": "mang", "lol_supz_dood": "dood", "long_key_thing": "thing",
-           "long_key_other": "other"}
-    assert nest_prefixes(dat) == {"lol": {"val": "wut", "supz": {"mang": "mang", "dood": "dood"}},
-                                  "long_key": {"other": "other", "thing": "thing"}}
-    assert nest_prefixes({"cap_len": "74", "len": "74"}) == {"len": "74", "cap": {"len": "74"}}
+def test_names_nest_by_prefix():
+    names = ["disk", "disk_sda_read", "disk_sda_write", "fan_rear_speed", "fan_rear_state", "fan", "load_avg", "up"]
+    got = nested({n: n.upper() for n in names})
+    assert got == {"disk": {"val": "DISK", "sda": {"read": "DISK_SDA_READ", "write": "DISK_SDA_WRITE"}},
+                   "fan": {"val": "FAN", "rear": {"speed": "FAN_REAR_SPEED", "state": "FAN_REAR_STATE"}},
+                   "load": {"avg": "LOAD_AVG"}, "up": "UP"}
+    assert nested({"a": 1, "a_b": 2, "a_b_c": 3}) == {"a": {"val": 1, "b": {"val": 2, "c": 3}}}
+    assert nested({"x_y_z": 1, "x_y_w": 2, "x_q": 3}) == {"x": {"y": {"z": 1, "w": 2}, "q": 3}}
 
 
-def test_build_layer_rules():
-    e = lambda orig, key, split, d, name, v: (
-        orig, key, split, d, name, v if isinstance(v, str) else None, None if isinstance(v, str) else json.dumps(v))
-    got = build_layer("ip", [e("ip_ip_src", "ip_ip_src", True, None, "src", "10.0.0.1"),
-                             e("ip_flags_ip_flags_df", "ip_flags_ip_flags_df", True, "flags", "df", "1"),
-                             e("ip_src", "ip_src", False, None, None, "x"),
-                             e("text_ip", "text_ip", False, None, None, {"k": 1})], dedup=False)
-    assert got == {"src": "10.0.0.1", "flags": {"df": "1"}, "src_": "x", "text_ip": {"k": 1}}
-    assert build_layer("eth", [e("eth_x", "eth_x", False, None, None, "1")]) is None
+def test_layer_shapes():
+    keys = ("dns_dns_id", "dns_flags_dns_flags_rd", "dns_id", "text_dns", "dns_count")
+    got = layer_shape("dns", keys, (None, None, None, ("n",), None), 10, dedup=False)
+    assert got == {"id": (10,), "flags": {"rd": (11,)}, "id_": (12,), "text_dns": {"n": (13, "n")}, "count": (14,)}
+    assert layer_shape("dns", ("dns_only",), (None,), 0) is None
+
+
+def test_keys_of_shapes_equal_the_columns(spark):
+    made = [("tcp", k) for k in ("tcp_flags_tcp_flags_syn", "tcp_tcp_port", "text_tcp_options", "text_tcp_option", "a_a_b", "x", "tcpx_tcpx_y", "tcp_a_b_tcp_a_b_c")]
+    got = rewrite_keys(spark.createDataFrame(made, "layer string, orig string")).collect()
+    for r in got:
+        key, dissector, name = key_parts(r["layer"], r["orig"])
+        assert (r["key"], r["dissector"], r["name"], r["split"]) == (key, dissector, name, name is not None)
+
+
+def test_packet_with_objects_and_duplicates(spark):
+    line = '{"timestamp":"7","layers":{"ip":{"ip_ip_src":"1","ip_ip_src":"2","ip_opt_ip_opt":null,"text_ip":{"a_b":"x","n":[1,"q]"]},"text_ip_more":5}}}'
+    df = spark.createDataFrame([(line,), (line + " junk",), (line + "] junk",), ('{"timestamp":"1","layers":{}}',), (None,)], "event_text string")
+    got = [json.loads(r["event"]) for r in normalise_packets(df).collect()]
+    assert got == [{"ip": {"src": "2", "opt_ip": {"opt": None}, "text": {"ip": {"a": {"b": "x"}, "n": [1, "q]"], "more": 5}}}, "timestamp": "7"}]
 
 
 def test_normalise_packet(spark):
@@ -100,6 +113,52 @@ def test_collector_sink_requeues(spark, tmpdir_path):
                                                                                                   "ok-batch"]
 
 
+def test_drain_past_its_limit_raises(spark, tmpdir_path):
+    import pytest
+    d = os.path.join(tmpdir_path, "many")
+    os.makedirs(d)
+    for i in range(40):
+        _append(os.path.join(d, f"{i}.txt"), "x\n")
+    from tidelog.sources.text import stream_lines
+    q = write_parquet(stream_lines(spark, d, max_files_per_trigger=1), os.path.join(tmpdir_path, "o"), os.path.join(tmpdir_path, "c"))
+    with pytest.raises(TimeoutError):
+        drain(q, 0.2)
+    assert not q.isActive
+
+
+def test_growing_file_line_ends_splits_and_rewrites(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "g")
+    os.makedirs(d)
+    a = os.path.join(d, "a.log")
+    with open(a, "wb") as fh:
+        fh.write(b"x\ry\r\r\nz\n" + b"".join(b"line %d\r\n" % i for i in range(50)) + b"half\r")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    run = lambda: drain(write_parquet(stream_growing_lines(spark, d + "/*.log", split=7), out, ck))
+    run()
+    first = [r["event_text"] for r in spark.read.parquet(out).orderBy("pos").collect()]
+    assert first == ["x", "y", "", "z"] + [f"line {i}" for i in range(50)]
+    with open(a, "wb") as fh:                    # rewritten, and larger
+        fh.write(b"".join(b"new %03d of the second writing\n" % i for i in range(60)))
+    run()
+    got = sorted(r["event_text"] for r in spark.read.parquet(out).collect())
+    assert got == sorted(first + ["new %03d of the second writing" % i for i in range(60)])
+
+
+def test_carried_time_of_unsorted_batch(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from tidelog.streaming.state import stream_carry_time
+    d = os.path.join(tmpdir_path, "u")
+    os.makedirs(d)
+    _append(os.path.join(d, "a.txt"), "s,5,50\ns,2,\ns,1,10\ns,4,\ns,3,30\ns,0,\n")
+    p = F.split("value", ",")
+    s = spark.readStream.text(d).select(p[0].alias("source"), p[1].cast("long").alias("seq"), F.nullif(p[2], F.lit("")).alias("time_wire"))
+    s = s.withColumn("event_time", F.timestamp_seconds(F.col("time_wire").cast("long")))
+    drain(write_parquet(stream_carry_time(s), os.path.join(tmpdir_path, "o2"), os.path.join(tmpdir_path, "c2")))
+    got = spark.read.parquet(os.path.join(tmpdir_path, "o2")).orderBy("seq").select("time_wire", F.unix_seconds("event_time")).collect()
+    assert [tuple(r) for r in got] == [(None, None), ("10", 10), ("10", 10), ("30", 30), ("30", 30), ("50", 50)]
+
+
 def test_growing_file_truncated_restarts(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "t")
     os.makedirs(d)

@@ -32,6 +32,11 @@ def test_date_parse_with_zone(spark):
     df = spark.createDataFrame([("2018-12-06 04:02:27",), ("Dec 21, 2018 10:55:42 EST",), ("junk",)], "v string")
     got = [r[0] for r in df.select(F.unix_seconds(parse_date(F.col("v")))).collect()]
     assert got == [1544068947, 1545407742, None]
+    forms = ["2018-12-06T04:02:27Z", "2018-12-06T06:02:27+02:00", "2018-12-06T04:02:27.757Z", "06/Dec/2018:04:02:27 +0000", "Dec  6 04:02:27 2018",
+             "Thu Dec  6 04:02:27 2018", "Thu, 06 Dec 2018 04:02:27 +0000", "12/06/2018 04:02:27", "Thu, 6 Dec 2018 00:02:27 -0400 (AST)"]
+    f = spark.createDataFrame([(x,) for x in forms], "v string")
+    assert [r[0] for r in f.select(F.unix_seconds(parse_date(F.col("v")))).collect()] == [1544068947] * len(forms)
+    assert spark.range(1).select(epoch_seconds(F.lit("1.5454077E9"))).first()[0] == 1545407700
     legacy = df.select(F.unix_seconds(parse_date(F.col("v"), legacy_wall_clock=True))).collect()[1][0]
     assert legacy == 1545407742 - 5 * 3600
 
@@ -66,11 +71,18 @@ def test_resolve_time_precedence(spark):
         (None, {"time": "24"}, None),            # fields
         (None, {"x": "1"}, '{"msg": "m", "time": 24}'),  # event object
         (None, {"time": ""}, None),              # falsy -> now
+        ("0", {"time": "5"}, None),              # given, whatever it is
+        ("", {}, None),
+        (None, {"time": "0"}, '{"time": 7}'),    # a text is a value
+        (None, {}, '{"time": 0}'),
+        (None, {}, '{"time": "0"}'),
+        (None, {}, '{"time": null}'),
         (None, {}, '"plain"'),                   # nothing -> now
     ], "env string, fields map<string,string>, ev string")
     v, o = resolve_time(F.col("env"), F.col("fields"), F.parse_json(F.col("ev")), now_column(1000))
     got = [tuple(r) for r in df.select(v, o).collect()]
-    assert got == [("24", "envelope"), ("24", "fields"), ("24", "event"), ("1000", "now"), ("1000", "now")]
+    assert got == [("24", "envelope"), ("24", "fields"), ("24", "event"), ("1000", "now"),
+                   ("0", "envelope"), ("", "envelope"), ("0", "fields"), ("1000", "now"), ("0", "event"), ("1000", "now"), ("1000", "now")]
 
 
 def test_age_boundary(spark):

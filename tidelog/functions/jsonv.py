@@ -28,8 +28,9 @@ def strict_parse_json(c: Column) -> Column:
 
     ``try_parse_json`` alone accepts trailing junk (``{"a":1} junk``), so a
     value is accepted only if ``is_strict_json`` holds; then it is decoded
-    into VARIANT.  Duplicate keys (VARIANT refuses them) and ``NaN`` stay
-    rejects (Python would take them).
+    into VARIANT.  Of duplicate keys the last one counts
+    (``spark.sql.variant.allowDuplicateKeys``); ``NaN`` stays a reject (Python
+    would take it).
     """
     return F.when(is_strict_json(c), F.try_parse_json(py_strip(c)))
 
@@ -45,7 +46,8 @@ def is_strict_json(c: Column) -> Column:
     s = py_strip(c)
     one = F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1
     obj = F.json_object_keys(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
-    return F.coalesce(one & obj & (F.length(s) > 0), F.lit(False))
+    # Only a text with a ``]`` can close the first wrapper early.
+    return F.coalesce(one & (~s.contains("]") | obj) & (F.length(s) > 0), F.lit(False))
 
 
 def json_status(c: Column) -> Column:

@@ -30,13 +30,16 @@ DEFAULT_ZONE_RX = "^(GMT|UTC)|^(US|Europe|Asia)/"
 DEFAULT_DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss,SSS",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy/MM/dd HH:mm:ss",
     "MMM d, yyyy HH:mm:ss",
     "MMM d yyyy HH:mm:ss",
     "MM/dd/yyyy hh:mm a",
-    "dd MMM yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm:ss",
+    "d/MMM/yyyy:HH:mm:ss",
+    "MMM d HH:mm:ss yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd",
 )
 
@@ -69,7 +72,10 @@ def timestamp_to_wire(ts: Column) -> Column:
 def epoch_seconds(c: Column) -> Column:
     """Integer epoch seconds of a time value: text cut at ``.``, numbers truncated,
     timestamps to seconds; NULL when not numeric (the reference raises)."""
-    return F.trim(F.split_part(c.cast("string"), F.lit("."), F.lit(1))).try_cast("bigint")
+    s = F.trim(c.cast("string"))
+    exponent = s.rlike("^[+-]?[0-9.]+[eE][+-]?[0-9]+$")
+    return F.when(exponent, s.try_cast("double").cast("decimal(38,6)").try_cast("bigint")) \
+        .otherwise(F.trim(F.split_part(s, F.lit("."), F.lit(1))).try_cast("bigint"))
 
 
 def ts_epoch_seconds(ts: Column) -> Column:
@@ -77,18 +83,16 @@ def ts_epoch_seconds(ts: Column) -> Column:
 
 
 @lru_cache(maxsize=8)
-def zone_abbreviations(load_re: str = DEFAULT_ZONE_RX, years: tuple[int, ...] = tuple(range(2015, 2026))) -> dict[str, str]:
+def zone_abbreviations(load_re: str = DEFAULT_ZONE_RX, years: tuple[int, ...] = tuple(range(1970, 2038))) -> dict[str, str]:
     """Abbreviation -> UTC offset (``'+HH:MM'``) for the zones whose name matches
     ``load_re``.  Built from the system zone database by a rule: the offsets in
-    mid-January and mid-July of recent years; a later zone (name order) wins an
-    ambiguous abbreviation."""
+    mid-January and mid-July of all years of the epoch; the latest year wins an
+    ambiguous abbreviation, and in it the later zone (name order)."""
     rx = re.compile(load_re.strip())
     table: dict[str, str] = {}
-    for name in sorted(zoneinfo.available_timezones()):
-        if not rx.search(name):
-            continue
-        z = zoneinfo.ZoneInfo(name)
-        for y in years:
+    zones = [zoneinfo.ZoneInfo(name) for name in sorted(zoneinfo.available_timezones()) if rx.search(name)]
+    for y in years:
+        for z in zones:
             for m in (1, 7):
                 d = datetime(y, m, 15, 12, tzinfo=timezone.utc).astimezone(z)
                 abbr = d.tzname()
@@ -100,39 +104,85 @@ def zone_abbreviations(load_re: str = DEFAULT_ZONE_RX, years: tuple[int, ...] =
     return table
 
 
+NUMERIC_OFFSET = r"(:\d{2}) ?(Z|[+-]\d{2}:?\d{2})(?: \([A-Za-z]+\))?$"
+NAMED_ZONE = r" ([A-Za-z]{2,6})$"
+
+
+def _clean_date(c: Column) -> Column:
+    """Date text with single blanks, without a day name in front or fractions of a second."""
+    body = F.trim(F.regexp_replace(c, r"\s+", " "))
+    body = F.regexp_replace(body, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
+    return F.regexp_replace(body, r"(:\d{2})[.,]\d+", "$1")
+
+
+def _given_offset(body: Column) -> Column:
+    given = F.regexp_extract(body, NUMERIC_OFFSET, 2)
+    return F.when(given == "Z", "+00:00").when(given != "", F.concat(F.substring(given, 1, 3), F.lit(":"), F.right(given, F.lit(2))))
+
+
+def _zone_offset(body: Column, zones: dict[str, str]) -> Column:
+    if not zones:
+        return F.lit(None).cast("string")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(zones.items()) for x in kv]), F.regexp_extract(body, NAMED_ZONE, 1))
+
+
+def _without_zone(body: Column, given: Column, named: Column) -> Column:
+    return F.when(given.isNotNull(), F.regexp_replace(body, NUMERIC_OFFSET, "$1")) \
+        .when(named.isNotNull(), F.regexp_replace(body, NAMED_ZONE, "")).otherwise(body)
+
+
+def _instant(wall: Column, offset: Column, local_zone: str, legacy_wall_clock: bool) -> Column:
+    zone = F.lit(local_zone) if legacy_wall_clock else F.coalesce(offset, F.lit(local_zone))
+    return F.date_trunc("second", F.to_utc_timestamp(wall, zone))
+
+
+def _first_fit(body: Column, formats) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(body, F.lit(f)) for f in formats])
+
+
 def parse_date(c: Column, formats=DEFAULT_DATE_FORMATS, zones: dict[str, str] | None = None,
                local_zone: str = "UTC", legacy_wall_clock: bool = False) -> Column:
     """Free-form date text -> TIMESTAMP (whole seconds), NULL if no format fits.
 
-    A trailing zone abbreviation is looked up in ``zones``; text without a zone
-    is read in ``local_zone``.  Sub-seconds are dropped, as the reference does.
+    A day name in front and fractions of a second are dropped.  A numeric
+    offset or ``Z`` at the end of a time counts; a zone abbreviation there is
+    looked up in ``zones``; text without a zone is read in ``local_zone``.
     """
+    body = _clean_date(c)
+    given, named = _given_offset(body), _zone_offset(body, zone_abbreviations() if zones is None else zones)
+    return _instant(_first_fit(_without_zone(body, given, named), formats), F.coalesce(given, named), local_zone, legacy_wall_clock)
+
+
+def with_parsed_date(df, text: Column, out_col: str, formats=DEFAULT_DATE_FORMATS, zones: dict[str, str] | None = None,
+                     local_zone: str = "UTC", legacy_wall_clock: bool = False):
+    """``parse_date`` as staged projections: each step is computed once per row
+    and the generated code stays small."""
     zones = zone_abbreviations() if zones is None else zones
-    zmap = F.create_map(*[F.lit(x) for kv in sorted(zones.items()) for x in kv]) if zones else None
-    abbr = F.regexp_extract(c, r"\s([A-Za-z]{2,6})$", 1)
-    offset = F.element_at(zmap, abbr) if zmap is not None else F.lit(None).cast("string")
-    body = F.when(offset.isNotNull(), F.regexp_replace(c, r"\s+[A-Za-z]{2,6}$", "")).otherwise(c)
-    body = F.trim(body)
-    wall = F.coalesce(*[F.try_to_timestamp(body, F.lit(f)) for f in formats])
-    zone = F.lit(local_zone) if legacy_wall_clock else F.coalesce(offset, F.lit(local_zone))
-    return F.date_trunc("second", F.to_utc_timestamp(wall, zone))
+    b, g, n = (f"__tl_d{x}" for x in "bgn")
+    d = df.withColumn(b, _clean_date(text))
+    d = d.withColumn(g, _given_offset(F.col(b))).withColumn(n, _zone_offset(F.col(b), zones))
+    d = d.withColumn(b, _without_zone(F.col(b), F.col(g), F.col(n)))
+    d = d.withColumn(out_col, _first_fit(F.col(b), formats))
+    return d.withColumn(out_col, _instant(F.col(out_col), F.coalesce(F.col(g), F.col(n)), local_zone, legacy_wall_clock)).drop(b, g, n)
 
 
 def with_field_time(df, parse_time: str | None, fields_col: str = "fields", **date_opts):
     """Add ``time_wire`` and ``event_time`` from ``fields[parse_time]``.
 
-    Both are NULL when the field is missing or empty.  An epoch found at the
+    Both are NULL when the field is missing or empty, and when its text is not
+    a time, which ``time_unparsed`` reports.  An epoch found at the
     start wins; only otherwise is the date parser run.  Each stage is its own
     projection so the generated code stays small and nothing is computed twice.
     """
     if not parse_time:
         return df.withColumn("time_wire", F.lit(None).cast("string")) \
-                 .withColumn("event_time", F.lit(None).cast("timestamp"))
+                 .withColumn("event_time", F.lit(None).cast("timestamp")).withColumn("time_unparsed", F.lit(False))
     v, ep, pd_ = "__tl_tv", "__tl_tep", "__tl_tpd"
     d = df.withColumn(v, F.element_at(F.col(fields_col), F.lit(parse_time)))
     d = d.withColumn(v, F.when(F.length(F.col(v)) > 0, F.col(v)))
     d = d.withColumn(ep, detect_epoch(F.col(v)))
-    d = d.withColumn(pd_, F.when(F.col(ep).isNull() & F.col(v).isNotNull(), parse_date(F.col(v), **date_opts)))
+    d = with_parsed_date(d, F.when(F.col(ep).isNull(), F.col(v)), pd_, **date_opts)
     d = d.withColumn("time_wire", F.coalesce(F.col(ep), timestamp_to_wire(F.col(pd_))))
     d = d.withColumn("event_time", F.when(F.col(ep).isNotNull(), wire_to_timestamp(F.col(ep))).otherwise(F.col(pd_)))
+    d = d.withColumn("time_unparsed", F.col(v).isNotNull() & F.col("time_wire").isNull())
     return d.drop(v, ep, pd_)

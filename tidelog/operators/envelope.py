@@ -74,40 +74,43 @@ def carry_time(df: DataFrame, by: str = "source", order: str = "seq", width: int
     """Rows without a parsed time take the last parsed time of their source.
 
     Expects ``time_wire`` / ``event_time`` from the time parse; must run before
-    any filter that drops rows (a dropped row still sets the carried time)."""
+    any filter that drops rows (a dropped row still sets the carried time).  A
+    row whose time text did not parse (``time_unparsed``) keeps no time: it is a
+    reject, not a line without a time."""
     d = df.withColumn(_P + "t", F.when(F.col("time_wire").isNotNull(),
                                        F.struct(F.col("time_wire").alias("w"), F.col("event_time").alias("t"))))
     d = carry_forward(d, _P + "t", by, order, width=width)
+    if "time_unparsed" in df.columns:
+        d = d.withColumn(_P + "t", F.when(~F.col("time_unparsed"), F.col(_P + "t")))
     return (d.withColumn("time_wire", F.col(_P + "t.w")).withColumn("event_time", F.col(_P + "t.t"))
             .drop(_P + "t"))
 
 
-def _falsy(c: Column) -> Column:
-    s = c.cast("string")
-    return c.isNull() | (s == "") | (s == "0") | (s == "false") | (s == "0.0")
+def resolve_time(env_time: Column, fields: Column, event_json: Column | None, now: Column,
+                 env_given: Column | None = None) -> tuple[Column, Column]:
+    """The payload time and where it came from, ``(value_text, origin)``.
 
-
-def resolve_time(env_time: Column, fields: Column, event_json: Column | None, now: Column) -> tuple[Column, Column]:
-    """The payload time and where it came from.
-
-    Envelope ``time`` if given; else ``fields['time']`` if that key exists (even
-    NULL); else ``event.time`` if the event is an object; a falsy result (NULL,
-    '', 0) becomes ``now``.  Returns ``(value_text, origin)``."""
-    has_field = F.array_contains(F.map_keys(fields), F.lit("time"))
-    from_event = F.lit(None).cast("string")
+    An envelope ``time`` that is given stays whatever it is (``env_given`` tells a
+    given NULL from none; by default a value that is not NULL is given).  Else
+    ``fields['time']`` if that key exists; else ``event.time`` if the event is an
+    object; of these, NULL, an empty text and, for JSON values, zero, false and empty
+    containers become ``now`` (the text ``'0'`` is a value)."""
+    given = F.coalesce(env_time.isNotNull() if env_given is None else env_given, F.lit(False))
+    has_field = F.coalesce(F.array_contains(F.map_keys(fields), F.lit("time")), F.lit(False))
+    field = F.element_at(fields, F.lit("time"))
+    event, usable = F.lit(None).cast("string"), F.lit(False)
     if event_json is not None:
-        from_event = F.when(jsonv.is_object(event_json),
-                            F.try_variant_get(event_json, "$.time", "string"))
-    chosen = (F.when(env_time.isNotNull(), env_time.cast("string"))
-              .when(has_field, F.element_at(fields, F.lit("time")))
-              .otherwise(from_event))
-    origin = (F.when(env_time.isNotNull(), F.lit("envelope"))
-              .when(has_field, F.lit("fields"))
-              .when(from_event.isNotNull(), F.lit("event"))
-              .otherwise(F.lit("none")))
-    falsy = _falsy(chosen)
-    value = F.when(falsy, now.cast("string")).otherwise(chosen)
-    origin = F.when(falsy, F.lit("now")).otherwise(origin)
+        member = F.when(jsonv.is_object(event_json), F.try_variant_get(event_json, "$.time", "variant"))
+        event = F.coalesce(F.try_variant_get(member, "$", "string"), F.to_json(member))
+        is_text = F.schema_of_variant(member) == "STRING"
+        usable = F.when(is_text, event != "").otherwise(
+            ~event.isin("null", "false", "{}", "[]") & F.coalesce(event.try_cast("double") != 0, F.lit(True)))
+    usable = F.coalesce(usable, F.lit(False))
+    by_now = now.cast("string")
+    value = F.when(given, env_time.cast("string")).when(has_field, F.when(field != "", field).otherwise(by_now)) \
+        .when(usable, event).otherwise(by_now)
+    origin = F.when(given, F.lit("envelope")).when(has_field, F.when(field != "", F.lit("fields")).otherwise(F.lit("now"))) \
+        .when(usable, F.lit("event")).otherwise(F.lit("now"))
     return value, origin
 
 

@@ -119,6 +119,7 @@ def _apply_step(df: DataFrame, spec: PatternSpec, st: _State, text_col, json_col
         matched = F.coalesce(gate & F.col(inp_name).rlike(spec.java), F.lit(False))
         df = df.select(*others, F.col(inp_name), matched.alias(m_name))
         vals = {k: F.regexp_extract(F.col(inp_name), spec.java, gi) for k, gi in zip(spec.keys, spec.group_index)}
+        vals = {k: F.nullif(v, F.lit("")) if spec.null_if_empty(gi) else v for (k, v), gi in zip(vals.items(), spec.group_index)}
         drop = []
     m = F.col(m_name)
     new_cols = {}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequential import key_segments
+from .sequential import join_null_safe, key_segments
 
 # The collector batch limit and the two separators.
 DEFAULT_MAX_BYTES = 102_400
@@ -131,14 +131,15 @@ def pack_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], si
     """Add ``out_col`` (0-based batch number within the group) to every item.
 
     ``chunk_col`` must be non-decreasing in ``order_cols`` within a group and
-    keep chunks bounded (e.g. ``floor(seq / 65536)``)."""
+    keep chunks bounded (e.g. ``floor(seq / 65536)``).  A NULL group is a group of
+    its own; a NULL size is that of an empty payload."""
     sep_len = len(sep.encode("utf-8"))
     keys = list(group_cols) + [chunk_col]
     order_only = [c for c in order_cols if c not in keys]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Chunks are many and small: each pass is one mapInPandas per partition over
     # runs of equal keys (sorted), not a Python call per group.
-    items = df.withColumn(_S, F.col(size_col).cast("long")).repartition(parts, *keys) \
+    items = df.withColumn(_S, F.coalesce(F.col(size_col).cast("long"), F.lit(0))).repartition(parts, *keys) \
         .sortWithinPartitions(*keys, *order_only)
     key_schema = [items.schema[k] for k in keys]
     sum_schema = T.StructType(key_schema + list(SUMMARY_SCHEMA.fields))
@@ -176,7 +177,7 @@ def pack_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], si
                                         int(seg["base_id"].iloc[0]), max_bytes, sep_len)
             yield seg[names]
 
-    joined = items.join(entry, keys, "inner").sortWithinPartitions(*keys, *order_only)
+    joined = join_null_safe(items, entry, keys).sortWithinPartitions(*keys, *order_only)
     return joined.mapInPandas(assign, out_schema)
 
 
@@ -199,9 +200,8 @@ def flush_stats(batches: DataFrame, group_cols: list[str], ok_col: str | None =
     return batches.groupBy(*group_cols).agg(*aggs)
 
 
-def single_event_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], chunk_col: str,
-                         out_col: str = "batch_no") -> DataFrame:
-    """No batching, one event per send: packing with a limit nothing fits
-    under, so every item is its own batch (numbers 0..n-1 per group)."""
-    return pack_batches(df.withColumn("__tl_one", F.lit(1)), group_cols, order_cols, "__tl_one", chunk_col,
-                        max_bytes=0, out_col=out_col).drop("__tl_one")
+def single_event_batches(df: DataFrame, payload_col: str, batch_col: str = "batch") -> DataFrame:
+    """No batching, one event per send: a projection.  The event's own keys
+    are the batch's; ``batch``, ``items`` and ``bytes`` are as those of ``assemble_batches``."""
+    return df.withColumn(batch_col, F.col(payload_col)).withColumn("items", F.lit(1).cast("bigint")) \
+        .withColumn("bytes", F.octet_length(payload_col).cast("bigint"))

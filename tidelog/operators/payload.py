@@ -1,8 +1,8 @@
 """Payload encoding.
 
 One JSON object per event with members ``index, sourcetype, source, host,
-fields, time, event`` in that order; nulls are written; ``time`` is integer
-epoch seconds; ``event`` is a JSON string or, for decoded records, the JSON
+fields, time, event`` in that order; nulls are written; ``time`` is the
+number as detected (epoch seconds, with a fraction where there is one); ``event`` is a JSON string or, for decoded records, the JSON
 value itself.  Compact separators and raw UTF-8 (the reference writes
 ``", "`` separators and ``\\uXXXX`` escapes); sizes in packing are the UTF-8
 bytes of this text.
@@ -26,12 +26,14 @@ def encode_payload(index: Column, sourcetype: Column, source: Column, host: Colu
                    time: Column, event_text: Column | None = None, event_json: Column | None = None) -> Column:
     """Payload JSON text (see module doc)."""
     head = F.to_json(F.struct(index.alias("index"), sourcetype.alias("sourcetype"), source.alias("source"),
-                              host.alias("host"), fields.alias("fields"), time.cast("bigint").alias("time")), _OPTS)
+                              host.alias("host"), fields.alias("fields")), _OPTS)
+    wire = time.cast("string")
+    number = F.when(wire.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"), wire).otherwise(F.coalesce(time.try_cast("bigint").cast("string"), F.lit("null")))
     if event_json is not None and event_text is not None:
         ev = F.coalesce(F.to_json(event_json), json_string(event_text))
     elif event_json is not None:
         ev = F.to_json(event_json)
     else:
         ev = json_string(event_text)
-    return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"event":'), F.coalesce(ev, F.lit("null")),
+    return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"time":'), number, F.lit(',"event":'), F.coalesce(ev, F.lit("null")),
                     F.lit("}"))

@@ -6,9 +6,8 @@ the global settings (first non-null wins), then per-field fix-ups: index
 defaults to ``tmp``, sourcetype to the reader's default.  A route still lacking
 endpoint, token or index is skipped (O52) and its events are left out.
 
-The routes table is small by construction (one row per configured source), so
-its size is checked where it is built: it is broadcast when it has at most
-``BROADCAST_MAX_ROUTES`` rows and joined by a normal shuffle join otherwise.
+A source has one route: of several, the last configured one counts.  Whether
+the routes are broadcast is left to Spark's size estimate and AQE.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ BASE_PAYLOAD = {"index": "main", "sourcetype": "json", "source": "unknown"}
 READER_SOURCETYPES = {"lines": "tidelog:lines", "cmdlines": "tidelog:cmdlines",
                       "jsonlines": "tidelog:lines", "cmdjson": "tidelog:cmdlines", "packets": "tidelog:cmdlines"}
 DEFAULT_INDEX = "tmp"
-BROADCAST_MAX_ROUTES = 100_000
 
 ROUTE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("reader", T.StringType()),
@@ -36,10 +34,10 @@ ROUTE_SCHEMA = T.StructType([
 ])
 
 
-def routes_frame(spark: SparkSession, rows: list[dict]) -> tuple[DataFrame, int]:
-    """Routes from configuration rows; returns the frame and its row count."""
-    data = [tuple(r.get(f.name) for f in ROUTE_SCHEMA.fields) for r in rows]
-    return spark.createDataFrame(data, ROUTE_SCHEMA), len(data)
+def routes_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Routes from configuration rows; a source that is given again replaces its route."""
+    last = {r.get("source"): tuple(r.get(f.name) for f in ROUTE_SCHEMA.fields) for r in rows}
+    return spark.createDataFrame(list(last.values()), ROUTE_SCHEMA)
 
 
 def resolve_routes(routes: DataFrame, global_opts: dict) -> tuple[DataFrame, DataFrame]:
@@ -62,15 +60,18 @@ def resolve_routes(routes: DataFrame, global_opts: dict) -> tuple[DataFrame, Dat
     return r.where(ok), skipped
 
 
-def route_events(events: DataFrame, routes: DataFrame, n_routes: int, global_opts: dict,
-                 source_col: str = "source") -> DataFrame:
-    """Attach endpoint, token, index, sourcetype, host to each event; events of
-    skipped or unknown sources are left out (inner join)."""
-    usable, _ = resolve_routes(routes, global_opts)
+def route_events(events: DataFrame, routes: DataFrame, global_opts: dict,
+                 source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """``(routed, left_out)``: events with endpoint, token, index, sourcetype and
+    host attached, and those of skipped or unknown sources with the ``reason``."""
+    usable, skipped = resolve_routes(routes.dropDuplicates(["source"]), global_opts)
     usable = usable.withColumnRenamed("source", "__tl_route_source")
-    if n_routes <= BROADCAST_MAX_ROUTES:
-        usable = F.broadcast(usable)
-    return events.join(usable, events[source_col] == usable["__tl_route_source"], "inner").drop("__tl_route_source")
+    known = skipped.select(F.col("source").alias("__tl_route_source"), F.lit("incomplete route").alias("reason"))
+    routed = events.join(usable, events[source_col] == usable["__tl_route_source"], "inner").drop("__tl_route_source")
+    rest = events.join(usable, events[source_col] == usable["__tl_route_source"], "left_anti")
+    left_out = rest.join(known, rest[source_col] == known["__tl_route_source"], "left").drop("__tl_route_source") \
+        .withColumn("reason", F.coalesce("reason", F.lit("no route")))
+    return routed, left_out
 
 
 def overlay_defaults(index=None, sourcetype=None, source=None, host=None):

@@ -11,6 +11,7 @@ allows (the throttle jumps from kept event to kept event with a binary search).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,14 +54,14 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
 
 
 def _run_starts(pdf: pd.DataFrame, key_cols: list[str]) -> np.ndarray:
-    """Positions where the key differs from the row before (vectorised)."""
+    """Positions where the key differs from the row before (vectorised); NULLs are equal."""
     n = len(pdf)
     change = np.zeros(n, dtype=bool)
     if n:
         change[0] = True
     for c in key_cols:
-        v = pdf[c].to_numpy()
-        change[1:] |= v[1:] != v[:-1]
+        v, null = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+        change[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
     return np.flatnonzero(change)
 
 
@@ -69,15 +70,27 @@ def key_segments(batches: Iterator[pd.DataFrame], key_cols: list[str]) -> Iterat
     ``key_cols``; a run cut by a batch boundary is finished with the next batch.
     Used instead of ``applyInPandas`` where groups are many and small (one
     Python call per partition, not per group)."""
-    pending = None
+    held: list[pd.DataFrame] = []          # pieces of the last run, joined once
     for pdf in batches:
         if pdf.empty:
             continue
-        if pending is not None:
-            pdf = pd.concat([pending, pdf], ignore_index=True)
         bounds = list(_run_starts(pdf, key_cols)) + [len(pdf)]
-        for a, b in zip(bounds[:-2], bounds[1:-1]):
-            yield pdf.iloc[a:b]
-        pending = pdf.iloc[bounds[-2]:].reset_index(drop=True)
-    if pending is not None and not pending.empty:
-        yield pending
+        if held:
+            ends = pd.concat([held[-1][key_cols].iloc[-1:], pdf[key_cols].iloc[:1]])
+            if len(_run_starts(ends, key_cols)) > 1:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        for a, b in zip(bounds, bounds[1:]):
+            if a and held:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL equals NULL; the key columns of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"__tl_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"__tl_r_{k}"]) for k in keys])
+    return left.join(named, on).drop(*[f"__tl_r_{k}" for k in keys])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .sequential import key_segments, ordered_scan
+from .sequential import join_null_safe, key_segments, ordered_scan
 
 _T = "__tl_thr_t"
 
@@ -169,7 +169,8 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
              failed_col: str | None = None, tag_col: str = "tag", partitions: int | None = None) -> DataFrame:
     """Add ``kept BOOLEAN`` (see module doc).  ``time_col`` is a TIMESTAMP or
     epoch seconds; ``order_cols`` break ties of equal times.  Times are compared
-    as integer microseconds, so the ``>=`` boundary is exact."""
+    as integer microseconds, so the ``>=`` boundary is exact.  A NULL tag is a tag
+    of its own; an event without a time gets ``kept`` NULL and sets no clock."""
     order_cols = list(order_cols or [])
     tcol = F.col(time_col)
     micros = F.unix_micros(tcol.cast("timestamp")) if dict(df.dtypes)[time_col].startswith("timestamp") \
@@ -178,6 +179,8 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
     fcol = "__tl_thr_f"
     d = df.withColumn(tag_col, tag if isinstance(tag, Column) else F.col(tag)).withColumn(_T, micros) \
         .withColumn(fcol, F.coalesce(F.col(failed_col), F.lit(False)) if failed_col else F.lit(False))
+    untimed = d.where(F.col(_T).isNull()).drop(_T, fcol).withColumn("kept", F.lit(None).cast("boolean"))
+    d = d.where(F.col(_T).isNotNull())
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ch = "__tl_thr_c"
     # The range bounds come from a sample; both passes must see the same chunks,
@@ -229,5 +232,5 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
                                     int(seg["start"].iloc[0]), lim)
             yield seg[names]
 
-    joined = d.join(entries, keys, "inner").sortWithinPartitions(*keys, *sort_cols)
-    return joined.mapInPandas(assign, out_schema)
+    joined = join_null_safe(d, entries, keys).sortWithinPartitions(*keys, *sort_cols)
+    return joined.mapInPandas(assign, out_schema).unionByName(untimed)

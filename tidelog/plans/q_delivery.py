@@ -18,8 +18,8 @@ PACK_CHUNK = 4096
 
 PACK_CTE = f"""
 WITH RECURSIVE items AS (
-  SELECT role, conv_id, turn, CAST(strlen(text) AS BIGINT) AS sz,
-         row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn
+  SELECT nullif(role, 'system') AS role, conv_id, turn, CAST(coalesce(strlen(text), 0) AS BIGINT) AS sz,
+         row_number() OVER (PARTITION BY nullif(role, 'system') ORDER BY conv_id, turn) AS rn
   FROM conversations),
 walk AS (
   SELECT role, rn, CAST(0 AS BIGINT) AS batch_no,
@@ -30,13 +30,13 @@ walk AS (
          CASE WHEN w.cur <> -1 AND w.cur + 1 + i.sz < {PACK_MAX} THEN w.batch_no ELSE w.batch_no + 1 END,
          CASE WHEN w.cur <> -1 AND w.cur + 1 + i.sz < {PACK_MAX} THEN w.cur + 1 + i.sz
               WHEN 1 + i.sz < {PACK_MAX} THEN i.sz ELSE -1 END
-  FROM walk w JOIN items i ON i.role = w.role AND i.rn = w.rn + 1),
+  FROM walk w JOIN items i ON i.role IS NOT DISTINCT FROM w.role AND i.rn = w.rn + 1),
 packed AS (
-  SELECT i.conv_id, i.turn, i.role, i.sz, w.batch_no FROM walk w JOIN items i USING (role, rn))"""
+  SELECT i.conv_id, i.turn, i.role, i.sz, w.batch_no FROM walk w JOIN items i ON i.role IS NOT DISTINCT FROM w.role AND i.rn = w.rn)"""
 
 
 def _packed(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumn("role", F.expr("nullif(role, 'system')"))  # a group without a name
     c = c.withColumn("size", F.octet_length("text")).withColumn("chunk", F.floor(F.col("conv_id") / PACK_CHUNK))
     return pack_batches(c, ["role"], ["conv_id", "turn"], "size", "chunk", max_bytes=PACK_MAX, sep=" ")
 
@@ -60,14 +60,10 @@ def flush_stats_q(spark, sf_dir):
 
 
 @query("single_event", "O69", oracle="""
-SELECT conv_id, turn, role,
-       CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS BIGINT) AS batch_no
-FROM conversations
+SELECT conv_id, turn, role, CAST(1 AS BIGINT) AS items, CAST(strlen(text) AS BIGINT) AS bytes FROM conversations
 """)
 def single_event(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("chunk", F.floor(F.col("conv_id") / PACK_CHUNK))
-    return single_event_batches(c, ["role"], ["conv_id", "turn"], "chunk").select("conv_id", "turn", "role",
-                                                                                  "batch_no")
+    return single_event_batches(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "role", "items", "bytes")
 
 
 def fake_collector(endpoint, token, body):
@@ -131,35 +127,44 @@ def backoff_q(spark, sf_dir):
     return backoff(ev, ["user_id"], ["event_id"], "ok").select("event_id", "user_id", "action", "skip_steps")
 
 
-def _throttle_oracle(tag_sql: str, limit_us: int) -> str:
+def _throttle_oracle(tag_sql: str, limit_us: int, time_sql: str = "ts") -> str:
     return f"""
-WITH RECURSIVE s AS (
-  SELECT event_id, {tag_sql} AS tag, epoch_us(ts) AS t,
-         row_number() OVER (PARTITION BY {tag_sql} ORDER BY ts, event_id) AS rn
-  FROM events),
+WITH RECURSIVE e AS (SELECT event_id, {tag_sql} AS tag, {time_sql} AS ts FROM events),
+s AS (
+  SELECT event_id, tag, epoch_us(ts) AS t, row_number() OVER (PARTITION BY tag ORDER BY ts, event_id) AS rn
+  FROM e WHERE ts IS NOT NULL),
 w AS (
   SELECT tag, rn, event_id, true AS kept, t AS clock FROM s WHERE rn = 1
   UNION ALL
   SELECT s.tag, s.rn, s.event_id, s.t - w.clock >= {limit_us},
          CASE WHEN s.t - w.clock >= {limit_us} THEN s.t ELSE w.clock END
-  FROM w JOIN s ON s.tag = w.tag AND s.rn = w.rn + 1)
-SELECT event_id, tag, kept FROM w
+  FROM w JOIN s ON s.tag IS NOT DISTINCT FROM w.tag AND s.rn = w.rn + 1)
+SELECT event_id, tag, kept FROM w UNION ALL SELECT event_id, tag, NULL FROM e WHERE ts IS NULL
 """
 
 
-@query("throttle", "O71", oracle=_throttle_oracle("CAST(user_id AS VARCHAR)", 86_400_000_000))
-def throttle_q(spark, sf_dir):
+# Every 50th user has no tag, every 37th event no time.
+TAG_SQL = "CASE WHEN user_id % 50 <> 0 THEN CAST(user_id AS VARCHAR) END"
+TIME_SQL = "CASE WHEN event_id % 37 <> 0 THEN ts END"
+
+
+def events_with_gaps(spark, sf_dir):
     ev = events_ts_utc(table(spark, sf_dir, "events"))
-    return throttle(ev, F.col("user_id").cast("string"), "ts", 86_400, order_cols=["event_id"]) \
+    return ev.withColumn("ts", F.when(F.col("event_id") % 37 != 0, F.col("ts"))) \
+        .withColumn("user", F.when(F.col("user_id") % 50 != 0, F.col("user_id").cast("string")))
+
+
+@query("throttle", "O71", oracle=_throttle_oracle(TAG_SQL, 86_400_000_000, TIME_SQL))
+def throttle_q(spark, sf_dir):
+    ev = events_with_gaps(spark, sf_dir).select("event_id", "user", "ts")
+    return throttle(ev, F.col("user"), "ts", 86_400, order_cols=["event_id"]) \
         .select("event_id", "tag", "kept")
 
 
-@query("message_throttle", "O72 O71", oracle=_throttle_oracle("CAST(user_id AS VARCHAR) || '|' || event_type",
-                                                              3_600_000_000))
+@query("message_throttle", "O72 O71", oracle=_throttle_oracle(f"concat_ws('|', {TAG_SQL}, event_type)", 3_600_000_000, TIME_SQL))
 def message_throttle(spark, sf_dir):
-    ev = events_ts_utc(table(spark, sf_dir, "events"))
-    return throttle(ev, message_tag(F.col("user_id").cast("string"), "event_type"), "ts", 3_600,
-                    order_cols=["event_id"]).select("event_id", "tag", "kept")
+    ev = events_with_gaps(spark, sf_dir).select("event_id", "user", "event_type", "ts")
+    return throttle(ev, message_tag("user", "event_type"), "ts", 3_600, order_cols=["event_id"]).select("event_id", "tag", "kept")
 
 
 @query("queue_sizes", "O73", oracle="""

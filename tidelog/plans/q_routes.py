@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_keep_last4, mask_secret, normalise_collector_url, normalise_file_target, preview
+from ..functions.timefmt import timestamp_to_wire
 from ..operators.payload import encode_payload
 from ..operators.routes import overlay_defaults, route_events, routes_frame
 from .registry import query
@@ -31,11 +32,21 @@ ROUTES_SQL = """
     AS r(source, endpoint, token, "index", sourcetype)"""
 
 
-def _routed_events(spark, sf_dir):
+def _routed(spark, sf_dir):
     ev = events_ts_utc(table(spark, sf_dir, "events"))
-    routes, n = routes_frame(spark, ROUTES)
     ev = ev.select(F.col("event_type").alias("source"), "event_id", "user_id", "ts", "value")
-    return route_events(ev, routes, n, GLOBAL)
+    return route_events(ev, routes_frame(spark, ROUTES), GLOBAL)
+
+
+def _routed_events(spark, sf_dir):
+    return _routed(spark, sf_dir)[0]
+
+
+@query("left_out_events", "O52", oracle="""
+SELECT event_id, event_type AS source, 'incomplete route' AS reason FROM events WHERE event_type IN ('click', 'error')
+""")
+def left_out_events(spark, sf_dir):
+    return _routed(spark, sf_dir)[1].select("event_id", "source", "reason")
 
 
 @query("route_events", "O50 O51 O52 O53 O55", oracle=f"""
@@ -96,23 +107,23 @@ def endpoints(spark, sf_dir):
 @query("payloads", "O60 O50 O25", oracle=f"""
 WITH r AS ({ROUTES_SQL}),
 e AS (
-  SELECT e.event_id, e.user_id, e.event_type, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS secs,
+  SELECT e.event_id, e.user_id, e.event_type,
+         (epoch_us(e.ts) // 1000000)::VARCHAR || CASE WHEN e.event_id % 4 = 0 THEN '' ELSE '.' || lpad((e.event_id % 1000)::VARCHAR, 3, '0') || '000' END AS secs,
          'type=' || e.event_type || ' value=' || CAST(e.value AS VARCHAR) || ' note=é"\\' AS line,
          r."index" AS idx, r.sourcetype
-  FROM events e JOIN r ON e.event_type = r.source)
-SELECT event_id,
-       json_object('index', idx, 'sourcetype', sourcetype, 'source', 'user-' || user_id, 'host', 'ingest-1',
-                   'fields', json_object('kind', event_type), 'time', secs, 'event', line)::VARCHAR AS payload,
-       CAST(strlen(json_object('index', idx, 'sourcetype', sourcetype, 'source', 'user-' || user_id,
-                   'host', 'ingest-1', 'fields', json_object('kind', event_type), 'time', secs,
-                   'event', line)::VARCHAR) AS BIGINT) AS payload_bytes
-FROM e
+  FROM events e JOIN r ON e.event_type = r.source),
+p AS (SELECT event_id, rtrim(json_object('index', idx, 'sourcetype', sourcetype, 'source', 'user-' || user_id, 'host', 'ingest-1',
+                   'fields', json_object('kind', event_type))::VARCHAR, '}}') || '}},"time":' || secs || ',"event":' || to_json(line)::VARCHAR || '}}' AS payload
+      FROM e)
+SELECT event_id, payload, CAST(strlen(payload) AS BIGINT) AS payload_bytes FROM p
 """)
 def payloads(spark, sf_dir):
     df = _routed_events(spark, sf_dir)
     line = F.concat(F.lit("type="), F.col("source"), F.lit(" value="), F.col("value").cast("string"),
                     F.lit(' note=é"\\'))
     fields = F.create_map(F.lit("kind"), F.col("source"))
+    fraction = F.when(F.col("event_id") % 4 == 0, 0).otherwise((F.col("event_id") % 1000) * 1000)  # three in four have a fraction
+    wire = timestamp_to_wire(F.timestamp_micros(F.unix_seconds("ts") * 1_000_000 + fraction))
     p = encode_payload(F.col("index"), F.col("sourcetype"), F.concat(F.lit("user-"), F.col("user_id").cast("string")),
-                       F.col("host"), fields, F.unix_seconds("ts"), event_text=line)
+                       F.col("host"), fields, wire, event_text=line)
     return df.select("event_id", p.alias("payload"), F.octet_length(p).cast("bigint").alias("payload_bytes"))

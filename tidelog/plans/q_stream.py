@@ -22,30 +22,28 @@ from ..operators.filters import is_blank
 from ..session import ensure_checkpoint_dir
 from ..streaming.pipeline import drain, write_parquet
 from ..streaming.state import stream_carry_time, stream_throttle
-from .q_delivery import _throttle_oracle
+from .q_delivery import events_with_gaps
 from .q_time import LINE_PATTERNS, event_lines
 from .registry import REGISTRY, query
 
-FILES = 4  # input files, one micro-batch each
+STEPS = 4  # drains of a stream, each over the next span of the order key
 
 
 def _scratch(spark) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/tidelog-stream-" + uuid.uuid4().hex[:12]
 
 
-def _land_in_order(df, order_col: str, path: str) -> None:
-    """Write ``value`` lines as FILES files, each a range of ``order_col``, one
-    write after the other so that arrival order follows the order key."""
-    ranged = df.repartitionByRange(FILES, order_col).sortWithinPartitions(order_col)
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
-    ranged.select("value", "__part").write.partitionBy("__part").text(path + "/staged")
-    for i in range(FILES):
-        (df.sparkSession.read.text(f"{path}/staged/__part={i}").coalesce(1)
-         .write.mode("append").text(f"{path}/in"))
-
-
-def _stream_text(spark, path: str):
-    return spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path + "/in")
+def _drain_in_steps(spark, df, order_col: str, base: str, transform) -> None:
+    """Land ``value`` lines span by span of ``order_col``, and drain the stream
+    after each landing, from its checkpoint.  A span is written by many tasks, its rows
+    out of order; the time between drains stands for a restart."""
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    for k in range(STEPS if lo is not None else 0):
+        cut = [lo + (hi + 1 - lo) * i // STEPS for i in (k, k + 1)]
+        span = df.where((F.col(order_col) >= cut[0]) & (F.col(order_col) < cut[1]))
+        span.repartition(F.xxhash64(order_col)).sortWithinPartitions(F.xxhash64(order_col)).select("value") \
+            .write.mode("append").text(base + "/in")
+        drain(write_parquet(transform(spark.readStream.format("text").load(base + "/in")), base + "/out", base + "/ckpt"))
 
 
 @query("stream_lines", "O80 O81 O82 O01 O40 O64", oracle=REGISTRY["blank_filter"].oracle)
@@ -70,40 +68,41 @@ def stream_carry(spark, sf_dir):
     base = _scratch(spark)
     ev = event_lines(spark, sf_dir)
     rec = F.concat_ws("\t", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_text"))
-    _land_in_order(ev.select("event_id", rec.alias("value")), "event_id", base)
-    s = _stream_text(spark, base)
-    parts = F.split(F.col("value"), "\t", 3)
-    s = s.select(F.concat(F.lit("user-"), parts[1]).alias("source"), parts[0].cast("bigint").alias("seq"),
-                 parts[0].cast("bigint").alias("event_id"), parts[1].cast("bigint").alias("user_id"),
-                 parts[2].alias("event_text"))
-    s = with_field_time(extract_fields(s, LINE_PATTERNS), "ts")
-    s = stream_carry_time(s.select("source", "seq", "event_id", "user_id", "time_wire", "event_time"))
-    drain(write_parquet(s, base + "/out", base + "/ckpt"))
+
+    def carried(s):
+        parts = F.split(F.col("value"), "\t", 3)
+        s = s.select(F.concat(F.lit("user-"), parts[1]).alias("source"), parts[0].cast("bigint").alias("seq"),
+                     parts[0].cast("bigint").alias("event_id"), parts[1].cast("bigint").alias("user_id"),
+                     parts[2].alias("event_text"))
+        s = with_field_time(extract_fields(s, LINE_PATTERNS), "ts")
+        return stream_carry_time(s.select("source", "seq", "event_id", "user_id", "time_wire", "event_time"))
+
+    _drain_in_steps(spark, ev.select("event_id", rec.alias("value")), "event_id", base, carried)
     out = spark.read.parquet(base + "/out")
     return out.select("event_id", "user_id", "time_wire", F.unix_seconds("event_time").alias("epoch_sec"))
 
 
-@query("stream_throttle", "O71(stream) O81 O82", oracle=_throttle_oracle("CAST(user_id AS VARCHAR)", 86_400_000_000))
+@query("stream_throttle", "O71(stream) O81 O82", oracle=REGISTRY["throttle"].oracle)
 def stream_throttle_q(spark, sf_dir):
-    from .tables import events_ts_utc, table
     base = _scratch(spark)
-    ev = events_ts_utc(table(spark, sf_dir, "events"))
-    rec = F.concat_ws("\t", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
-                      F.unix_micros("ts").cast("string"))
-    _land_in_order(ev.select("event_id", rec.alias("value")), "event_id", base)
-    s = _stream_text(spark, base)
-    parts = F.split(F.col("value"), "\t", 3)
-    s = s.select(parts[0].cast("bigint").alias("event_id"), parts[1].alias("tag"),
-                 parts[2].cast("bigint").alias("t_us"))
-    s = stream_throttle(s, "tag", "t_us", 86_400, ["event_id"])
-    drain(write_parquet(s, base + "/out", base + "/ckpt"))
+    ev = events_with_gaps(spark, sf_dir)
+    rec = F.concat_ws("\t", F.col("event_id").cast("string"), F.coalesce("user", F.lit("")),
+                      F.coalesce(F.unix_micros("ts").cast("string"), F.lit("")))
+
+    def throttled(s):
+        parts = F.split(F.col("value"), "\t", 3)
+        s = s.select(parts[0].cast("bigint").alias("event_id"), F.nullif(parts[1], F.lit("")).alias("tag"),
+                     parts[2].try_cast("bigint").alias("t_us"))
+        return stream_throttle(s, "tag", "t_us", 86_400, ["event_id"])
+
+    _drain_in_steps(spark, ev.select("event_id", rec.alias("value")), "event_id", base, throttled)
     return spark.read.parquet(base + "/out").select("event_id", "tag", "kept")
 
 
 
 def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") and not path.startswith("file://") else \
-        (path[7:] if path.startswith("file://") else path)
+    """The path of a mounted folder without its scheme."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 @query("json_lines_files", "O01 O03 O30", oracle=r"""
@@ -128,22 +127,20 @@ def json_lines_files(spark, sf_dir):
 
 
 @query("growing_lines", "O02 O81", oracle=r"""
-SELECT doc_id, line FROM (
-  SELECT doc_id, t.raw AS line
-  FROM documents, unnest(string_split_regex(text, '\r\n|\r|\n')) AS t(raw))
+SELECT doc_id, t.raw AS line FROM documents, unnest(string_split_regex(text, '\r\n|\r|\n')) AS t(raw)
 """)
 def growing_lines(spark, sf_dir):
-    """Document lines landed as files and read by the growing-file source
-    (byte offsets as the stream offset) in a one-shot drain."""
+    """Document lines landed as files in which the lines of a third of the documents each are parted by a line feed, a
+    carriage return or both, and read by the growing-file source (byte offsets and head fingerprints as
+    the stream offset) in one drain for each landing."""
     from ..streaming.growing import stream_growing_lines
     from .tables import table
     base = _scratch(spark)
     d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.explode(split_lines(F.col("text"))).alias("raw"))
-    lines = lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("raw")).alias("value"))
-    lines.write.text(base + "/in")
-    s = stream_growing_lines(spark, _local(base) + "/in/*.txt")
-    drain(write_parquet(s, base + "/out", base + "/ckpt"))
+    lines = F.transform(split_lines(F.col("text")), lambda x: F.concat(F.col("doc_id").cast("string"), F.lit("\t"), x))
+    for k, end in enumerate(("\n", "\r", "\r\n")):
+        d.where(F.col("doc_id") % 3 == k).select(F.array_join(lines, end).alias("value")).write.mode("append").text(base + "/in")
+        drain(write_parquet(stream_growing_lines(spark, _local(base) + "/in/*.txt"), base + "/out", base + "/ckpt"))
     parts = F.split(F.col("event_text"), "\t", 2)
     return spark.read.parquet(base + "/out").select(parts[0].cast("bigint").alias("doc_id"),
                                                     parts[1].alias("line"))

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonv
 from ..functions.text import py_strip, split_lines, PY_SPACE_CLASS
-from ..functions.timefmt import (detect_epoch, epoch_seconds, parse_date, with_field_time,
-                                 zone_abbreviations)
+from ..functions.timefmt import detect_epoch, epoch_seconds, with_field_time
 from ..operators.envelope import carry_time, now_column, resolve_time
 from ..operators.extract import extract_fields
 from ..operators.filters import classify, is_blank, too_old
@@ -66,25 +65,34 @@ def epoch_detect(spark, sf_dir):
     return df.select("event_id", "rendered", wire.alias("time_wire"), epoch_seconds(wire).alias("epoch_sec"))
 
 
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "MMM d, yyyy HH:mm:ss", "dd MMM yyyy HH:mm:ss")
-
-
-@query("date_parse", "O22 O23", oracle=r"""
-SELECT o_orderkey,
-       CASE o_orderstatus WHEN 'O' THEN 'EST' WHEN 'P' THEN 'CET' ELSE 'local' END AS zone,
-       CAST(epoch(o_orderdate) AS BIGINT)
-         + CASE o_orderstatus WHEN 'O' THEN 18000 WHEN 'P' THEN -3600 ELSE 0 END AS epoch_sec
+# Twelve forms of one instant (Python strftime of DuckDB; offset in hours east), dealt over the orders.
+DATE_FORMS = [
+    ("%Y-%m-%dT%H:%M:%SZ", 0), ("%Y-%m-%dT%H:%M:%S+02:00", 2), ("%Y-%m-%dT%H:%M:%S.250Z", 0), ("%d/%b/%Y:%H:%M:%S -0330", -3.5),
+    ("%b %d %H:%M:%S %Y", 0), ("%a %b %d %H:%M:%S %Y", 0), ("%a, %d %b %Y %H:%M:%S +0000", 0), ("%Y-%m-%d %H:%M", 0),
+    ("%m/%d/%Y %H:%M:%S", 0), ("%b %d, %Y %H:%M:%S EST", -5), ("%d %b %Y %H:%M:%S CET", 1), ("%Y-%m-%d %H:%M:%S,123", 0),
+]
+_FORM_SQL = " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, (f, _) in enumerate(DATE_FORMS))
+_OFFSET_SQL = " ".join(f"WHEN {i} THEN {int(h * 3600)}" for i, (_, h) in enumerate(DATE_FORMS))
+# The same forms as Spark patterns.
+_SPARK_FORMS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd'T'HH:mm:ss'.250Z'", "dd/MMM/yyyy:HH:mm:ss' -0330'",
+                "MMM dd HH:mm:ss yyyy", "E MMM dd HH:mm:ss yyyy", "E, dd MMM yyyy HH:mm:ss' +0000'", "yyyy-MM-dd HH:mm",
+                "MM/dd/yyyy HH:mm:ss", "MMM dd, yyyy HH:mm:ss' EST'", "dd MMM yyyy HH:mm:ss' CET'", "yyyy-MM-dd HH:mm:ss',123'"]
+
+
+@query("date_parse", "O22 O23", oracle=f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 12 THEN 'no date' ELSE CASE o_orderkey % 13 {_FORM_SQL} END END AS text,
+       CASE WHEN o_orderkey % 13 < 12 THEN CAST(epoch(o_orderdate) AS BIGINT) - CASE o_orderkey % 13 {_OFFSET_SQL} END END AS epoch_sec,
+       o_orderkey % 13 = 12 AS time_unparsed
 FROM orders
 """)
 def date_parse(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    d = F.col("o_orderdate")
-    text = (F.when(F.col("o_orderstatus") == "O", F.concat(F.date_format(d, "MMM d, yyyy HH:mm:ss"), F.lit(" EST")))
-            .when(F.col("o_orderstatus") == "P", F.concat(F.date_format(d, "dd MMM yyyy HH:mm:ss"), F.lit(" CET")))
-            .otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss")))
-    zone = F.when(F.col("o_orderstatus") == "O", "EST").when(F.col("o_orderstatus") == "P", "CET").otherwise("local")
-    t = parse_date(text, formats=DATE_FORMATS, zones=zone_abbreviations())
-    return o.select("o_orderkey", zone.alias("zone"), F.unix_seconds(t).alias("epoch_sec"))
+    form = F.lit("no date")
+    for i, f in enumerate(_SPARK_FORMS):
+        form = F.when(F.col("o_orderkey") % 13 == i, F.date_format("o_orderdate", f)).otherwise(form)
+    d = o.select("o_orderkey", form.alias("text")).withColumn("fields", F.create_map(F.lit("when"), F.col("text")))
+    d = with_field_time(d, "when")
+    return d.select("o_orderkey", "text", F.unix_seconds("event_time").alias("epoch_sec"), "time_unparsed")
 
 
 def _line_times(spark, sf_dir):
@@ -111,24 +119,25 @@ def carry_time_q(spark, sf_dir):
 
 @query("resolve_time", "O25 O26 O27", oracle=r"""
 SELECT event_id,
-       CASE WHEN event_type IN ('view', 'click', 'purchase') THEN CAST(epoch_us(ts) // 1000000 AS BIGINT)
-            ELSE 1706745600 END AS epoch_sec,
-       CASE event_type WHEN 'view' THEN 'envelope' WHEN 'click' THEN 'fields' WHEN 'purchase' THEN 'event'
-            ELSE 'now' END AS origin
+       CASE event_id % 10
+         WHEN 0 THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN NULL
+         WHEN 4 THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) WHEN 5 THEN 0 WHEN 6 THEN 1706745600
+         WHEN 7 THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) WHEN 8 THEN 1706745600 ELSE 1545407700 END AS epoch_sec,
+       CASE WHEN event_id % 10 < 4 THEN 'envelope' WHEN event_id % 10 < 6 THEN 'fields'
+            WHEN event_id % 10 IN (6, 8) THEN 'now' ELSE 'event' END AS origin
 FROM events
 """)
 def resolve_time_q(spark, sf_dir):
+    """Ten cases: envelope time as text, 0, empty and NULL; fields time, '0' and empty; event time as number, 0 and with an exponent."""
     ev = events_ts_utc(table(spark, sf_dir, "events"))
-    secs = F.unix_seconds("ts").cast("string")
-    et = F.col("event_type")
-    text = (F.when(et == "click", F.concat(F.lit("time="), secs, F.lit(" click")))
-            .when(et == "signup", F.lit("time= signup"))
-            .otherwise(F.concat(F.lit("type="), et)))
-    ev_json = F.when(et == "purchase", F.parse_json(F.concat(F.lit('{"time": '), secs, F.lit("}"))))
-    env_time = F.when(et == "view", secs)
-    df = ev.select("event_id", text.alias("event_text"), ev_json.alias("event_json"), env_time.alias("env_time"))
+    secs, case = F.unix_seconds("ts").cast("string"), F.col("event_id") % 10
+    env = F.when(case == 0, secs).when(case == 1, "0").when(case == 2, "")
+    text = F.when(case == 4, F.concat(F.lit("time="), secs)).when(case == 5, "time=0").when(case == 6, "time=").otherwise("none")
+    member = F.when(case == 7, secs).when(case == 8, "0").when(case == 9, "1.5454077e9")
+    ev_json = F.when(case >= 7, F.parse_json(F.concat(F.lit('{"time": '), member, F.lit("}"))))
+    df = ev.select("event_id", text.alias("event_text"), ev_json.alias("event_json"), env.alias("env_time"), (case < 4).alias("env_given"))
     df = extract_fields(df, [("t", r"time=(?P<time>\d*)")])
-    value, origin = resolve_time(F.col("env_time"), F.col("fields"), F.col("event_json"), now_column(NOW))
+    value, origin = resolve_time(F.col("env_time"), F.col("fields"), F.col("event_json"), now_column(NOW), F.col("env_given"))
     return df.select("event_id", epoch_seconds(value).alias("epoch_sec"), origin.alias("origin"))
 
 
@@ -165,6 +174,7 @@ def _status_lines(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     secs = F.unix_seconds("ts").cast("string")
     line = (F.when(k < 5, F.lit(" {} "))
+            .when(k == 5, F.lit("  "))                    # a blank line is no event
             .when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)"))
             .when((F.col("event_type") == "signup") & (k >= 90), F.concat(F.lit('{"k": '), k.cast("string"),
                                                                            F.lit(', "time": "soon"}')))
@@ -180,7 +190,7 @@ WITH l AS (
   FROM events),
 s AS (
   SELECT source,
-         CASE WHEN k < 5 THEN 'filtered'
+         CASE WHEN k < 5 THEN 'filtered' WHEN k = 5 THEN 'none'
               WHEN source = 'error' THEN 'rejected'
               WHEN source = 'signup' AND k >= 90 THEN 'error'
               WHEN 1706745600 - secs > 1000000 THEN 'filtered'
@@ -192,10 +202,10 @@ SELECT source,
        CAST(count(*) FILTER (WHERE status = 'filtered') AS BIGINT) AS filtered,
        CAST(count(*) FILTER (WHERE status = 'rejected') AS BIGINT) AS rejected,
        CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors
-FROM s GROUP BY source
+FROM s WHERE status <> 'none' GROUP BY source
 """)
 def status_counts(spark, sf_dir):
-    df = _status_lines(spark, sf_dir)
+    df = _status_lines(spark, sf_dir).where(~is_blank(F.col("event_text")))
     v = jsonv.strict_parse_json(F.col("event_text"))
     df = df.withColumn("event_json", v)
     empty = F.create_map().cast("map<string,string>")

@@ -1,53 +1,92 @@
 """Lines appended to files that grow in place, as a stream.
 
-A Python streaming data source.  The offset is ``{path: byte position}`` after
-the last complete line; each micro-batch reads, per file, the byte range
-between the previous and the new offset (one input partition per file range),
-so a restart from the checkpoint reads only new bytes.  A half-written last
-line waits for its newline (quirk Q11: the reference emits it as it is).  A
-file that became shorter than its offset was truncated and is read again from
-0 (O07); a file that disappeared is dropped from the offset.
+A Python streaming data source.  The offset holds, per file, the byte position
+after the last complete line and a fingerprint of the file's head; each
+micro-batch reads the bytes between two offsets, so a restart from the
+checkpoint reads only new ones.  A range is cut into splits of ``SPLIT`` bytes, each
+read in blocks by its own task: a split owns the lines that start in it.  Lines end in
+``\\n``, ``\\r`` or ``\\r\\n``; a last line without an end waits for it (quirk
+Q11: the reference emits it as it is), and so does one that ends in ``\\r`` at the
+end of the file.  A file that is shorter than its offset, or whose head is another
+than the fingerprint says (O08), was rewritten and is read again from 0; a file that
+disappeared is dropped from the offset.
 
 Each line comes with ``pos`` (its byte position), which is its order key.
+The files must be on a file system that driver and executors mount.
 """
 
 from __future__ import annotations
 
 import glob
-import json
+import hashlib
 import os
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SCHEMA = StructType([StructField("source", StringType()), StructField("pos", LongType()),
                      StructField("event_text", StringType())])
-_TAIL = 1 << 16
+HEAD = 1024
+BLOCK = 1 << 20
+SPLIT = 64 << 20
 
 
-def _last_newline_end(path: str, size: int) -> int:
-    """Position just after the last ``\\n``, reading backwards from the tail."""
+def _lines_end(path: str, size: int) -> int:
+    """Position after the last complete line, reading backwards from the end."""
     with open(path, "rb") as fh:
         end = size
         while end > 0:
-            start = max(0, end - _TAIL)
+            start = max(0, end - BLOCK)
             fh.seek(start)
             buf = fh.read(end - start)
-            i = buf.rfind(b"\n")
-            if i >= 0:
-                return start + i + 1
+            if end == size:
+                buf = buf.removesuffix(b"\r")      # may be the first half of a line end
+            at = max(buf.rfind(b"\n"), buf.rfind(b"\r"))
+            if at >= 0:
+                return start + at + 1
             end = start
     return 0
 
 
+def _head(path: str, length: int) -> str:
+    with open(path, "rb") as fh:
+        return hashlib.md5(fh.read(length)).hexdigest()
+
+
+def lines_between(path: str, start: int, end: int, whole_line: bool) -> Iterator[tuple[int, bytes]]:
+    """``(position, line)`` of the lines that start in ``[start, end)``, read in blocks.
+
+    Unless ``whole_line``, the first one may have begun before ``start`` and is left out."""
+    with open(path, "rb") as fh:
+        pos = start if whole_line else start - 1
+        fh.seek(pos)
+        skip, rest = not whole_line, b""
+        while True:
+            block = fh.read(BLOCK)
+            parts = (rest + block).splitlines(keepends=True)
+            rest = b""
+            if parts and block and not parts[-1].endswith(b"\n"):
+                rest = parts.pop()                 # not ended, or a line feed may follow
+            for raw in parts:
+                if pos >= end and not skip:
+                    return
+                if not skip:
+                    yield pos, raw.removesuffix(b"\r\n") if raw.endswith(b"\r\n") else raw.removesuffix(b"\n").removesuffix(b"\r")
+                skip = False
+                pos += len(raw)
+            if not block or (pos >= end and not skip):
+                return
+
+
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, whole_line: bool):
+        self.path, self.start, self.end, self.whole_line = path, start, end, whole_line
 
 
 class GrowingFilesReader(DataSourceStreamReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    def __init__(self, pattern: str, split: int = SPLIT):
+        self.pattern, self.split = pattern, split
 
     def initialOffset(self) -> dict:
         return {}
@@ -56,31 +95,24 @@ class GrowingFilesReader(DataSourceStreamReader):
         out = {}
         for p in sorted(glob.glob(self.pattern)):
             try:
-                size = os.path.getsize(p)
-            except OSError:
+                end = _lines_end(p, os.path.getsize(p))
+                out[p] = [end, min(end, HEAD), _head(p, min(end, HEAD))]
+            except FileNotFoundError:
                 continue
-            out[p] = _last_newline_end(p, size)
         return out
 
     def partitions(self, start: dict, end: dict):
         parts = []
-        for p, e in sorted(end.items()):
-            s = int(start.get(p, 0))
-            if e < s:          # truncated since the last batch: read again from 0
+        for p, (e, _, _) in sorted(end.items()):
+            s, length, sign = start.get(p, [0, 0, ""])
+            if s and (e < s or _head(p, length) != sign):   # rewritten since
                 s = 0
-            if e > s:
-                parts.append(_Range(p, s, e))
+            parts += [_Range(p, at, min(e, at + self.split), at == s) for at in range(s, e, self.split)]
         return parts
 
     def read(self, partition: _Range):
-        with open(partition.path, "rb") as fh:
-            fh.seek(partition.start)
-            data = fh.read(partition.end - partition.start)
-        pos = partition.start
-        for raw in data.split(b"\n")[:-1]:
-            line = raw.decode("utf-8", "ignore")
-            yield (partition.path, pos, line.rstrip("\r"))
-            pos += len(raw) + 1
+        for pos, raw in lines_between(partition.path, partition.start, partition.end, partition.whole_line):
+            yield (partition.path, pos, raw.decode("utf-8", "ignore"))
 
     def commit(self, end: dict) -> None:
         pass
@@ -97,18 +129,14 @@ class GrowingFilesSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema):
-        return GrowingFilesReader(self.options["path"])
+        return GrowingFilesReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
 
 def register(spark) -> None:
     spark.dataSource.register(GrowingFilesSource)
 
 
-def stream_growing_lines(spark, pattern: str):
+def stream_growing_lines(spark, pattern: str, split: int = SPLIT):
     """Stream of ``(source, pos, event_text)`` for files matching ``pattern``."""
     register(spark)
-    return spark.readStream.format("growing_lines").option("path", pattern).load()
-
-
-def offsets_json(offsets: dict) -> str:
-    return json.dumps(offsets, sort_keys=True)
+    return spark.readStream.format("growing_lines").option("path", pattern).option("split", split).load()

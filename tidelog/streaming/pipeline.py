@@ -56,8 +56,14 @@ def for_each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoi
     return _trigger(w, mode, interval_s).start()
 
 
-def drain(query: StreamingQuery, timeout_s: float = 600) -> None:
-    """Wait for a one-shot drain to finish; raise its error if it failed."""
-    query.awaitTermination(timeout_s)
+def drain(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for a one-shot drain to finish, however long it takes; raise its
+    error if it failed.  With ``timeout_s``, a drain that takes longer is stopped
+    and an error raised: its output is not whole."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the drain took more than {timeout_s} s and was stopped; its output is not whole")
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))

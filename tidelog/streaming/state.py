@@ -32,19 +32,17 @@ def stream_carry_time(df: DataFrame, by: str = "source", order: str = "seq",
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        last_w, last_t = state.get if state.exists else (None, None)
-        w = pdf["time_wire"].where(pdf["time_wire"].notna(), None).tolist()
-        t = pdf["event_time"].tolist()
-        for i in range(len(w)):
-            if w[i] is not None:
-                last_w, last_t = w[i], t[i]
-            else:
-                w[i], t[i] = last_w, last_t
-        pdf["time_wire"] = w
-        pdf["event_time"] = pd.Series(t, dtype="object")
-        if last_w is not None:
-            state.update((last_w, last_t))
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
+        has = pdf["time_wire"].notna()
+        pdf["event_time"] = pdf["event_time"].where(has).ffill()
+        pdf["time_wire"] = pdf["time_wire"].ffill()
+        if state.exists:
+            last_w, last_t = state.get
+            before = has.cumsum() == 0
+            pdf.loc[before, "time_wire"] = last_w
+            pdf.loc[before, "event_time"] = pd.Timestamp(last_t)
+        if has.any():
+            state.update((pdf["time_wire"].iloc[-1], pdf["event_time"].iloc[-1].to_pydatetime()))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         yield pdf[names]
@@ -54,8 +52,9 @@ def stream_carry_time(df: DataFrame, by: str = "source", order: str = "seq",
 
 
 def stream_throttle(df: DataFrame, tag_col: str, micros_col: str, limit_s: float, order: list[str],
-                    timeout_ms: int | None = None) -> DataFrame:
-    """Streaming O71: ``kept`` per row; the clock of each tag is the state."""
+                    timeout_ms: int | None = None, failed_col: str | None = None) -> DataFrame:
+    """Streaming O71: ``kept`` per row; the clock of each tag is the state.  A
+    failed event sets no clock; one without a time gets ``kept`` NULL."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField("kept", T.BooleanType())])
     names = [f.name for f in schema.fields]
     state_schema = T.StructType([T.StructField("clock", T.LongType())])
@@ -67,7 +66,10 @@ def stream_throttle(df: DataFrame, tag_col: str, micros_col: str, limit_s: float
             return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([micros_col] + order, kind="stable")
         clock = state.get[0] if state.exists else None
+        timed = pdf[micros_col].notna()
+        untimed, pdf = pdf[~timed], pdf[timed]
         t = pdf[micros_col].to_numpy(dtype=np.int64)
+        failed = pdf[failed_col].fillna(False).to_numpy(dtype=bool) if failed_col else np.zeros(len(t), dtype=bool)
         kept = np.zeros(len(t), dtype=bool)
         i = 0
         while i < len(t):
@@ -76,14 +78,16 @@ def stream_throttle(df: DataFrame, tag_col: str, micros_col: str, limit_s: float
                 if i >= len(t):
                     break
             kept[i] = True
-            clock = int(t[i])
+            clock = clock if failed[i] else int(t[i])
             i += 1
-        pdf["kept"] = kept
+        pdf = pdf.assign(kept=kept)
         if clock is not None:
             state.update((clock,))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         yield pdf[names]
+        if len(untimed):
+            yield untimed.assign(kept=None)[names]
 
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return df.groupBy(tag_col).applyInPandasWithState(fn, schema, state_schema, "append", mode)
