@@ -46,8 +46,8 @@ def is_strict_json(c: Column) -> Column:
     s = py_strip(c)
     one = F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1
     obj = F.json_object_keys(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
-    # Only a text with a ``]`` can close the first wrapper early.
-    return F.coalesce(one & (~s.contains("]") | obj) & (F.length(s) > 0), F.lit(False))
+    # Only a text with a ``]`` can close the first wrapper early; a blank one leaves it empty.
+    return F.coalesce(one & (~c.contains("]") | obj), F.lit(False))
 
 
 def json_status(c: Column) -> Column:
