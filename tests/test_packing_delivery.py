@@ -65,7 +65,9 @@ def test_outcome_and_deliver(spark):
 
     def send(endpoint, token, body):
         calls.append(body)
-        return (None, "") if body == "down" else (200, "{}")
+        if body == "down":
+            raise ConnectionRefusedError("no answer")
+        return 200, "{}"
 
     b = spark.createDataFrame([("e", "t", "x y"), ("e", "t", "down")], "endpoint string, token string, batch string")
     got = {r["batch"]: r["outcome"] for r in deliver(b, send).collect()}

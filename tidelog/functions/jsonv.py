@@ -58,10 +58,6 @@ def json_status(c: Column) -> Column:
             .otherwise(F.lit("ok")))
 
 
-def variant_type(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
 def string_member(v: Column, key: str) -> Column:
     """Top-level member ``key`` if the value is an object holding a JSON string there."""
     m = F.try_variant_get(v, member_path(key), "variant")

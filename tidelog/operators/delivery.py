@@ -108,9 +108,15 @@ def deliver(batches: DataFrame, send: Callable[[str, str, str], tuple[int | None
     schema = T.StructType(list(batches.schema.fields) + [
         T.StructField("status", T.IntegerType()), T.StructField("reply", T.StringType())])
 
+    def attempt(endpoint: str, token: str, body: str) -> tuple[int | None, str]:
+        try:
+            return send(endpoint, token, body)
+        except OSError as problem:      # no connection, no answer
+            return None, str(problem)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            res = [send(e, t, b) for e, t, b in zip(pdf[endpoint_col], pdf[token_col], pdf[batch_col])]
+            res = [attempt(e, t, b) for e, t, b in zip(pdf[endpoint_col], pdf[token_col], pdf[batch_col])]
             pdf = pdf.copy()
             pdf["status"] = pd.array([r[0] for r in res], dtype="Int32")
             pdf["reply"] = [r[1] for r in res]

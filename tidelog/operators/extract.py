@@ -182,7 +182,3 @@ def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_tex
     parts = [F.when(F.col(st.p(k)), F.create_map(F.lit(k), F.col(st.v(k)))).otherwise(empty) for k in st.keys]
     fields = F.map_concat(*parts) if len(parts) > 1 else (parts[0] if parts else empty)
     return df.select(*[F.col(c) for c in base_cols if c != out_col], fields.alias(out_col))
-
-
-def fields_columns(df: DataFrame, keys: Iterable[str], fields_col: str = "fields") -> list[Column]:
-    return [F.element_at(F.col(fields_col), F.lit(k)).alias(k) for k in keys]

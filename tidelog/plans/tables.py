@@ -7,8 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import timestamp_to_wire
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -18,28 +16,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_ts_utc(df: DataFrame) -> DataFrame:
-    """``events.ts`` is TIMESTAMP_NTZ; read it as a UTC instant, on purpose."""
-    return df.withColumn("ts", F.col("ts").cast("string").cast("timestamp"))
-
-
-def event_epoch_wire(ts_col: str = "ts"):
-    return timestamp_to_wire(F.col(ts_col))
-
-
-def events_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events rendered as log lines, one source per user, ordered by event_id.
-
-    ``ts=<epoch>`` leads every line except those of type ``error`` (stack
-    trace like lines that must take the time of the line before).
-    """
-    ev = events_ts_utc(table(spark, sf_dir, "events"))
-    wire = event_epoch_wire()
-    body = F.concat(F.lit("type="), F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"),
-                    F.lit(" value="), F.col("value").cast("string"))
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("  at "), body)) \
-        .otherwise(F.concat(F.lit("ts="), wire, F.lit(" "), body))
-    return ev.select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"),
-        F.col("event_id").alias("seq"),
-        "event_id", "user_id", "event_type", "ts", "value", "props",
-        line.alias("event_text"))
+    """``events.ts`` is TIMESTAMP_NTZ; read it as an instant of the session's zone, which is UTC."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))

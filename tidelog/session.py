@@ -71,10 +71,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tidelog-ckpt-", dir=os.environ.get("TIDELOG_SCRATCH", "/tmp"))
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor
-    loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
