@@ -287,6 +287,8 @@ def test_language(llm_spark):
     assert sum(hits) >= 0.95 * len(hits) and next(x for x in got if x["doc_id"] is None)["lang_pred"] == "en"
     assert all(0 <= x["score"] <= 1 for x in got)
     assert language(no_rows(df)).count() == 0
+    scattered = language(df.repartition(2 * len(made)))  # partitions without any text to learn from
+    assert sorted(map(str, scattered.collect())) == sorted(map(str, got))
 
 
 def test_fold(llm_spark):

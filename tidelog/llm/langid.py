@@ -104,7 +104,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
                 v = bundles.unit(text)
                 if v is not None:
                     sums[lang] = sums.get(lang, 0) + np.rint(v * SCALE).astype(np.int64)
-        yield pd.DataFrame({"lang": list(sums), "v": [s.tolist() for s in sums.values()]})
+        if sums:  # a partition may have no chosen text
+            yield pd.DataFrame({"lang": list(sums), "v": [s.tolist() for s in sums.values()]})
 
     rows = chosen.select("lang", "text").mapInPandas(summed, "lang string, v array<long>") \
         .select("lang", F.posexplode("v").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x")).toPandas()  # languages x DIMS

@@ -96,7 +96,8 @@ def _terms_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         got = [terms(t) for t in f["text"]]
         ok = [g is not None for g in got]
-        yield pd.DataFrame({"label": f["label"][ok], "terms": [g.tobytes() for g in got if g is not None]})
+        if any(ok):  # chosen texts may all be without words
+            yield pd.DataFrame({"label": f["label"][ok], "terms": [g.tobytes() for g in got if g is not None]})
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Votes | None:
