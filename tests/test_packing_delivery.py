@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.delivery import backoff, backoff_sequential, deliver, outcome
 from tidelog.operators.metrics import size_measures
-from tidelog.operators.packing import (assemble_batches, assign_chunk, chunk_summary, pack_batches, pack_sequential,
+from tidelog.operators.packing import (assemble_batches, assign_chunk, chunk_summary, compose, pack_batches, pack_sequential,
                                        walk_chunks)
 from tidelog.operators.throttle import message_tag, throttle, throttle_sequential
 
@@ -29,6 +29,11 @@ def test_chunk_steps_equal_sequential():
         res = walk_chunks([chunk_summary(c, mx, sep) for c in chunks], mx)
         ids = np.concatenate([assign_chunk(c, t, b, mx, sep) for c, (t, b) in zip(chunks, res)])
         assert list(ids) == pack_sequential(sizes, mx, sep)
+        cut = rng.randint(0, len(chunks))       # two blocks: composed, walked, and walked inside
+        blocks = [[chunk_summary(c, mx, sep) for c in part] for part in (chunks[:cut], chunks[cut:]) if part]
+        tops = walk_chunks([compose(b, mx) for b in blocks], mx)
+        inner = [x for b, top in zip(blocks, tops) for x in walk_chunks(b, mx, *top)]
+        assert inner == res
 
 
 def test_pack_small_cases(spark):

@@ -13,17 +13,20 @@ may hold a third of all rows, so the packing is computed in parallel and
    for every start ``i``, the state at the chunk end (bytes of the open batch)
    and the number of batches started.  Only the starts an incoming open batch
    can lead to matter: the first ``K`` items with ``Q[k]-Q[0] < max``.
-2. **Chunk walk** (per group over the chunk summaries only,
-   K+1 numbers per chunk): the open batch entering each chunk, how many leading
-   items join it, and the first batch number of the chunk.
+2. **Tree of summaries** (K+1 numbers per chunk).  Summaries of consecutive
+   chunks compose into one of the same form.  ``repartitionByRange`` cuts the summaries of a
+   hot group into blocks; each block is composed by itself, a walk per group
+   reads one composed summary a block, and a walk per block then gives the open
+   batch and the last batch number that enter each chunk.
 3. **Assign** (per (group, chunk) again, joined with the walk result): batch
    numbers per item.
 
 Each pass is one ``mapInPandas`` per partition over sorted runs of equal keys
 (chunks are many and small; a Python call per group would dominate).
 
-Batch numbers are equal to a sequential run over the whole group; nothing
-larger than one chunk is ever in one Python worker.
+Batch numbers are equal to a sequential run over the whole group; a Python worker
+holds a chunk, or one block of summaries, at a time.  The blocks come from sampled range bounds, so the
+summaries are one lazy reliable checkpoint that both walks read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .sequential import join_null_safe, key_segments
 
 # The collector batch limit and the two separators.
@@ -42,6 +46,7 @@ COLLECTOR_SEP = " "
 FILE_SEP = "\n"
 
 _S = "__tl_size"
+_B = "__tl_block"
 _EMPTY = -1
 
 
@@ -95,13 +100,35 @@ def chunk_summary(sizes: np.ndarray, max_bytes: int, sep_len: int):
     return len(sizes), rel[: k + 1].tolist(), end[: k + 1].tolist(), cnt[: k + 1].tolist()
 
 
-def walk_chunks(summaries, max_bytes: int) -> list[tuple[int, int]]:
-    """Step 2 for one group, chunks in order: ``(join_n, base_id)`` per chunk."""
-    e, last_id, res = _EMPTY, -1, []
+def _entered(qlead: np.ndarray, e, max_bytes: int):
+    """How many leading items of a chunk join an open batch of ``e`` bytes."""
+    return np.where(np.equal(e, _EMPTY), 0, np.searchsorted(qlead[1:], max_bytes - np.asarray(e), side="left"))
+
+
+def compose(summaries, max_bytes: int):
+    """The summary of consecutive chunks taken as one."""
+    n, q, end, cnt = 0, np.zeros(1, dtype=np.int64), np.full(1, _EMPTY, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for n2, *lists in summaries:
+        q2, end2, cnt2 = (np.asarray(x, dtype=np.int64) for x in lists)
+        t = _entered(q2, end, max_bytes)
+        through = t >= n2
+        cnt = cnt + np.where(through, 0, cnt2[t])
+        end = np.where(through, end + q2[-1], end2[t])
+        if len(q) > n:          # an open batch may take all so far: starts in the new part matter too
+            q = np.concatenate([q, q[n] + q2[1:]])
+            k = int(np.searchsorted(q[1:], max_bytes, side="left"))
+            q, end, cnt = q[:k + 1], np.concatenate([end, end2[1:]])[:k + 1], np.concatenate([cnt, cnt2[1:]])[:k + 1]
+        n += n2
+    return n, q.tolist(), end.tolist(), cnt.tolist()
+
+
+def walk_chunks(summaries, max_bytes: int, open_bytes: int = _EMPTY, last_id: int = -1) -> list[tuple[int, int]]:
+    """``(open_bytes, last_id)`` that enter each of consecutive chunks (or blocks of them)."""
+    e, res = open_bytes, []
     for n, qlead, endv, cntv in summaries:
+        res.append((e, last_id))
         qlead = np.asarray(qlead, dtype=np.int64)
-        t = 0 if e == _EMPTY else int(np.searchsorted(qlead[1:], max_bytes - e, side="left"))
-        res.append((t, last_id))
+        t = int(_entered(qlead, e, max_bytes))
         if t >= n:
             e = e + int(qlead[n])
         else:
@@ -110,10 +137,11 @@ def walk_chunks(summaries, max_bytes: int) -> list[tuple[int, int]]:
     return res
 
 
-def assign_chunk(sizes: np.ndarray, join_n: int, base_id: int, max_bytes: int, sep_len: int) -> np.ndarray:
+def assign_chunk(sizes: np.ndarray, open_bytes: int, base_id: int, max_bytes: int, sep_len: int) -> np.ndarray:
     """Step 3 for one chunk: batch numbers of its items."""
     n = len(sizes)
-    _, nxt, _, _ = _tables(sizes, max_bytes, sep_len)
+    q, nxt, _, _ = _tables(sizes, max_bytes, sep_len)
+    join_n = int(_entered(q, open_bytes, max_bytes))
     ids = np.empty(n, dtype=np.int64)
     ids[: min(join_n, n)] = base_id
     i, bid = join_n, base_id
@@ -152,20 +180,35 @@ def pack_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], si
         if rows:
             yield pd.DataFrame(rows, columns=sum_schema.names)
 
-    summary = items.select(*keys, *order_only, _S).mapInPandas(scan, sum_schema)
-    walk_schema = T.StructType(key_schema + [T.StructField("join_n", T.LongType()),
-                                             T.StructField("base_id", T.LongType())])
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = list(group_cols)
+    reports = items.select(*keys, *order_only, _S).mapInPandas(scan, sum_schema).repartitionByRange(parts, *keys) \
+        .withColumn(_B, F.spark_partition_id()).checkpoint(eager=False)
+    entry_fields = [T.StructField("open_bytes", T.LongType()), T.StructField("base_id", T.LongType())]
+    block_schema = T.StructType([reports.schema[c] for c in [*groups, _B]] + list(SUMMARY_SCHEMA.fields))
+    root_schema = T.StructType([reports.schema[c] for c in [*groups, _B]] + entry_fields)
+    entry_schema = T.StructType(key_schema + entry_fields)
 
-    def walk(it):
-        rows = []
-        for seg in key_segments(it, list(group_cols)):
-            res = walk_chunks(zip(seg["n"], seg["qlead"], seg["end"], seg["cnt"]), max_bytes)
-            for r, (t, b) in enumerate(res):
-                rows.append([seg[c].iloc[r] for c in keys] + [t, b])
-        if rows:
-            yield pd.DataFrame(rows, columns=walk_schema.names)
+    def _summaries(seg):
+        return zip(seg["n"], seg["qlead"], seg["end"], seg["cnt"])
 
-    entry = summary.repartition(parts, *group_cols).sortWithinPartitions(*keys).mapInPandas(walk, walk_schema)
+    def composed(it):
+        rows = [[seg[c].iloc[0] for c in [*groups, _B]] + list(compose(_summaries(seg), max_bytes)) for seg in key_segments(it, [*groups, _B])]
+        if rows:
+            yield pd.DataFrame(rows, columns=block_schema.names)
+
+    def walk(by, names_, schema):
+        def run(it):
+            for seg in key_segments(it, by):
+                start = (int(seg["open_bytes"].iloc[0]), int(seg["base_id"].iloc[0])) if "open_bytes" in seg else ()
+                res = walk_chunks(_summaries(seg), max_bytes, *start)
+                yield seg[names_].assign(open_bytes=[r[0] for r in res], base_id=[r[1] for r in res])[schema.names]
+        return run
+
+    blocks = reports.sortWithinPartitions(*groups, _B, chunk_col).mapInPandas(composed, block_schema)
+    root = blocks.repartition(parts, *groups).sortWithinPartitions(*groups, _B).mapInPandas(walk(groups, [*groups, _B], root_schema), root_schema)
+    entry = join_null_safe(reports, root, [*groups, _B]).sortWithinPartitions(*groups, _B, chunk_col) \
+        .mapInPandas(walk([*groups, _B], keys, entry_schema), entry_schema)
     out_fields = [f for f in items.schema.fields if f.name != _S] + [T.StructField(out_col, T.LongType())]
     out_schema = T.StructType(out_fields)
     names = out_schema.names
@@ -173,7 +216,7 @@ def pack_batches(df: DataFrame, group_cols: list[str], order_cols: list[str], si
     def assign(it):
         for seg in key_segments(it, keys):
             seg = seg.copy()
-            seg[out_col] = assign_chunk(seg[_S].to_numpy(dtype=np.int64), int(seg["join_n"].iloc[0]),
+            seg[out_col] = assign_chunk(seg[_S].to_numpy(dtype=np.int64), int(seg["open_bytes"].iloc[0]),
                                         int(seg["base_id"].iloc[0]), max_bytes, sep_len)
             yield seg[names]
 
