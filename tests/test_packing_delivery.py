@@ -79,6 +79,33 @@ def test_outcome_and_deliver(spark):
     assert got == {"x y": "ok", "down": "connection_error"}
 
 
+def test_failed_batches_come_first_in_the_next_step(spark, tmpdir_path):
+    from tidelog.sinks import CollectorSink
+    seen = tmpdir_path + "/seen"
+
+    def collector(down):
+        def send(endpoint, token, body):
+            with open(seen, "a") as fh:
+                fh.write(f"{token} {body}\n")
+            if body in down:
+                raise ConnectionRefusedError("no answer")
+            return 200, "{}"
+        return send
+
+    def step(no, rows, down):
+        df = spark.createDataFrame(rows, "endpoint string, token string, batch_no long, batch string")
+        open(seen, "w").close()
+        CollectorSink(collector(down), tmpdir_path + "/retry", ["batch_no"])(df, no)
+        return {t: [x.split()[1] for x in open(seen) if x.startswith(t)] for t in ("s", "t")}
+
+    new = [("e", "t", 0, "a"), ("e", "t", 1, "b"), ("e", "t", 2, "c"), ("e", "s", 0, "x")]
+    assert step(0, new, {"b"}) == {"s": ["x"], "t": ["a", "b"]}
+    for _ in range(2):      # a replayed step does the same
+        assert step(1, [("e", "t", 0, "d"), ("e", "s", 0, "y")], {"c"}) == {"s": ["y"], "t": ["b", "c"]}
+    assert step(2, [], set()) == {"s": [], "t": ["c", "d"]}
+    assert step(3, [], set()) == {"s": [], "t": []}
+
+
 def test_backoff_against_spec(spark):
     rng = random.Random(2)
     rows = []

@@ -13,6 +13,7 @@ Back-off (O67): after a failed flush the group skips 2 steps, then 4, 8, ...
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,9 @@ from .sequential import ordered_scan
 # Result codes of a send.
 OK, CONNECTION, SERVER, DATA = "ok", "connection_error", "server_error", "data_error"
 
+# States of a batch after a flush step.
+SENT, FAILED, QUEUED = "sent", "failed", "queued"
+
 
 def outcome(status: Column) -> Column:
     """HTTP status (NULL = no response) -> outcome."""
@@ -96,6 +100,53 @@ def backoff(df: DataFrame, group_cols: list[str], order_cols: list[str], ok_col:
                         _backoff_step(ok_col), lambda: (0, 0))
 
 
+def settle(sent: DataFrame, group_cols: list[str], order_cols: list[str], status_col: str = "status", state_col: str = "state") -> DataFrame:
+    """Add the state of each batch after one flush step, from the recorded statuses.
+
+    A flush ends at the group's first transient failure: batches before it are ``sent``, it is
+    ``failed``, and those after it stay ``queued`` whatever their status.  What isn't sent, in the same order,
+    comes first in the next step.  A NULL group is a group of its own.  One pre-aggregated
+    shuffle of the failures; a hot group is not gathered.
+    """
+    key = F.struct(*order_cols)
+    first = sent.where(is_transient(outcome(F.col(status_col)))).groupBy(*group_cols).agg(F.min(key).alias("__tl_first")) \
+        .withColumnsRenamed({c: f"__tl_g_{c}" for c in group_cols})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__tl_g_{c}")) for c in group_cols])
+    at = F.col("__tl_first")
+    state = F.when(at.isNull() | (key < at), SENT).when(key == at, FAILED).otherwise(QUEUED)
+    return sent.join(first, on, "left").withColumn(state_col, state).drop("__tl_first", *[f"__tl_g_{c}" for c in group_cols])
+
+
+def deliver_in_order(batches: DataFrame, send: Callable[[str, str, str], tuple[int | None, str]], order_cols: list[str],
+                     batch_col: str = "batch", endpoint_col: str = "endpoint", token_col: str = "token") -> DataFrame:
+    """O65 with the flush rule: each (endpoint, token) group is sent in order and no more after its first transient
+    failure.  Adds ``status``, ``reply`` and ``state``; order makes a group one task (a batch of rows is held)."""
+    def step(seg: pd.DataFrame, stopped: bool):
+        status, reply, state = [], [], []
+        for e, t, b in zip(seg[endpoint_col], seg[token_col], seg[batch_col]):
+            if stopped:
+                code, text, now = None, None, QUEUED
+            else:
+                code, text = _attempt(send, e, t, b)
+                stopped = code is None or not (code == 400 or 200 <= code <= 299)
+                now = FAILED if stopped else SENT
+            status.append(code)
+            reply.append(text)
+            state.append(now)
+        return {"status": pd.array(status, dtype="Int32"), "reply": reply, "state": state}, stopped
+
+    return ordered_scan(batches, [endpoint_col, token_col], order_cols, [
+        T.StructField("status", T.IntegerType()), T.StructField("reply", T.StringType()), T.StructField("state", T.StringType())],
+        step, lambda: False)
+
+
+def _attempt(send: Callable[[str, str, str], tuple[int | None, str]], endpoint: str, token: str, body: str) -> tuple[int | None, str]:
+    try:
+        return send(endpoint, token, body)
+    except OSError as problem:      # no connection, no answer
+        return None, str(problem)
+
+
 def deliver(batches: DataFrame, send: Callable[[str, str, str], tuple[int | None, str]],
             batch_col: str = "batch", endpoint_col: str = "endpoint", token_col: str = "token") -> DataFrame:
     """Send each batch with an injected ``send(endpoint, token, body) ->
@@ -108,15 +159,9 @@ def deliver(batches: DataFrame, send: Callable[[str, str, str], tuple[int | None
     schema = T.StructType(list(batches.schema.fields) + [
         T.StructField("status", T.IntegerType()), T.StructField("reply", T.StringType())])
 
-    def attempt(endpoint: str, token: str, body: str) -> tuple[int | None, str]:
-        try:
-            return send(endpoint, token, body)
-        except OSError as problem:      # no connection, no answer
-            return None, str(problem)
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            res = [attempt(e, t, b) for e, t, b in zip(pdf[endpoint_col], pdf[token_col], pdf[batch_col])]
+            res = [_attempt(send, e, t, b) for e, t, b in zip(pdf[endpoint_col], pdf[token_col], pdf[batch_col])]
             pdf = pdf.copy()
             pdf["status"] = pd.array([r[0] for r in res], dtype="Int32")
             pdf["reply"] = [r[1] for r in res]

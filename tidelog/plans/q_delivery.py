@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.delivery import backoff, deliver, is_transient, outcome
+from ..operators.delivery import backoff, deliver, is_transient, outcome, settle
 from ..operators.packing import assemble_batches, flush_stats, pack_batches, single_event_batches
 from ..operators.throttle import message_tag, throttle
 from .registry import query
@@ -105,6 +105,31 @@ def outcomes(spark, sf_dir):
     return o.select("o_orderkey", "http_status", out.alias("outcome"), is_transient(out).alias("transient"))
 
 
+# Of each group the second step sends what the first left unsent; a group that fails in both ends with a rest.
+REQUEUE_1, REQUEUE_2 = 701, 1303
+
+
+@query("requeue", "O67 O66", oracle=f"""
+WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS grp FROM orders),
+f1 AS (SELECT grp, min(o_orderkey) AS at FROM o WHERE o_orderkey % {REQUEUE_1} = 0 GROUP BY grp),
+s1 AS (SELECT o.*, f1.at IS NULL OR o_orderkey < f1.at AS sent FROM o LEFT JOIN f1 ON o.grp IS NOT DISTINCT FROM f1.grp),
+f2 AS (SELECT grp, min(o_orderkey) AS at FROM s1 WHERE NOT sent AND o_orderkey % {REQUEUE_2} = 0 GROUP BY grp)
+SELECT o_orderkey, s1.grp, CAST(1 AS INT) AS step, 'sent' AS state FROM s1 WHERE sent
+UNION ALL
+SELECT o_orderkey, s1.grp, CAST(2 AS INT), CASE WHEN f2.at IS NULL OR o_orderkey < f2.at THEN 'sent' WHEN o_orderkey = f2.at THEN 'failed' ELSE 'queued' END
+FROM s1 LEFT JOIN f2 ON s1.grp IS NOT DISTINCT FROM f2.grp WHERE NOT sent
+""")
+def requeue(spark, sf_dir):
+    """Two flush steps over the orders as batches, by their recorded statuses (no answer in step 1, 503 in step 2)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("grp"))
+    key = F.col("o_orderkey")
+    one = settle(o.withColumn("status", F.when(key % REQUEUE_1 != 0, 200)), ["grp"], ["o_orderkey"])
+    left = one.where("state <> 'sent'").drop("state")
+    two = settle(left.withColumn("status", F.when(key % REQUEUE_2 == 0, 503).otherwise(200)), ["grp"], ["o_orderkey"])
+    done = [x.select("o_orderkey", "grp", F.lit(k).alias("step"), "state") for k, x in ((1, one.where("state = 'sent'")), (2, two))]
+    return done[0].unionByName(done[1])
+
+
 @query("backoff", "O67", oracle="""
 WITH RECURSIVE s AS (
   SELECT user_id, event_id, event_type <> 'error' AS ok,

@@ -1,12 +1,14 @@
-"""The HTTP collector sink.
+"""The HTTP collector sink.
 
 Batches go to an injected ``send(endpoint, token, body) -> (status, reply)``
-(tests use an in-process fake; a real client posts the body with the token
-header).  Two forms: ``deliver_batches`` records the outcome of every batch as
-a DataFrame (see ``operators.delivery.deliver``), and ``CollectorSink`` is a
-``foreachBatch`` callable for a stream that keeps failed batches in a retry
-table under the checkpoint directory, keyed by micro-batch id, so a replayed
-batch can be recognised by the collector.
+(a real client posts the body with the token header; ``token`` should be a key that
+``send`` resolves, as unsent batches are written with it).  Two forms:
+``deliver_batches`` records the outcome of every batch as a DataFrame (see
+``operators.delivery.deliver``), and ``CollectorSink`` is a ``foreachBatch``
+callable for a stream.  In each step it sends what the step before left unsent, then the
+new batches, in order, up to a group's first failure; the rest is written to the
+step's own folder of the retry table.  A replayed step reads the same folder and
+overwrites its own, so no batch is queued twice; sending itself is at least once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.delivery import deliver, is_transient
+from ..operators.delivery import FAILED, SENT, deliver, deliver_in_order, is_transient, outcome
+
+STEP = "batch_id"
 
 
 def deliver_batches(batches: DataFrame, send, batch_col: str = "batch") -> DataFrame:
@@ -23,9 +27,24 @@ def deliver_batches(batches: DataFrame, send, batch_col: str = "batch") -> DataF
 
 
 class CollectorSink:
-    def __init__(self, send, retry_path: str, batch_col: str = "batch"):
-        self.send, self.retry_path, self.batch_col = send, retry_path, batch_col
+    """``order_cols`` order the batches of one step (none: any order); older steps come first."""
+
+    def __init__(self, send, retry_path: str, order_cols: list[str] | None = None, batch_col: str = "batch"):
+        self.send, self.retry_path, self.order_cols, self.batch_col = send, retry_path.rstrip("/"), list(order_cols or []), batch_col
+
+    def _folder(self, step: int) -> str:
+        return f"{self.retry_path}/step={step}"
+
+    def unsent(self, spark, step: int, schema) -> DataFrame:
+        """What a step left unsent; nothing where this sink did not run that step."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self._folder(step))
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(self._folder(step))
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
-        res = deliver_batches(df.withColumn("batch_id", F.lit(batch_id)), self.send, self.batch_col)
-        res.where(F.col("requeue")).write.mode("append").parquet(self.retry_path)
+        new = df.withColumn(STEP, F.lit(batch_id).cast("long"))
+        queue = self.unsent(df.sparkSession, batch_id - 1, new.schema).unionByName(new)
+        res = deliver_in_order(queue, self.send, [STEP, *self.order_cols], self.batch_col)
+        res.where(F.col("state") != SENT).withColumn("outcome", F.when(F.col("state") == FAILED, outcome(F.col("status")))) \
+            .write.mode("overwrite").parquet(self._folder(batch_id))
