@@ -166,19 +166,20 @@ def with_parsed_date(df, text: Column, out_col: str, formats=DEFAULT_DATE_FORMAT
     return d.withColumn(out_col, _instant(F.col(out_col), F.coalesce(F.col(g), F.col(n)), local_zone, legacy_wall_clock)).drop(b, g, n)
 
 
-def with_field_time(df, parse_time: str | None, fields_col: str = "fields", **date_opts):
-    """Add ``time_wire`` and ``event_time`` from ``fields[parse_time]``.
+def with_field_time(df, parse_time: str | Column | None, fields_col: str = "fields", **date_opts):
+    """Add ``time_wire`` and ``event_time`` from ``fields[parse_time]`` (O21, O22, O27);
+    ``parse_time`` is a name for all rows or a column of names.
 
     Both are NULL when the field is missing or empty, and when its text is not
     a time, which ``time_unparsed`` reports.  An epoch found at the
     start wins; only otherwise is the date parser run.  Each stage is its own
     projection so the generated code stays small and nothing is computed twice.
     """
-    if not parse_time:
+    if parse_time is None or isinstance(parse_time, str) and not parse_time:
         return df.withColumn("time_wire", F.lit(None).cast("string")) \
                  .withColumn("event_time", F.lit(None).cast("timestamp")).withColumn("time_unparsed", F.lit(False))
     v, ep, pd_ = "__tl_tv", "__tl_tep", "__tl_tpd"
-    d = df.withColumn(v, F.element_at(F.col(fields_col), F.lit(parse_time)))
+    d = df.withColumn(v, F.element_at(F.col(fields_col), F.lit(parse_time) if isinstance(parse_time, str) else parse_time))
     d = d.withColumn(v, F.when(F.length(F.col(v)) > 0, F.col(v)))
     d = d.withColumn(ep, detect_epoch(F.col(v)))
     d = with_parsed_date(d, F.when(F.col(ep).isNull(), F.col(v)), pd_, **date_opts)

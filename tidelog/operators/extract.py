@@ -137,11 +137,12 @@ def _apply_step(df: DataFrame, spec: PatternSpec, st: _State, text_col, json_col
 
 
 def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_text",
-                   json_col: str | None = None, out_col: str = "fields", mode: str = "stop") -> DataFrame:
+                   json_col: str | None = None, out_col: str = "fields", mode: str = "stop", where: Column | None = None) -> DataFrame:
     """Add ``out_col`` = fields found by the ordered pattern set (see module doc).
 
     ``text_col`` is searched by patterns without an input field; when
-    ``json_col`` (VARIANT) is given the record is the decoded value instead.
+    ``json_col`` (VARIANT) is given the record is the decoded value instead.  Rows
+    for which ``where`` does not hold are not searched and get no fields.
     """
     specs = patterns if (isinstance(patterns, list) and patterns and isinstance(patterns[0], PatternSpec)) \
         else compile_patterns(patterns)
@@ -152,7 +153,7 @@ def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_tex
     alive = f"{_H}alive"
     init = [F.lit(False).alias(st.p(k)) for k in st.keys] + \
            [F.lit(None).cast("string").alias(st.v(k)) for k in st.keys]
-    df = df.select(*[F.col(c) for c in base_cols], *init, F.lit(True).alias(alive))
+    df = df.select(*[F.col(c) for c in base_cols], *init, (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias(alive))
     m_name = f"{_H}m"
     if mode == "stop":
         for spec in specs:
@@ -162,7 +163,7 @@ def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_tex
         # Each pattern applies once; a pattern whose input field is absent waits
         # for a later pass.  Passes are bounded by the number of patterns.
         done = {s.name: f"{_H}d{i}" for i, s in enumerate(specs)}
-        df = df.select(*df.columns, *[F.lit(False).alias(d) for d in done.values()])
+        df = df.select(*df.columns, *[(~F.col(alive)).alias(d) for d in done.values()])
         for _ in range(len(specs)):
             for spec in specs:
                 d = done[spec.name]
@@ -182,3 +183,25 @@ def extract_fields(df: DataFrame, patterns, *, text_col: str | None = "event_tex
     parts = [F.when(F.col(st.p(k)), F.create_map(F.lit(k), F.col(st.v(k)))).otherwise(empty) for k in st.keys]
     fields = F.map_concat(*parts) if len(parts) > 1 else (parts[0] if parts else empty)
     return df.select(*[F.col(c) for c in base_cols if c != out_col], fields.alias(out_col))
+
+
+def extract_by_source(df: DataFrame, sets: dict[str, tuple], *, source_col: str = "source", out_col: str = "fields",
+                      parse_time_col: str = "parse_time", **options) -> DataFrame:
+    """Each source's own pattern set in one narrow plan: ``sets`` maps a source to ``(patterns, parse_time)``.
+
+    Adds ``out_col`` ({} for a source without a set, or NULL) and ``parse_time_col``, the name of the field
+    that holds the time (for ``with_field_time``).  ``options`` are those of ``extract_fields``.  Sources with
+    equal sets share one fold.
+    """
+    shared: dict[tuple, list[str]] = {}
+    for source, (patterns, parse_time) in sets.items():
+        pairs = patterns.items() if isinstance(patterns, dict) else patterns
+        shared.setdefault((tuple(map(tuple, pairs)), parse_time), []).append(source)
+    base_cols = [c for c in df.columns if c not in (out_col, parse_time_col)]
+    found, field = F.create_map().cast("map<string,string>"), F.lit(None).cast("string")
+    for k, ((pairs, parse_time), sources) in enumerate(shared.items()):
+        mine = F.col(source_col).isin(sources)
+        df = extract_fields(df, list(pairs), out_col=f"{_H}set{k}", where=mine, **options)
+        found = F.when(mine, F.col(f"{_H}set{k}")).otherwise(found)
+        field = F.when(mine, F.lit(parse_time)).otherwise(field)
+    return df.select(*[F.col(c) for c in base_cols], found.alias(out_col), field.alias(parse_time_col))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_fields
+from ..operators.extract import extract_by_source, extract_fields
 from .registry import query
-from .tables import table
+from ..functions.timefmt import with_field_time
+from .tables import events_ts_utc, table
 
 URL_PATTERNS = [
     ("re_url", r"^(?P<scheme>[a-z]+)://(?P<host>[^/?#]+)(?P<path>[^?#]*)"),
@@ -118,3 +119,29 @@ FROM pages
 def optional_groups(spark, sf_dir):
     df = extract_fields(_pages_lines(spark, sf_dir), OPTIONAL_PATTERNS)
     return df.select("page_id", _f("scheme"), _f("sub"), _f("host"), _n_fields())
+
+
+SOURCE_SETS = {
+    "click": ([("entry", r"t=(?P<when>\d{10}) id=(?P<num>\d+)"), ("last:num", r"(?P<digit>\d)$")], "when"),
+    "view": ([("entry", r"^(\d+) at (\d{10})")], "2"),
+    "purchase": ([("entry", r"^(\d+) at (\d{10})")], "2"),
+}
+
+
+@query("source_patterns", "O10 O12 O13 O27 (a pattern set and time field per source)", oracle="""
+SELECT event_id, event_type,
+       CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(event_id AS VARCHAR) END AS num,
+       CASE WHEN event_type = 'click' THEN right(CAST(event_id AS VARCHAR), 1) END AS digit,
+       CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) END AS secs,
+       CAST(CASE WHEN event_type = 'click' THEN 3 WHEN event_type IN ('view', 'purchase') THEN 2 ELSE 0 END AS BIGINT) AS n_fields
+FROM events
+""")
+def source_patterns(spark, sf_dir):
+    """Clicks are written in one form, all others in another; sources without a set get no fields."""
+    ev = events_ts_utc(table(spark, sf_dir, "events"))
+    secs, num = F.unix_seconds("ts").cast("string"), F.col("event_id").cast("string")
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit("t="), secs, F.lit(" id="), num)).otherwise(F.concat(num, F.lit(" at "), secs))
+    lines = ev.select("event_id", "event_type", text.alias("event_text"))
+    df = with_field_time(extract_by_source(lines, SOURCE_SETS, source_col="event_type"), F.col("parse_time"))
+    return df.select("event_id", "event_type", F.coalesce(_f("num"), F.element_at("fields", F.lit("1"))).alias("num"), _f("digit"),
+                     F.unix_seconds("event_time").alias("secs"), _n_fields())
