@@ -170,6 +170,50 @@ def test_personal_data_by_brute_force(llm_spark):
     assert pii.personal_data(no_rows(df)).count() == 0 and pii.redacted(no_rows(df)).count() == 0
 
 
+def hidden(r, i):
+    """A document with personal data in a loose form, and where it stands; or one with a number that is none."""
+    n = [r.randint(1, 250) for _ in range(4)]
+    d = "".join(r.choice("23456789") for _ in range(15))
+    card = next(d + c for c in "0123456789" if luhn(d + c))
+    forms = [f"{r.choice(PROSE.split())}.{n[0]} (at) mail{n[1]} (dot) com", f"{r.choice(PROSE.split())}{n[0]}[at]host{n[1]}[dot]org", f"({d[:3]}) {d[3:6]}-{d[6:10]}",
+             f"1 ({d[:3]}) {d[3:6]}-{d[6:10]}", ".".join(card[k:k + 4] for k in (0, 4, 8, 12)), " . ".join(map(str, n))]
+    clean = [f"$ {d[:9]}", f"version {n[0]} . {n[1]} . {n[2]} . {n[3]}", f"order {d[:10]}", f"2024-01-{n[0] % 18 + 10} 12", f"look (at) {r.choice(PROSE.split())}", f"{d[:3]}.{d[3:9]}"]
+    return forms[i % 6], clean[i % 6]
+
+
+def personal_cases(seed, n_base, n_cases):
+    """Base spans to learn from, hidden forms under ids from 10,000 and clean numbers from 20,000 on."""
+    r = random.Random(seed)
+    made, spot = [], {}
+    prose = lambda: " ".join(r.choice(PROSE.split()) for _ in range(12))
+    for i in range(n_base):
+        d = "".join(r.choice("23456789") for _ in range(15))
+        v = [f"{r.choice(PROSE.split())}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", ".".join(str(r.randint(1, 250)) for _ in range(4)),
+             next(d + c for c in "0123456789" if luhn(d + c)), f"+1 ({d[:3]}) {d[3:6]}-{d[6:10]}"][i % 4]
+        made.append((i, f"{prose()} {v} {prose()}"))
+        made.append((50_000 + i, f"{prose()} {hidden(r, i)[1]} {prose()}"))
+    for i in range(n_cases):
+        for at, v in zip((10_000, 20_000), hidden(r, i)):
+            left = prose()
+            made.append((at + i, f"{left} {v} {prose()}"))
+            spot[at + i] = (len(left) + 1, len(left) + 1 + len(v), v)
+    return made, spot
+
+
+def test_hidden_personal_data_is_found(llm_spark):
+    made, spot = personal_cases(11, 400, 120)
+    df = llm_spark.createDataFrame(made, "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["spans"] for x in pii.personal_data(df).collect()}
+    kind = ("email", "email", "phone", "phone", "card", "ip")
+    for i in range(120):
+        s, e, v = spot[10_000 + i]
+        assert f"{kind[i % 6]}:{s}:{e}" in got[10_000 + i].split(","), (v, got[10_000 + i])
+        assert got[20_000 + i] == "", (spot[20_000 + i], got[20_000 + i])
+    red = {x["doc_id"]: x["text"] for x in pii.redacted(df).collect()}
+    assert all(spot[10_000 + i][2] not in red[10_000 + i] for i in range(120))
+    assert all(red[i] == t for i, t in made if 20_000 <= i < 50_000)
+
+
 def test_flight_keeps_its_totals():
     r = np.random.default_rng(2)
     for n in (1, 2, 3, 50, 2000):

@@ -4,8 +4,10 @@ DataFrame and SQL functions only.  ``base_spans`` finds e-mail addresses, IPs, c
 phone numbers by the fixed patterns; these are always taken.  High-recall
 generators propose further, overlapping candidates (spaced or spelled-out marks, missing
 plus signs, other digit groups).  Gradient-boosted trees are trained on a
-bounded sample of candidates: those that overlap a base span of their kind are
-positive, all others negative.  Features are the candidate's format and its context.  A
+bounded sample of labelled candidates.  Positive are base spans rewritten in their own context
+into forms that only the generators find (``rewritten``); negative are the same spans broken, and
+candidates that their format or context rules out (``_wrong``: version numbers, prices, ids,
+dates).  All others have no label.  Features are the candidate's format and its context.  A
 threshold for each kind is calibrated on the held-back part of the sample: the
 lowest score, from 0.5 on, with the wanted precision.  The trees become one column
 expression, so scoring and redaction are narrow: no text is shuffled.
@@ -14,7 +16,7 @@ Positions are code points, ends exclusive.  Possessive loops and look-behinds on
 keep the patterns linear; the matches are those of the plain patterns.
 
 Defined results: a null text is empty and has no spans; null or repeated ids
-are rows as any other; an empty table gives no rows; where candidates are all of one
+are rows as any other; an empty table gives no rows; where labelled candidates are all of one
 class there is no model and only base spans are taken.  Other columns are ignored
 (kept, in ``redacted``).
 """
@@ -65,6 +67,11 @@ CUES = {
     "cue_card": r"(?i)card|visa|credit|karte|carte|tarjeta",
     "cue_ip": r"(?i)\bip\b|host|server|addr|version|\bv\b",
 }
+# What rules a number out: a mark or word before it, a unit after it, a date or a decimal number.
+NOT_BEFORE = r"(?i)(?:[$€£¥#§=/]|\b(?:v|ver|version|release|rev|build|section|chapter|page|order|invoice|item|id|no|nr|price|isbn|usd|eur)\b\.?:?)[\x20(]?$"
+NOT_AFTER = r"(?i)^(?:\x20?[$€£¥%]|\x20?(?:usd|eur|kg|km|cm|mm|ms|kb|mb|gb|bytes)\b|/)"
+DATED = r"(?<![0-9])(?:(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2})(?![0-9])|^[0-9]+\.[0-9]+$"
+DOMAIN = r"(?:\.|\x20?\((?i:dot)\)\x20?|\x20?\[(?i:dot)\]\x20?)[A-Za-z]{2,}$"
 CONTEXT = 24
 #: Candidates to learn from (expected number, chosen by a hash of their document), and the share held back.
 SAMPLE = 12_000
@@ -128,34 +135,113 @@ def base_spans(text: Column) -> Column:
 
 
 FEATURES = ("kind_no", "chars", "digits", "letters", "dots", "blanks", "dashes", "brackets", "groups", "longest", "plus", "at", "small",
-            "luhn", "touches_left", "touches_right", *CUES)
-CANDIDATE = "array<struct<start:long,kind_no:int,end:long,value:string,base:int,clear:boolean,f:array<double>>>"
+            "luhn", "touches_left", "touches_right", "domain", "ruled_out", "dated", *CUES)
+CANDIDATE = "array<struct<start:long,kind_no:int,end:long,value:string,base:int,clear:boolean,wrong:boolean,f:array<double>>>"
+
+
+def _wrong(s: Column) -> Column:
+    """True for a candidate that can't be of its kind, by its format or by what stands beside it."""
+    v, digits = s["value"], s["digits"]
+    inside = s["ruled_out"] | s["touches_left"] | s["touches_right"]
+    by_kind = {
+        "email": ~s["domain"],
+        "ip": inside | ~F.contains(v, F.lit(".")) | ~F.forall(s["parts"], _small),
+        "card": inside | ~F.length(digits).between(14, 19) | ~s["luhn"],
+        "phone": inside | s["dated"] | ~F.length(digits).between(7, 15) | v.rlike(r"^[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}$"),
+    }
+    return reduce(lambda a, k: F.when(s["kind_no"] == KINDS.index(k), by_kind[k]).otherwise(a), by_kind, F.lit(False))
 
 
 def candidates(text: Column, base: Column) -> Column:
     """High-recall candidates with features; ``base`` is 1 where one overlaps a base span of its kind,
-    ``clear`` is true where it overlaps no base span at all."""
+    ``clear`` is true where it overlaps no base span at all, ``wrong`` where it can't be of its kind."""
     loose = F.concat(*[_matches(text, k, LOOSE[k], LOOSE_NEEDS[k]) for k in KINDS])
 
+    def beside(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"),
+                        text.substr(F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), s["start"]).cast("int")).alias("left"),
+                        text.substr((s["end"] + 1).cast("int"), F.lit(CONTEXT)).alias("right"), _digits(s["value"]).alias("digits"),
+                        F.filter(F.split(s["value"], "[^0-9]+"), lambda p: p != "").alias("parts"))
+
+    def judged(s: Column) -> Column:
+        left, right, v = s["left"], s["right"], s["value"]
+        return F.struct(*[s[x].alias(x) for x in ("start", "kind_no", "end", "value", "digits", "parts")], F.concat(left, F.lit(" "), right).alias("near"),
+                        F.coalesce(left.rlike(r"[A-Za-z0-9]$"), F.lit(False)).alias("touches_left"),
+                        F.coalesce(right.rlike(r"^[A-Za-z0-9]"), F.lit(False)).alias("touches_right"), v.rlike(DOMAIN).alias("domain"),
+                        (left.rlike(NOT_BEFORE) | right.rlike(NOT_AFTER)).alias("ruled_out"), v.rlike(DATED).alias("dated"), _luhn(s["digits"]).alias("luhn"))
+
     def described(s: Column) -> Column:
         v = s["value"]
-        left = text.substr(F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), s["start"]).cast("int"))
-        right = text.substr((s["end"] + 1).cast("int"), F.lit(CONTEXT))
-        parts = F.filter(F.split(v, "[^0-9]+"), lambda p: p != "")
-        near = F.concat(left, F.lit(" "), right)
         count = lambda chars: F.length(v) - F.length(F.regexp_replace(v, chars, ""))
         overlap = lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])
         f = [s["kind_no"], F.length(v), count("[0-9]"), count("[A-Za-z]"), count(r"\."), count(" "), count("-"), count(r"[()\[\]]"),
-             F.size(parts), F.coalesce(F.array_max(F.transform(parts, lambda p: F.length(p))), F.lit(0)), F.startswith(v, F.lit("+")).cast("int"),
-             F.contains(v, F.lit("@")).cast("int"), F.size(F.filter(parts, _small)), _luhn(_digits(v)).cast("int"),
-             F.coalesce(left.rlike(r"[A-Za-z0-9]$"), F.lit(False)).cast("int"), F.coalesce(right.rlike(r"^[A-Za-z0-9]"), F.lit(False)).cast("int"),
-             *[near.rlike(c).cast("int") for c in CUES.values()]]
+             F.size(s["parts"]), F.coalesce(F.array_max(F.transform(s["parts"], lambda p: F.length(p))), F.lit(0)), F.startswith(v, F.lit("+")).cast("int"),
+             F.contains(v, F.lit("@")).cast("int"), F.size(F.filter(s["parts"], _small)),
+             *[s[x].cast("int") for x in ("luhn", "touches_left", "touches_right", "domain", "ruled_out", "dated")],
+             *[s["near"].rlike(c).cast("int") for c in CUES.values()]]
         return F.struct(
             s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), v.alias("value"),
             F.exists(base, lambda b: overlap(b) & (b["kind_no"] == s["kind_no"])).cast("int").alias("base"),
-            (~F.exists(base, overlap)).alias("clear"), F.array(*[x.cast("double") for x in f]).alias("f"))
-
-    return F.transform(loose, described)
+            (~F.exists(base, overlap)).alias("clear"), _wrong(s).alias("wrong"), F.array(*[x.cast("double") for x in f]).alias("f"))
+
+    return F.transform(F.transform(F.transform(loose, beside), judged), described)
+
+
+def _forms(kind_no: Column, start: Column, v: Column, near: Column) -> Column:
+    """A base span in forms that no base pattern takes: as people write it to hide it or by habit (1), and broken (0)."""
+    digits = _digits(v)
+    turn = F.pmod(F.xxhash64(v, start), F.lit(3))
+    user, host = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+    bare = F.regexp_replace(v, r"^\+", "")
+    local = F.regexp_replace(v, r"^\+[0-9]{1,3}[\x20.-]+(?=[0-9(].*[0-9].*[0-9].*[0-9].*[0-9].*[0-9].*[0-9].*[0-9])", "")
+    dotted = F.regexp_replace(F.regexp_replace(local, r"[^0-9]+", "."), r"^\.", "")
+    plain = F.when(near.rlike(CUES["cue_phone"]), digits).otherwise(bare)
+    last = F.when(F.endswith(digits, F.lit("9")), F.lit("0")).otherwise((F.right(digits, F.lit(1)).try_cast("int") + 1).cast("string"))
+    broken = F.concat(F.left(digits, F.length(digits) - 1), last)
+    fours = lambda d, mark: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", "$1" + mark)
+    form = lambda value, label: F.struct(value.alias("value"), F.lit(label).alias("label"))
+    either = lambda *xs: F.when(turn == 0, xs[0]).when(turn == 1, xs[1]).otherwise(xs[-1])
+    of = {
+        "email": (either(F.concat(user, F.lit(" (at) "), F.regexp_replace(host, r"\.", " (dot) ")),
+                         F.concat(user, F.lit("[at]"), F.regexp_replace(host, r"\.", "[dot]")), F.concat(user, F.lit(" @ "), host)),
+                  F.concat(user, either(F.lit(" (at) "), F.lit("[at]"), F.lit(" @ ")), F.regexp_replace(host, r"\.", ""))),
+        "ip": (either(*[F.regexp_replace(v, r"\.", mark) for mark in (" . ", ". ", " .")]),
+               F.concat(F.lit("999"), F.regexp_replace(F.regexp_replace(v, r"^[0-9]+", ""), r"\.", " . "))),
+        "card": (fours(digits, "."), fours(broken, ".")),
+        "phone": (either(bare, dotted, F.when(F.pmod(F.xxhash64(v), F.lit(2)) == 0, local).otherwise(plain)),
+                  F.concat(either(F.lit("#"), F.lit("$"), F.lit("id ")), either(digits, bare, dotted))),
+    }
+    return reduce(lambda a, k: F.when(kind_no == KINDS.index(k), F.array(form(of[k][0], 1), form(of[k][1], 0))).otherwise(a),
+                  KINDS, F.array().cast("array<struct<value:string,label:int>>"))
+
+
+def places(text: Column, base: Column) -> Column:
+    """The base spans with the text beside them."""
+    return F.transform(base, lambda s: F.struct(
+        s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["value"].alias("value"),
+        text.substr(F.greatest(F.lit(1), s["start"] - 2 * CONTEXT + 1).cast("int"), F.least(F.lit(2 * CONTEXT), s["start"]).cast("int")).alias("left"),
+        text.substr((s["end"] + 1).cast("int"), F.lit(2 * CONTEXT)).alias("right")))
+
+
+def rewritten(found: DataFrame) -> DataFrame:
+    """``_key, kind_no, label, f``: candidates from the base spans of ``found(_key, _places)`` written in other forms where they stand."""
+    spans = found.select("_key", F.explode("_places").alias("s")).select("_key", "s.*")
+    near = F.concat(F.col("left"), F.lit(" "), F.col("right"))
+    forms = spans.select("_key", "kind_no", "left", "right", F.explode(_forms(F.col("kind_no"), F.col("start"), F.col("value"), near)).alias("x"))
+    start = F.length("left").cast("long")
+    place = F.struct(start.alias("start"), F.col("kind_no"), (start + F.length("x.value")).alias("end"), F.col("x.value").alias("value"))
+    there = forms.select("_key", "x.label", F.array(place).alias("places"), F.concat("left", "x.value", "right").alias("window"))
+    own = there.select("_key", "label", F.col("places")[0].alias("place"), F.explode(candidates(F.col("window"), F.col("places"))).alias("c"))
+    # A broken form may be found in part (behind its mark); a good one is found whole, where its context doesn't rule it out.
+    whole = (F.col("c.start") <= F.col("place.start")) & (F.col("c.end") >= F.col("place.end")) & ~F.col("c.wrong")
+    fits = (F.col("c.base") == 1) & F.when(F.col("label") == 1, whole).otherwise(F.col("c.wrong"))
+    return own.filter(fits).select("_key", "c.kind_no", "label", "c.f")
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """The forms of ``rewritten`` and, as negatives, the candidates of ``found(_key, _cands, _places)`` clear of base spans that can't be of their kind."""
+    wrong = found.select("_key", F.explode(F.filter("_cands", lambda c: c["clear"] & c["wrong"])).alias("c"))
+    return rewritten(found).unionByName(wrong.select("_key", "c.kind_no", F.lit(0).alias("label"), "c.f"))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", base: str = "_base", cands: str = "_cands") -> DataFrame:
@@ -200,14 +286,14 @@ class Redactor:
 
 
 def learn(found: DataFrame, sample: int = SAMPLE) -> Redactor:
-    """Fit on at most about ``sample`` candidates of ``found(_key, _cands)``."""
-    cands = found.select("_key", F.explode("_cands").alias("c")).select("_key", "c.kind_no", "c.base", "c.f")
+    """Fit on at most about ``sample`` labelled candidates of ``found(_key, _cands, _places)``."""
+    cands = kept_table(labelled(found))
     n = cands.count()
     if not n:
         return Redactor([], {})
     rows = kept_table(cands.filter(spread("_key", F.col("f"), seed=91) < sample / n)
                       .withColumn("held", spread("_key", F.col("f"), seed=92) < HELD_BACK).drop("_key")
-                      .select("kind_no", F.col("base").cast("double").alias("label"), "held", *[F.col("f")[i].alias(x + "_f") for i, x in enumerate(FEATURES)]))
+                      .select("kind_no", F.col("label").cast("double").alias("label"), "held", *[F.col("f")[i].alias(x + "_f") for i, x in enumerate(FEATURES)]))
     classes = rows.filter("not held").agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return Redactor([], {})
@@ -220,10 +306,11 @@ def learn(found: DataFrame, sample: int = SAMPLE) -> Redactor:
     thresholds = {}
     for k in {r["kind_no"] for r in bins}:
         good = total = 0
-        for r in sorted((r for r in bins if r["kind_no"] == k), key=lambda r: -r["bin"]):
+        own = sorted((r for r in bins if r["kind_no"] == k), key=lambda r: -r["bin"])
+        for r, lower in zip(own, [*[(x["bin"] + 1) / 50 for x in own[1:]], 0.5]):  # down to the next bin with rows
             good, total = good + r["good"], total + r["all"]
             if good >= PRECISION * total:
-                thresholds[int(k)] = max(0.5, r["bin"] / 50)
+                thresholds[int(k)] = max(0.5, lower)
     return Redactor(trees, thresholds)
 
 
@@ -235,7 +322,7 @@ def _listed(spans: Column) -> Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_extra`` for each row."""
     found = kept_table(with_spans(docs.select(F.col(id_col), F.col(text_col)), text_col).select(
-        id_col, F.xxhash64(id_col).alias("_key"), "_base", "_cands"))
+        id_col, F.xxhash64(id_col).alias("_key"), "_base", "_cands", places(F.coalesce(F.col(text_col), F.lit("")), F.col("_base")).alias("_places")))
     extra = learn(found).extra(F.col("_cands"))
     out = found.withColumn("_extra", extra).withColumn("_all", F.array_sort(F.concat("_base", "_extra")))
     no = F.transform("_base", lambda s: s["kind_no"])
@@ -268,7 +355,8 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     base, cands = unused(docs, "_base"), unused(docs, "_cands")
     found = with_spans(docs, text_col, base, cands)
-    model = learn(kept_table(found.select(F.xxhash64(id_col).alias("_key"), F.col(cands).alias("_cands"))))
+    beside = places(F.coalesce(F.col(text_col), F.lit("")), F.col(base)).alias("_places")
+    model = learn(kept_table(found.select(F.xxhash64(id_col).alias("_key"), F.col(cands).alias("_cands"), beside)))
     spans = F.array_sort(F.concat(F.col(base), model.extra(F.col(cands))))
     out = found.withColumn(text_col, _replaced(F.col(text_col), spans))
     if "n_chars" in docs.columns:
