@@ -214,6 +214,17 @@ def test_hidden_personal_data_is_found(llm_spark):
     assert all(red[i] == t for i, t in made if 20_000 <= i < 50_000)
 
 
+def test_a_rare_kind_has_its_threshold(llm_spark):
+    """Thresholds don't depend on the size of the sample: 40 base spans of a kind among 16,000 ruled-out numbers
+    (which are candidates for telephones, so that kind's threshold is a matter of its precision)."""
+    made, _ = personal_cases(12, 160, 0)
+    made += [(90_000 + i, " ".join(f"id {i}{k:06d} of" for k in range(40))) for i in range(400)]
+    df = llm_spark.createDataFrame(made, "doc_id long, text string").repartition(8)
+    text = pii.F.col("text")
+    found = pii.with_spans(df).select(pii.F.xxhash64("doc_id").alias("_key"), "_cands", pii.places(text, pii.F.col("_base")).alias("_places"))
+    assert set(pii.learn(found, sample=400).thresholds) >= {0, 1, 2}
+
+
 def test_flight_keeps_its_totals():
     r = np.random.default_rng(2)
     for n in (1, 2, 3, 50, 2000):

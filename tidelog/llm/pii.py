@@ -8,7 +8,7 @@ bounded sample of labelled candidates.  Positive are base spans rewritten in the
 into forms that only the generators find (``rewritten``); negative are the same spans broken, and
 candidates that their format or context rules out (``_wrong``: version numbers, prices, ids,
 dates).  All others have no label.  Features are the candidate's format and its context.  A
-threshold for each kind is calibrated on the held-back part of the sample: the
+threshold for each kind is calibrated on all labelled candidates held back from the fit: the
 lowest score, from 0.5 on, with the wanted precision.  The trees become one column
 expression, so scoring and redaction are narrow: no text is shuffled.
 
@@ -28,7 +28,6 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +72,7 @@ NOT_AFTER = r"(?i)^(?:\x20?[$€£¥%]|\x20?(?:usd|eur|kg|km|cm|mm|ms|kb|mb|gb|b
 DATED = r"(?<![0-9])(?:(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2})(?![0-9])|^[0-9]+\.[0-9]+$"
 DOMAIN = r"(?:\.|\x20?\((?i:dot)\)\x20?|\x20?\[(?i:dot)\]\x20?)[A-Za-z]{2,}$"
 CONTEXT = 24
-#: Candidates to learn from (expected number, chosen by a hash of their document), and the share held back.
+#: Labelled candidates to fit on (expected number, in equal parts by kind and label, chosen by hash), and the share of all held back for the thresholds.
 SAMPLE = 12_000
 HELD_BACK = 0.25
 TREES, DEPTH, RATE = 10, 3, 0.3
@@ -288,20 +287,21 @@ class Redactor:
 def learn(found: DataFrame, sample: int = SAMPLE) -> Redactor:
     """Fit on at most about ``sample`` labelled candidates of ``found(_key, _cands, _places)``."""
     cands = kept_table(labelled(found))
-    n = cands.count()
-    if not n:
+    cands = cands.withColumn("held", spread("_key", F.col("f"), seed=92) < HELD_BACK)
+    counts = {(r["kind_no"], r["label"]): r["n"] for r in cands.filter("not held").groupBy("kind_no", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in counts}) < 2:
         return Redactor([], {})
-    rows = kept_table(cands.filter(spread("_key", F.col("f"), seed=91) < sample / n)
-                      .withColumn("held", spread("_key", F.col("f"), seed=92) < HELD_BACK).drop("_key")
-                      .select("kind_no", F.col("label").cast("double").alias("label"), "held", *[F.col("f")[i].alias(x + "_f") for i, x in enumerate(FEATURES)]))
-    classes = rows.filter("not held").agg(F.min("label"), F.max("label")).first()
+    # As many rows of each kind and label, where there are so many.
+    share = reduce(lambda a, kn: F.when((F.col("kind_no") == kn[0][0]) & (F.col("label") == kn[0][1]), F.lit(sample / len(counts) / kn[1])).otherwise(a), counts.items(), F.lit(0.0))
+    rows = kept_table(cands.filter(~F.col("held") & (spread("_key", F.col("f"), seed=91) < share))
+                      .select(F.col("label").cast("double").alias("label"), *[F.col("f")[i].alias(x + "_f") for i, x in enumerate(FEATURES)]))
+    classes = rows.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return Redactor([], {})
     ready = VectorAssembler(inputCols=[x + "_f" for x in FEATURES], outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7).fit(ready.filter("not held"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7).fit(ready)
     trees = [(w, t.toDebugString.splitlines()[1:]) for w, t in zip(model.treeWeights, model.trees)]
-    bins = model.transform(ready.filter("held")).select(
-        "kind_no", "label", F.floor(vector_to_array("probability")[1] * 50).alias("bin")) \
+    bins = cands.filter("held").select("kind_no", "label", F.floor(Redactor(trees, {}).score(F.col("f")) * 50).alias("bin")) \
         .groupBy("kind_no", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()  # 51 bins a kind at most
     thresholds = {}
     for k in {r["kind_no"] for r in bins}:
