@@ -86,6 +86,15 @@ def test_secrets(llm_spark):
     assert all(x["kept"] == (x["kind"] == "opaque") for x in turned)
 
 
+def test_a_long_secret_is_proposed_whole():
+    r = random.Random(4)
+    key = "".join(r.choice("abcdefABCDEF0123456789+/") for _ in range(800))
+    for text in (f"token={key}", f'secret = "{key}" x'):
+        assert any(k == "assigned" and text[s:e] == key for s, e, k, _ in secret_scan.candidates(text))
+    run = "AKIA" + "Q7" * 8 + "/" + key
+    assert run in {run[s:e] for s, e, _, _ in secret_scan.candidates(run)}
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 4, 40), Limits(128, 1000, 128)])
 def test_shard_limits(limits):
     r = random.Random(7)
