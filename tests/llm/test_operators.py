@@ -86,6 +86,14 @@ def test_secrets(llm_spark):
     assert all(x["kept"] == (x["kind"] == "opaque") for x in turned)
 
 
+@pytest.mark.parametrize("text, name, value", [
+    ("see https://host/v1?token=9f8a7b6c5d4e3f2a now", "token", "9f8a7b6c5d4e3f2a"), ("INFO: password=hunter2abc99", "password", "hunter2abc99"),
+    ("user=admin1&password=hunter2abc99&x=1", "password", "hunter2abc99"), ("host=db.internal;pwd=hunter2abc99;port=1", "pwd", "hunter2abc99"),
+    ("user=admin1&password=hunter2abc99", "user", "admin1"), ('token="ab,cd;ef&gh"', "token", "ab,cd;ef&gh")])
+def test_a_secret_inside_a_value_is_proposed(text, name, value):
+    assert ("assigned", name, value) in {(k, n, text[s:e]) for s, e, k, n in secret_scan.candidates(text)}
+
+
 def test_a_long_secret_is_proposed_whole():
     r = random.Random(4)
     key = "".join(r.choice("abcdefABCDEF0123456789+/") for _ in range(800))
