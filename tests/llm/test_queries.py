@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tidelog.llm import ngram_join, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "conversations", "labels")
+TABLES = ("documents", "embeddings", "conversations", "labels", "benchmark")
 
 
 @pytest.fixture(scope="module")

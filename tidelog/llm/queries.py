@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
 from .langid import language
+from .merkle import verified_manifest
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pii import personal_data
+from .positional_index import contamination
 from .quality_knn import quality
 from .quality_rules import quality_rules
 from .reply_trees import chat_digest
@@ -147,3 +149,51 @@ def _op7(spark, sf_dir):
 @_query("op9_hyperdimensional_language")
 def _op9(spark, sf_dir):
     return language(read(spark, sf_dir, "documents"))
+
+
+@_query("op12_merkle_manifest", r"""
+WITH RECURSIVE d AS (SELECT *, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+  list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT) AS crc FROM documents),
+l AS (SELECT *, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+  CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS changed FROM d),
+o AS (SELECT doc_id, lang, leaf, coalesce(changed, leaf) AS changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM o
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+r AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM r
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+w AS (SELECT doc_id, lang, leaf, 0 AS lvl, pos, n, changed AS h, '' AS proof FROM o
+  UNION ALL SELECT w.doc_id, w.lang, w.leaf, w.lvl + 1, w.pos // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM w LEFT JOIN t AS s ON s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+x AS (SELECT w.doc_id, w.leaf, r.subroot, 0 AS lvl, r.pos, r.n, w.h, w.proof FROM w JOIN r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT x.doc_id, x.leaf, x.subroot, x.lvl + 1, x.pos // 2, (x.n + 1) // 2,
+    sha256(CASE WHEN x.pos % 2 = 1 THEN s.h || x.h ELSE x.h || coalesce(s.h, '') END), x.proof || coalesce(s.h, '')
+  FROM x LEFT JOIN u AS s ON s.lvl = x.lvl AND s.pos = xor(x.pos, 1) WHERE x.n > 1)
+SELECT x.doc_id, x.leaf, x.subroot, u.h AS root, sha256(x.proof) AS proof_sha256, x.h AS folded_root, x.h = u.h AS verified
+FROM x, u WHERE x.n = 1 AND u.n = 1
+""")
+def _op12(spark, sf_dir):
+    return verified_manifest(read(spark, sf_dir, "documents"))
+
+
+@_query("op13_positional_decontamination", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(ws), 10) AS size, array_to_string(ws[i:i+least(len(ws), 10)-1], ' ') AS gram
+      FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS r(i) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT size FROM g),
+w AS (SELECT row, i, size, array_to_string(ws[i:i+size-1], ' ') AS gram FROM d, s, unnest(range(1, len(ws) - size + 2)) AS r(i)),
+m AS (SELECT w.row, w.i, w.size, g.item FROM w JOIN g ON g.size = w.size AND g.gram = w.gram),
+h AS (SELECT row, count(DISTINCT i + k) AS n_hit FROM m, unnest(range(0, size)) AS o(k) GROUP BY 1),
+n AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
+""")
+def _op13(spark, sf_dir):
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
