@@ -88,14 +88,14 @@ class OpenTree:
         return root, ["".join(w) for w in witnesses]
 
 
-def _blocks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(frames: Iterable[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     """Rows (grp, block, pos, node, n) sorted by them -> one row a node with its block's root and its witness.
     A block is closed at its full height where the group has further blocks."""
     key, tree, places = None, None, []
 
     def closed() -> pd.DataFrame:
         grp, block, n = key
-        root, witnesses = tree.close(BLOCK_BITS if n > 1 << BLOCK_BITS else None)
+        root, witnesses = tree.close(bits if n > 1 << bits else None)
         return pd.DataFrame({"grp": grp, "block": block, "pos": places, "n": n, "witness": witnesses, "root": root})
 
     for f in frames:
@@ -110,19 +110,19 @@ def _blocks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield closed()
 
 
-def witnessed(nodes: DataFrame) -> DataFrame:
+def witnessed(nodes: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """``nodes(grp, pos, n, node)``, places from 0 of n -> ``(grp, pos, witness, root)`` with the group's root."""
     largest = nodes.agg(F.max("n")).first()[0] or 0
     levels = []
     while True:
-        blocks = nodes.select("grp", F.shiftright("pos", BLOCK_BITS).alias("block"), "pos", "node", "n")
+        blocks = nodes.select("grp", F.shiftright("pos", bits).alias("block"), "pos", "node", "n")
         blocks = blocks.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
-        levels.append(kept_table(blocks.mapInPandas(_blocks, "grp string, block long, pos long, n long, witness string, root string")))
-        if largest <= 1 << BLOCK_BITS:
+        levels.append(kept_table(blocks.mapInPandas(lambda frames: _blocks(frames, bits), "grp string, block long, pos long, n long, witness string, root string")))
+        if largest <= 1 << bits:
             break
-        largest = -(-largest >> BLOCK_BITS)
-        nodes = levels[-1].filter(F.col("pos") == F.shiftleft("block", BLOCK_BITS)).select(
-            "grp", F.col("block").alias("pos"), F.ceil(F.col("n") / F.lit(float(1 << BLOCK_BITS))).cast("long").alias("n"), F.col("root").alias("node"))
+        largest = -(-largest >> bits)
+        nodes = levels[-1].filter(F.col("pos") == F.shiftleft("block", bits)).select(
+            "grp", F.col("block").alias("pos"), F.ceil(F.col("n") / F.lit(float(1 << bits))).cast("long").alias("n"), F.col("root").alias("node"))
     above = levels.pop().select("grp", "pos", "witness", "root")
     for level in reversed(levels):
         up = above.select("grp", F.col("pos").alias("block"), F.col("witness").alias("_up"), F.col("root").alias("_top"))
@@ -163,7 +163,7 @@ def siblings(witness: Column) -> Column:
     return F.regexp_replace(witness, "[LR-]", "")
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, *, block_bits: int = BLOCK_BITS) -> DataFrame:
     """``(doc_id, grp, leaf, tampered, pos, witness, subroot, root)``: the whole witness of every row, up to ``root``.
 
     ``tampered`` is the leaf after one more was added to ``n_chars`` where 7 divides the crc32 of ``doc_id``
@@ -174,17 +174,17 @@ def manifest(docs: DataFrame) -> DataFrame:
     leaves = docs.select("doc_id", grp.alias("grp"), *[c for c in FIELDS[1:]], leaf_digest().alias("leaf")) \
         .select("doc_id", "grp", "leaf", changed.alias("tampered"), F.monotonically_increasing_id().alias("_row"))
     rows = kept_table(placed(kept_table(leaves), ["doc_id", "leaf", "_row"]).drop("_row"))
-    below = witnessed(rows.select("grp", "pos", "n", F.col("leaf").alias("node")))
+    below = witnessed(rows.select("grp", "pos", "n", F.col("leaf").alias("node")), block_bits)
     roots = below.filter("pos = 0").select(F.lit("").alias("grp"), F.col("grp").alias("member"), F.col("root").alias("node"))
     groups = kept_table(placed(kept_table(roots), ["member"]))
-    above = witnessed(groups.select("grp", "pos", "n", "node"))
+    above = witnessed(groups.select("grp", "pos", "n", "node"), block_bits)
     top = groups.join(above, ["grp", "pos"]).select(F.col("member").alias("grp"), F.col("witness").alias("_above"), F.col("node").alias("subroot"), "root")
     return rows.join(below.drop("root"), ["grp", "pos"]).join(top, "grp") \
         .select("doc_id", "grp", "leaf", "tampered", "pos", F.concat("witness", "_above").alias("witness"), "subroot", "root")
 
 
-def verified_manifest(docs: DataFrame) -> DataFrame:
+def verified_manifest(docs: DataFrame, **options) -> DataFrame:
     """Per row: its leaf, its group's root, the root, the digest of its proof, and what folding the (partly tampered) leaf gives."""
-    m = manifest(docs).select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+    m = manifest(docs, **options).select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
                               folded(F.col("tampered"), F.col("witness")).alias("folded_root"))
     return m.withColumn("verified", F.col("folded_root") == F.col("root"))

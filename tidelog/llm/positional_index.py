@@ -34,7 +34,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,13 +152,13 @@ class Segment:
         row = np.repeat(np.arange(len(which)), n)
         return self.places[self.list_start[which][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]], row
 
-    def phrases(self, size: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def phrases(self, size: int, windows: np.ndarray, candidates: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (window, first place) of all exact occurrences, for bounded numbers of candidates at a time."""
         lengths = self.list_size[windows]
         there = np.flatnonzero(lengths.min(axis=1) > 0)
         order = np.argsort(lengths[there], axis=1, kind="stable")
         rarest = lengths[there, order[:, 0]] if len(there) else np.empty(0, np.int64)
-        chunk = np.cumsum(rarest) // CANDIDATES
+        chunk = np.cumsum(rarest) // candidates
         for c in np.unique(chunk):
             mine = np.flatnonzero(chunk == c)
             at, row = self.lists(windows[there[mine], order[mine, 0]])
@@ -195,14 +195,14 @@ def merged(item: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray
     return item[first], doc[first], begin[first], np.maximum.reduceat(end, first) if len(first) else end
 
 
-def _search(items, within: int | None, near_words: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _search(items: Broadcast, within: int | None, near_words: int, candidates: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         its: Items = items.value
         names = np.array(its.names, dtype=object)
         for f in frames:
             for row in f.itertuples():
                 seg = Segment(row, its)
-                found = [(its_of[w], at, at + n) for n, its_of, windows in its.windows for w, at in seg.phrases(n, windows)]
+                found = [(its_of[w], at, at + n) for n, its_of, windows in its.windows for w, at in seg.phrases(n, windows, candidates)]
                 yield from rows(seg, row.segment, names, "phrase", found)
                 if within is not None:
                     near = [(k, seg.near(ws, within, near_words)) for k, ws in enumerate(its.words)]
@@ -232,7 +232,7 @@ def _passes(items: DataFrame, size: int, pass_words: int) -> Iterator[Items]:
 
 
 def matches(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", size: int = SIZE,
-            within: int | None = WITHIN, near_words: int = NEAR_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
+            within: int | None = WITHIN, near_words: int = NEAR_WORDS, pass_words: int = PASS_WORDS, candidates: int = CANDIDATES) -> DataFrame:
     """``(segment, doc, item, kind, start, end)``: spans of words, from 0, ``end`` exclusive, that exact windows of an item
     cover (``kind`` ``phrase``, overlapping ones made one), and rarest words with the others near (``near``; none if ``within`` is None)."""
     if within is not None and within >= GAP:
@@ -241,7 +241,7 @@ def matches(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", te
     out = spark.createDataFrame([], FOUND)
     for part in _passes(items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), size, pass_words):
         shared = spark.sparkContext.broadcast(part)
-        out = out.unionByName(index.select("segment", "starts", "words", "list_sizes", "places").mapInPandas(_search(shared, within, near_words), FOUND))
+        out = out.unionByName(index.select("segment", "starts", "words", "list_sizes", "places").mapInPandas(_search(shared, within, near_words, candidates), FOUND))
     return out
 
 

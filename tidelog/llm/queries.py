@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .common import job_conf, read
 from .embedding_dedup import embedding_dedup
 from .langid import language
@@ -197,3 +198,22 @@ FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
 """)
 def _op13(spark, sf_dir):
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query("op11_automaton_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i+m-1], ' ') AS phrase, count(*) AS f FROM w, unnest([1, 2, 3]) AS o(m), unnest(range(1, len(ws) - m + 2)) AS r(i) GROUP BY 1, 2, 3),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 10),
+x AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+      FROM c, unnest(range(1, m)) AS o(k) JOIN g AS l ON l.lang = c.lang AND l.m = k AND l.phrase = array_to_string(ws[1:k], ' ')
+      JOIN g AS r ON r.lang = c.lang AND r.m = c.m - k AND r.phrase = array_to_string(ws[k+1:c.m], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[j:j+1], ' ') AS phrase, max(a) AS longer FROM c, unnest([1, 2]) AS o(j) WHERE m = 3 GROUP BY 1, 2),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase)
+      WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000
+""")
+def _op11(spark, sf_dir):
+    return collocations(read(spark, sf_dir, "documents"))
