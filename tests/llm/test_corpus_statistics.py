@@ -151,6 +151,11 @@ def test_manifest_by_brute_force(llm_spark, bits):
     assert {r[-1] for r in got} == {True, False}
 
 
+def test_long_ids_beside_nulls(llm_spark):
+    df = llm_spark.createDataFrame([(None, "a", "en", 1, "x"), (2 ** 62 + 1, "a", "en", 1, "y")], "doc_id long, source string, lang string, n_chars long, text string")
+    assert {r["doc_id"] for r in merkle.manifest(df.coalesce(1)).collect()} == {None, 2 ** 62 + 1}
+
+
 def test_manifest_of_few_rows(llm_spark):
     df = documents(llm_spark, 2)
     assert merkle.verified_manifest(no_rows(df)).count() == 0
@@ -207,7 +212,7 @@ def cases(spark, seed, clashes=False):
         ws = r.choice(pool).split()
         i = r.randrange(max(1, len(ws) - 30))
         items.append((k, "; ".join(ws[i:i + r.randint(3, 30)]).upper()))
-    docs.append((1000, "é É x. É"))
+    docs.append((2 ** 62 + 1, "é É x. É"))
     docs.append((1001, PROSE.upper().replace(" ", ", ") + " " + PROSE))
     return spark.createDataFrame(docs, "doc_id long, text string"), docs, spark.createDataFrame(items, "item_id long, text string"), items
 
@@ -231,7 +236,7 @@ def test_proximity_by_brute_force(llm_spark):
     index = positional_index.build_index(llm_spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
     found = positional_index.matches(index, llm_spark.createDataFrame(items, "item_id long, text string"), within=7)
     ids = positional_index.documents_of(index)
-    near = {r["doc_id"] for r in found.filter("kind = 'near'").join(ids, ["segment", "doc"]).collect()}
+    near = {int(r["doc_id"]) for r in found.filter("kind = 'near'").join(ids, ["segment", "doc"]).collect()}
     assert near == {1, 3}
     assert found.filter("kind = 'phrase'").count() == 0
     with pytest.raises(ValueError):

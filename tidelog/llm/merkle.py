@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,62 +89,82 @@ class OpenTree:
         return root, ["".join(w) for w in witnesses]
 
 
-def _blocks(frames: Iterable[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Rows (grp, block, pos, node, n) sorted by them -> one row a node with its block's root and its witness.
+def _blocks(frames: Iterable[pd.DataFrame], bits: int, carried: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows (grp, block, pos, n, node, carried) sorted by the first three -> the same with their block's root and their witness.
     A block is closed at its full height where the group has further blocks."""
-    key, tree, places = None, None, []
+    key, tree, held = None, None, []
 
     def closed() -> pd.DataFrame:
-        grp, block, n = key
-        root, witnesses = tree.close(bits if n > 1 << bits else None)
-        return pd.DataFrame({"grp": grp, "block": block, "pos": places, "n": n, "witness": witnesses, "root": root})
+        root, witnesses = tree.close(bits if key[2] > 1 << bits else None)
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        return rows[["grp", "block", "pos", "n", "node", *carried]].assign(witness=witnesses, root=root)
 
     for f in frames:
-        for grp, block, pos, node, n in zip(f["grp"], f["block"], f["pos"], f["node"], f["n"]):
+        for part in _runs(f):
+            grp, block, n = part["grp"].iat[0], part["block"].iat[0], part["n"].iat[0]
             if key != (grp, block, n):
                 if key is not None:
                     yield closed()
-                key, tree, places = (grp, block, n), OpenTree(), []
-            tree.append(node)
-            places.append(pos)
+                key, tree, held = (grp, block, n), OpenTree(), []
+            held.append(part)
+            for node in part["node"]:
+                tree.append(node)
     if key is not None:
         yield closed()
 
 
-def witnessed(nodes: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """``nodes(grp, pos, n, node)``, places from 0 of n -> ``(grp, pos, witness, root)`` with the group's root."""
-    largest = nodes.agg(F.max("n")).first()[0] or 0
-    levels = []
+def _runs(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Slices of neighbours with one group and block."""
+    grp, block = f["grp"].to_numpy(), f["block"].to_numpy()
+    cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (block[1:] != block[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(f)] if len(f) else []
+    for lo, hi in zip(edges, edges[1:]):
+        yield f.iloc[lo:hi]
+
+
+def climbed(nodes: DataFrame, largest: int, bits: int, carried: list[str]) -> list[DataFrame]:
+    """``nodes(grp, pos, n, node, carried)``, places from 0 of n, n up to ``largest`` -> the kept levels, each with its nodes'
+    witnesses up to the block's root; the blocks' roots are the next level's nodes, and in the last level every group has one block."""
+    levels, kinds = [], dict(nodes.dtypes)
     while True:
-        blocks = nodes.select("grp", F.shiftright("pos", bits).alias("block"), "pos", "node", "n")
-        blocks = blocks.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
-        levels.append(kept_table(blocks.mapInPandas(lambda frames: _blocks(frames, bits), "grp string, block long, pos long, n long, witness string, root string")))
+        blocks = nodes.select("grp", F.shiftright("pos", bits).alias("block"), "pos", "n", "node", *carried)
+        schema = "grp string, block long, pos long, n long, node string, " + "".join(f"{c} {kinds[c]}, " for c in carried) + "witness string, root string"
+        levels.append(kept_table(blocks.repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
+                                 .mapInPandas(lambda frames, carried=carried: _blocks(frames, bits, carried), schema)))
         if largest <= 1 << bits:
-            break
-        largest = -(-largest >> bits)
+            return levels
+        largest, carried = -(-largest >> bits), []
         nodes = levels[-1].filter(F.col("pos") == F.shiftleft("block", bits)).select(
             "grp", F.col("block").alias("pos"), F.ceil(F.col("n") / F.lit(float(1 << bits))).cast("long").alias("n"), F.col("root").alias("node"))
-    above = levels.pop().select("grp", "pos", "witness", "root")
-    for level in reversed(levels):
-        up = above.select("grp", F.col("pos").alias("block"), F.col("witness").alias("_up"), F.col("root").alias("_top"))
-        above = level.join(up, ["grp", "block"]).select("grp", "pos", F.concat("witness", "_up").alias("witness"), F.col("_top").alias("root"))
-    return above
 
 
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows(grp, ...)`` with ``pos``, their place from 0 in their group by ``order``, and ``n``, the group's rows.
+def extended(levels: list[DataFrame], top: DataFrame | None = None) -> DataFrame:
+    """The first level with whole witnesses and the root they lead to: each level's witnesses are extended by those of its blocks' roots.
+    ``top(grp, witness, root)`` extends those of the groups' roots (it meets up to one block's rows a group)."""
+    out = levels[-1].withColumn("subroot", F.col("root"))
+    if top is not None:
+        above = top.select("grp", F.col("witness").alias("_up"), F.col("root").alias("_top"))
+        out = out.join(above, "grp").withColumn("witness", F.concat("witness", "_up")).withColumn("root", F.col("_top")).drop("_up", "_top")
+    for level in reversed(levels[:-1]):
+        up = out.select("grp", F.col("pos").alias("block"), F.col("witness").alias("_up"), F.col("root").alias("_top"), "subroot")
+        out = level.join(up, ["grp", "block"]).withColumn("witness", F.concat("witness", "_up")).withColumn("root", F.col("_top")).drop("_up", "_top")
+    return out
+
+
+def placed(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``rows(grp, ...)`` with ``pos``, their place from 0 in their group by ``order``, and ``n``, the group's rows; and the largest n.
 
     Rows are dealt by ranges of (grp, order) and sorted within them; a place is the rank in the range
     plus the group's rows in the ranges before.  The ranges are kept, as they follow from a sample.
     """
     chunked = kept_table(rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order)
                          .withColumn("_at", F.monotonically_increasing_id()).withColumn("_chunk", F.spark_partition_id()))
-    chunks = kept_table(chunked.groupBy("grp", "_chunk").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
+    chunks = chunked.groupBy("grp", "_chunk").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     group = Window.partitionBy("grp")
-    chunks = chunks.select("grp", "_chunk", "_first", F.sum("_n").over(group).alias("n"), F.coalesce(
-        F.sum("_n").over(group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    chunks = kept_table(chunks.select("grp", "_chunk", "_first", F.sum("_n").over(group).alias("n"), F.coalesce(
+        F.sum("_n").over(group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")))
     return chunked.join(chunks, ["grp", "_chunk"]).withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first")) \
-        .drop("_at", "_chunk", "_first", "_before")
+        .drop("_at", "_chunk", "_first", "_before"), chunks.agg(F.max("n")).first()[0] or 0
 
 
 def folded(node: Column, witness: Column) -> Column:
@@ -171,16 +192,15 @@ def manifest(docs: DataFrame, *, block_bits: int = BLOCK_BITS) -> DataFrame:
     """
     grp = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
     changed = F.when(held_out("doc_id", 7, 0), leaf_digest(n_chars=F.col("n_chars") + 1)).otherwise(F.col("leaf"))
-    leaves = docs.select("doc_id", grp.alias("grp"), *[c for c in FIELDS[1:]], leaf_digest().alias("leaf")) \
-        .select("doc_id", "grp", "leaf", changed.alias("tampered"), F.monotonically_increasing_id().alias("_row"))
-    rows = kept_table(placed(kept_table(leaves), ["doc_id", "leaf", "_row"]).drop("_row"))
-    below = witnessed(rows.select("grp", "pos", "n", F.col("leaf").alias("node")), block_bits)
-    roots = below.filter("pos = 0").select(F.lit("").alias("grp"), F.col("grp").alias("member"), F.col("root").alias("node"))
-    groups = kept_table(placed(kept_table(roots), ["member"]))
-    above = witnessed(groups.select("grp", "pos", "n", "node"), block_bits)
-    top = groups.join(above, ["grp", "pos"]).select(F.col("member").alias("grp"), F.col("witness").alias("_above"), F.col("node").alias("subroot"), "root")
-    return rows.join(below.drop("root"), ["grp", "pos"]).join(top, "grp") \
-        .select("doc_id", "grp", "leaf", "tampered", "pos", F.concat("witness", "_above").alias("witness"), "subroot", "root")
+    leaves = docs.select(*FIELDS, grp.alias("grp"), leaf_digest().alias("leaf")) \
+        .select("doc_id", "grp", "leaf", changed.alias("tampered"), F.col("doc_id").cast("string").alias("id"), F.monotonically_increasing_id().alias("_row"))
+    rows, largest = placed(kept_table(leaves), ["doc_id", "leaf", "_row"])
+    levels = climbed(rows.withColumnRenamed("leaf", "node"), largest, block_bits, ["id", "tampered"])   # as text: pandas makes long numbers with nulls floats
+    roots = levels[-1].filter("pos = 0").select(F.lit("").alias("grp"), F.col("grp").alias("member"), F.col("root").alias("node"))
+    groups, many = placed(kept_table(roots), ["member"])
+    above = extended(climbed(groups, many, block_bits, ["member"]))
+    return extended(levels, above.select(F.col("member").alias("grp"), "witness", "root")) \
+        .select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "grp", F.col("node").alias("leaf"), "tampered", "pos", "witness", "subroot", "root")
 
 
 def verified_manifest(docs: DataFrame, **options) -> DataFrame:

@@ -55,7 +55,7 @@ _ORDINARY = bytes(c for c in range(128) if chr(c).isalnum())
 #: A-Z in lower case, every other ASCII character that is no word character a blank.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 128 or c in _ORDINARY else 0x20 for c in range(256))
 
-INDEX = "segment long, doc_ids array<{id}>, starts binary, n_words array<int>, words binary, list_sizes binary, places binary"
+INDEX = "segment long, doc_ids array<string>, starts binary, n_words array<int>, words binary, list_sizes binary, places binary"
 FOUND = "segment long, doc int, item string, kind string, start int, end int"
 
 
@@ -92,15 +92,14 @@ def segment(number: int, ids: list, texts: Iterable[str | None]) -> dict:
 def _segments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first = TaskContext.get().partitionId() << 32
     for k, f in enumerate(frames):
-        ids = [None if pd.isna(x) else x for x in f["doc_id"]]
-        yield pd.DataFrame([segment(first + k, ids, f["text"])])
+        yield pd.DataFrame([segment(first + k, f["doc_id"].tolist(), f["text"])])
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index; the folder belongs to the session's checkpoint folder."""
-    got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """The stored index, ids as text; the folder belongs to the session's checkpoint folder."""
+    got = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     folder = os.path.join(ensure_checkpoint_dir(docs.sparkSession), f"positions-{uuid.uuid4().hex}")
-    got.mapInPandas(_segments, INDEX.format(id=dict(got.dtypes)["doc_id"])).write.parquet(folder)
+    got.mapInPandas(_segments, INDEX).write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -255,5 +254,5 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         F.sum("new").cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return documents_of(index).join(hits, ["segment", "doc"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
