@@ -13,6 +13,7 @@ from tests.llm.cases import PROSE, documents, no_rows
 
 from tidelog.llm import collocations, merkle, positional_index
 from tidelog.llm.collocations import CountAutomaton
+from tidelog.llm.common import kept_table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -233,7 +234,7 @@ def test_proximity_by_brute_force(llm_spark):
     docs = [(1, "alpha one two beta three gamma four delta"), (2, "alpha " + "x " * 25 + "beta gamma delta"), (3, "delta gamma beta alpha alpha"),
             (4, "beta gamma delta"), (5, "alpha" + " y" * 20 + " beta gamma delta")]
     items = [(7, "alpha beta, gamma delta alpha")]
-    index = positional_index.build_index(llm_spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    index = kept_table(positional_index.build_index(llm_spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)))
     found = positional_index.matches(index, llm_spark.createDataFrame(items, "item_id long, text string"), within=7)
     ids = positional_index.documents_of(index)
     near = {int(r["doc_id"]) for r in found.filter("kind = 'near'").join(ids, ["segment", "doc"]).collect()}
@@ -250,9 +251,3 @@ def test_contamination_awkward(llm_spark):
     assert sorted(map(tuple, got.collect()), key=str) == hits([(r["doc_id"], r["text"]) for r in clashing.collect()], plain)
     assert positional_index.contamination(no_rows(df), items).count() == 0
     assert positional_index.contamination(df, no_rows(items)).filter("contaminated OR n_hit > 0 OR n_items > 0").count() == 0
-
-
-def test_numbers_of_any_order_survive_packing():
-    x = np.array([5, 900, 3, 2 ** 32 - 1, 0], dtype=np.uint32)
-    assert positional_index.unpacked(positional_index.packed(x)).tolist() == x.tolist()
-    assert positional_index.unpacked(positional_index.packed(x[:0])).tolist() == []

@@ -1,8 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` stores the index of the training documents as Parquet in the shared folder.
-One row is a segment, made of one Arrow batch of documents: its distinct words, and for each
-word the list of its places (delta-coded), where the words of the segment's documents are numbered
+``build_index`` makes the index of the training documents, a table to be stored (``contamination`` keeps it in the
+checkpoint folder).  One row is a segment, some documents of at most ``SEGMENT_WORDS`` words (or one longer one): its distinct words, and for each
+word the list of its places, where the words of the segment's documents are numbered
 in a row with a gap between documents.  Building is narrow: nothing is shuffled.
 
 ``matches`` searches for test items.  Their texts go to the tasks in passes of at most
@@ -20,17 +20,14 @@ Words are runs of digits, letters and all characters beyond ASCII, with A-Z in l
 case.  Defined results: a null or empty text has no words; a null id is kept; rows
 that repeat an id are documents of their own; items that share an id are one
 item, a null item id counts as an empty one; an item without words matches nothing; empty
-tables give no matches; other columns are not read.  A text of any length is indexed whole (a batch
-holds one text at least).
+tables give no matches; other columns are not read.  A text of any length is indexed whole.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -39,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
 from .common import kept_table
 
 SIZE = 10
+#: Words of a segment, which bounds its row to less than a megabyte.
+SEGMENT_WORDS = 1 << 16
 #: Unused places between two documents; proximity reaches less far.
 GAP = 64
 WITHIN = 20
@@ -64,43 +62,43 @@ def words(text: str | None) -> list[bytes]:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Differences of uint32 numbers, all low bytes first, which compresses well."""
-    return np.diff(numbers, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return numbers.astype("<u4").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+    return np.frombuffer(data, "<u4").astype(np.int64)
 
 
-def segment(number: int, ids: list, texts: Iterable[str | None]) -> dict:
-    """The index row of some documents."""
+def segment(number: int, ids: list, texts: list[list[bytes]]) -> dict:
+    """The index row of some documents, given as words."""
     known: dict[bytes, int] = defaultdict(count().__next__)
-    lists = []
-    for t in texts:
-        ws = words(t)
-        lists.append(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)))
-    n_words = np.array([len(x) for x in lists], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(n_words + GAP)[:-1]]) if len(lists) else np.empty(0, np.int64)
-    of = np.concatenate([np.empty(0, np.int32), *lists])
-    at = np.arange(len(of), dtype=np.int64) + np.repeat(np.arange(len(lists)) * GAP, n_words)
-    order = np.argsort(of, kind="stable")
-    return {"segment": number, "doc_ids": ids, "starts": packed(starts.astype(np.uint32)), "n_words": n_words.astype(np.int32).tolist(),
-            "words": b" ".join(known), "list_sizes": packed(np.bincount(of, minlength=len(known)).astype(np.uint32)),
-            "places": packed(at[order].astype(np.uint32))}
+    n_words = np.array([len(ws) for ws in texts], dtype=np.int64)
+    of = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int32, int(n_words.sum()))
+    starts = np.cumsum(n_words + GAP) - n_words - GAP
+    at = np.arange(len(of)) + np.repeat(np.arange(len(texts)) * GAP, n_words)
+    return {"segment": number, "doc_ids": ids, "starts": packed(starts), "n_words": n_words.tolist(), "words": b" ".join(known),
+            "list_sizes": packed(np.bincount(of, minlength=len(known))), "places": packed(at[np.argsort(of, kind="stable")])}
 
 
 def _segments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    first = TaskContext.get().partitionId() << 32
-    for k, f in enumerate(frames):
-        yield pd.DataFrame([segment(first + k, f["doc_id"].tolist(), f["text"])])
+    number = TaskContext.get().partitionId() << 32
+    ids, texts, held = [], [], 0
+    for f in frames:
+        for doc_id, text in zip(f["doc_id"], f["text"]):
+            ws = words(text)
+            if texts and held + len(ws) > SEGMENT_WORDS:
+                yield pd.DataFrame([segment(number, ids, texts)])
+                number, ids, texts, held = number + 1, [], [], 0
+            ids.append(doc_id)
+            texts.append(ws)
+            held += len(ws) + GAP
+    if texts:
+        yield pd.DataFrame([segment(number, ids, texts)])
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index, ids as text; the folder belongs to the session's checkpoint folder."""
-    got = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    folder = os.path.join(ensure_checkpoint_dir(docs.sparkSession), f"positions-{uuid.uuid4().hex}")
-    got.mapInPandas(_segments, INDEX).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    """The index, ids as text."""
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_segments, INDEX)
 
 
 def documents_of(index: DataFrame) -> DataFrame:
@@ -131,10 +129,10 @@ class Segment:
 
     def __init__(self, row, items: Items):
         known = row.words.split(b" ") if row.words else []
-        sizes = unpacked(row.list_sizes).astype(np.int64)
+        sizes = unpacked(row.list_sizes)
         as_item_word = np.array([items.vocabulary.get(w, -1) for w in known], dtype=np.int32)
-        places = unpacked(row.places).astype(np.int64)
-        self.starts = unpacked(row.starts).astype(np.int64)
+        places = unpacked(row.places)
+        self.starts = unpacked(row.starts)
         self.end = int(places.max(initial=-1)) + 1
         self.word_at = np.full(self.end + GAP, -1, dtype=np.int32)
         self.word_at[places] = np.repeat(as_item_word, sizes)
@@ -246,7 +244,7 @@ def matches(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", te
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Per document: its words, how many of them lie in an exact window of an item, and the items found."""
-    index = build_index(docs)
+    index = kept_table(build_index(docs))
     found = kept_table(matches(index, items, within=None, **options))
     before = Window.partitionBy("segment", "doc").orderBy("start", "end", "item").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
