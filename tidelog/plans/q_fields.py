@@ -145,3 +145,46 @@ def source_patterns(spark, sf_dir):
     df = with_field_time(extract_by_source(lines, SOURCE_SETS, source_col="event_type"), F.col("parse_time"))
     return df.select("event_id", "event_type", F.coalesce(_f("num"), F.element_at("fields", F.lit("1"))).alias("num"), _f("digit"),
                      F.unix_seconds("event_time").alias("secs"), _n_fields())
+
+
+LONG_PATTERNS = [("value", r'^"(?P<s>(?:[^"\\]|\\.)*)" (?P<rest>\w+ \d+ \w+)$'), ("head:s", r"^(?P<head>(?:[^A-Z\\]|\\.)*)")]
+LONG_CHARS = 80_000
+
+
+@query("long_values", "O10 O11 O13 (loops over alternations on values of 80,000 characters and more)", oracle=r"""
+WITH v AS (SELECT page_id, repeat(replace(replace(html, '\', '\\'), '"', '\"'), CAST(80000 // greatest(length(html), 1) + 1 AS BIGINT)) AS s FROM pages),
+m AS (SELECT page_id, '"' || s || '" page ' || page_id || ' end' AS line FROM v),
+x AS (SELECT page_id, regexp_extract(line, '(?s)^"((?:[^"\\]|\\.)*)" (\w+ \d+ \w+)$', ['s', 'rest']) AS f FROM m)
+SELECT page_id, length(f.s) AS n_chars, md5(f.s) AS s_md5, f.rest AS rest, CAST(length(regexp_extract(f.s, '(?s)^((?:[^A-Z\\]|\\.)*)', 1)) AS BIGINT) AS head_chars FROM x
+""")
+def long_values(spark, sf_dir):
+    """Each page as an escaped, quoted value of a line, repeated to ``LONG_CHARS`` at least."""
+    escaped = F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    times = (F.lit(LONG_CHARS) / F.greatest(F.length("html"), F.lit(1))).cast("int") + 1
+    line = F.concat(F.lit('"'), F.repeat(escaped, times), F.lit('" page '), F.col("page_id").cast("string"), F.lit(" end"))
+    df = extract_fields(table(spark, sf_dir, "pages").select("page_id", line.alias("event_text")), LONG_PATTERNS)
+    df = df.select("page_id", _f("s"), _f("rest"), _f("head"))
+    return df.select("page_id", F.length("s").cast("bigint").alias("n_chars"), F.md5(F.col("s").cast("binary")).alias("s_md5"), "rest",
+                     F.length("head").cast("bigint").alias("head_chars"))
+
+
+CLASS_PATTERNS = [("a", r"^\W*(?P<word>\w+)(?P<gap>\W+)(?P<next>\w+)"), ("b", r"\s(?P<run>\S+)$"), ("c", r"(?i)\b(?P<the>K\w*)\b")]
+_W, _S = r"\p{L}\p{N}_", r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query("unicode_classes", "O10 O11 O15 (Python's word and space characters)", oracle=rf"""
+WITH l AS (SELECT doc_id, translate(replace(replace(text, 'a', 'a' || chr(769)), ' t', chr(28) || 't'), 'n', chr(8255)) || chr(133) || 'end' || chr(8205) || chr(178) AS line FROM documents),
+a AS (SELECT doc_id, line, regexp_extract(line, '^[^{_W}]*([{_W}]+)([^{_W}]+)([{_W}]+)', ['word', 'gap', 'next']) AS f,
+             regexp_matches(line, '^[^{_W}]*([{_W}]+)([^{_W}]+)([{_W}]+)') AS m1 FROM l),
+b AS (SELECT *, m1 AND regexp_matches(line, '[{_S}]([^{_S}]+)$') AS m2, regexp_extract(line, '[{_S}]([^{_S}]+)$', 1) AS r FROM a),
+c AS (SELECT *, m2 AND regexp_matches(line, '(?:^|[^{_W}])([Kk\x{{212A}}][{_W}]*)') AS m3,
+             regexp_extract(line, '(?:^|[^{_W}])([Kk\x{{212A}}][{_W}]*)', 1) AS k FROM b)
+SELECT doc_id, CASE WHEN m1 THEN f.word END AS word, CASE WHEN m1 THEN f.gap END AS gap, CASE WHEN m1 THEN f.next END AS next,
+       CASE WHEN m2 THEN r END AS run, CASE WHEN m3 THEN k END AS the FROM c
+""")
+def unicode_classes(spark, sf_dir):
+    """Document texts with combining accents, file separators, undertie marks, a next-line mark and a superscript."""
+    line = F.translate(F.replace(F.replace("text", F.lit("a"), F.lit("a\u0301")), F.lit(" t"), F.lit("\x1ct")), "n", "\u203f")
+    line = F.concat(line, F.lit("\x85end\u200d\u00b2"))
+    df = extract_fields(table(spark, sf_dir, "documents").select("doc_id", line.alias("event_text")), CLASS_PATTERNS)
+    return df.select("doc_id", _f("word"), _f("gap"), _f("next"), _f("run"), _f("the"))
