@@ -26,21 +26,23 @@ EPOCH_RX = r"(?U)^\s*(\d{7,10})(\d*)"
 # Fixed value: zones whose abbreviations are loaded by default.
 DEFAULT_ZONE_RX = "^(GMT|UTC)|^(US|Europe|Asia)/"
 
-# Default date formats tried in order when a time field is not an epoch.
+# Default date formats; of the parts in brackets a text has one or none.  Each format has shapes (see ``shapes_of``); a text
+# is parsed by the one format that has its shape, the first where several do.  A format without a year takes it from ``year``.
+_TIMES = "[ h:mm:ss a][ h:mm a][ H:mm:ss][ H:mm]"
 DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
-    "MMM d, yyyy HH:mm:ss",
-    "MMM d yyyy HH:mm:ss",
-    "MM/dd/yyyy hh:mm a",
-    "d MMM yyyy HH:mm:ss",
-    "d/MMM/yyyy:HH:mm:ss",
-    "MMM d HH:mm:ss yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd",
+    f"yyyy-M-d{_TIMES}['T'H:mm:ss]['T'H:mm]",
+    f"yyyy/M/d{_TIMES}",
+    f"M/d/yyyy{_TIMES}",
+    f"M/d/yy{_TIMES}",
+    f"MMM d, yyyy{_TIMES}",
+    f"MMM d yyyy{_TIMES}",
+    f"d MMM yyyy{_TIMES}",
+    f"d-MMM-yyyy{_TIMES}",
+    f"d/MMM/yyyy{_TIMES}[:H:mm:ss]",
+    "MMM d H:mm:ss yyyy",
+    "MMM d[ H:mm:ss][ H:mm]",
+    "d MMM[ H:mm:ss][ H:mm]",
+    "yyyyMMdd['T'HHmmss]['T'HHmm][HHmmss]",
 )
 
 
@@ -82,88 +84,166 @@ def ts_epoch_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+#: A zone's rule for an abbreviation: from this year on it is read in this zone, where it means this offset in seconds.
+ZoneRule = tuple[int, str, int | None]
+
+
 @lru_cache(maxsize=8)
-def zone_abbreviations(load_re: str = DEFAULT_ZONE_RX, years: tuple[int, ...] = tuple(range(1970, 2038))) -> dict[str, str]:
-    """Abbreviation -> UTC offset (``'+HH:MM'``) for the zones whose name matches
-    ``load_re``.  Built from the system zone database by a rule: the offsets in
-    mid-January and mid-July of all years of the epoch; the latest year wins an
-    ambiguous abbreviation, and in it the later zone (name order)."""
+def zone_abbreviations(load_re: str = DEFAULT_ZONE_RX, years: tuple[int, ...] = tuple(range(1970, 2038))) -> dict[str, list[ZoneRule]]:
+    """Abbreviation -> the zones it stands for, by year, among those whose name matches ``load_re``.
+
+    Built from the system zone database by a rule: in each year an abbreviation stands for the last zone (in name
+    order) that uses it in that year and has a name, not just a number, for each of its offsets then; a year in which no zone
+    does keeps the zone of the year before.  The zone's own rules then tell the offset of a date.
+    """
     rx = re.compile(load_re.strip())
-    table: dict[str, str] = {}
-    zones = [zoneinfo.ZoneInfo(name) for name in sorted(zoneinfo.available_timezones()) if rx.search(name)]
-    for y in years:
-        for z in zones:
-            for m in (1, 7):
-                d = datetime(y, m, 15, 12, tzinfo=timezone.utc).astimezone(z)
-                abbr = d.tzname()
-                if not abbr or not abbr.isalpha():
-                    continue
-                off = int(d.utcoffset().total_seconds() // 60)
-                sign = "+" if off >= 0 else "-"
-                table[abbr] = "%s%02d:%02d" % (sign, abs(off) // 60, abs(off) % 60)
+    used: dict[tuple[str, int], tuple[bool, str, int]] = {}
+    for name in sorted(zoneinfo.available_timezones()):
+        if not rx.search(name):
+            continue
+        zone = zoneinfo.ZoneInfo(name)
+        for y in years:
+            here = {}
+            for month in range(1, 13):
+                d = datetime(y, month, 15, 12, tzinfo=timezone.utc).astimezone(zone)
+                here[d.tzname()] = int(d.utcoffset().total_seconds())
+            named = all(a.isalpha() for a in here)
+            for abbr, offset in here.items():
+                if abbr.isalpha() and (named, name) >= used.get((abbr, y), (False, ""))[:2]:
+                    used[abbr, y] = (named, name, offset)
+    table: dict[str, list[ZoneRule]] = {}
+    for (abbr, y), (_, name, offset) in sorted(used.items()):
+        rules = table.setdefault(abbr, [])
+        if not rules or rules[-1][1:] != (name, offset):
+            rules.append((y if rules else 0, name, offset))
     return table
 
 
-NUMERIC_OFFSET = r"(:\d{2}) ?(Z|[+-]\d{2}:?\d{2})(?: \([A-Za-z]+\))?$"
-NAMED_ZONE = r" ([A-Za-z]{2,6})$"
+NUMERIC_OFFSET = r"(:\d{2}|\dT\d{4}|\dT\d{6}) ?(Z|[+-]\d{2}(?::?\d{2})?)(?: \([A-Za-z]+\))?$"
+NAMED_ZONE = r"(:\d{2}(?: [AaPp][Mm])?) (?![AaPp][Mm]\b)([A-Za-z]{2,6})( \d{4})?$"
 
 
 def _clean_date(c: Column) -> Column:
-    """Date text with single blanks, without a day name in front or fractions of a second."""
+    """Date text with single blanks, without a day name in front or fractions of a second, month names in three
+    letters and a blank before am or pm."""
     body = F.trim(F.regexp_replace(c, r"\s+", " "))
     body = F.regexp_replace(body, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
-    return F.regexp_replace(body, r"(:\d{2})[.,]\d+", "$1")
+    body = F.regexp_replace(body, r"(:\d{2})[.,]\d+", "$1")
+    body = F.regexp_replace(body, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1")
+    return F.regexp_replace(body, r"(?i)(:\d{2}) ?([ap])\.?m\b\.?", "$1 $2m")
 
 
 def _given_offset(body: Column) -> Column:
     given = F.regexp_extract(body, NUMERIC_OFFSET, 2)
-    return F.when(given == "Z", "+00:00").when(given != "", F.concat(F.substring(given, 1, 3), F.lit(":"), F.right(given, F.lit(2))))
+    return F.when(given == "Z", "+00:00").when(F.length(given) == 3, F.concat(given, F.lit(":00"))) \
+        .when(given != "", F.concat(F.substring(given, 1, 3), F.lit(":"), F.right(given, F.lit(2))))
 
 
-def _zone_offset(body: Column, zones: dict[str, str]) -> Column:
-    if not zones:
-        return F.lit(None).cast("string")
-    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(zones.items()) for x in kv]), F.regexp_extract(body, NAMED_ZONE, 1))
+def _zone_rules(body: Column, zones: dict) -> Column:
+    """The rules of the abbreviation in the text, NULL without a known one; a plain offset (``'+01:00'``) is a rule for all years."""
+    table = {a: [(0, r, None)] if isinstance(r, str) else r for a, r in sorted(zones.items())}
+    if not table:
+        return F.lit(None).cast("array<struct<from:int,zone:string,own:int>>")
+    known = ", ".join("'%s', array(%s)" % (a, ", ".join(
+        f"named_struct('from', {y}, 'zone', '{z}', 'own', cast({'null' if own is None else own} as int))" for y, z, own in rules)) for a, rules in table.items())
+    abbr = F.regexp_extract(body, NAMED_ZONE, 2)
+    return F.when(abbr != "", F.try_element_at(F.expr(f"map({known})"), abbr))
 
 
-def _without_zone(body: Column, given: Column, named: Column) -> Column:
+def _without_zone(body: Column, given: Column, rules: Column) -> Column:
     return F.when(given.isNotNull(), F.regexp_replace(body, NUMERIC_OFFSET, "$1")) \
-        .when(named.isNotNull(), F.regexp_replace(body, NAMED_ZONE, "")).otherwise(body)
-
-
-def _instant(wall: Column, offset: Column, local_zone: str, legacy_wall_clock: bool) -> Column:
-    zone = F.lit(local_zone) if legacy_wall_clock else F.coalesce(offset, F.lit(local_zone))
-    return F.date_trunc("second", F.to_utc_timestamp(wall, zone))
-
-
-def _first_fit(body: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(body, F.lit(f)) for f in formats])
+        .when(rules.isNotNull(), F.regexp_replace(body, NAMED_ZONE, "$1$3")).otherwise(body)
+
+
+def _rule_of(rules: Column, wall: Column) -> Column:
+    return F.element_at(F.filter(rules, lambda r: r["from"] <= F.year(wall)), -1)
+
+
+def _instant(wall: Column, given: Column, rule: Column, local_zone: str, legacy_wall_clock: bool) -> Column:
+    """The instant of a wall time.  A named zone's rules count for its date; where the abbreviation's own offset is in force
+    then (in the hour that the clocks repeat both are), it decides."""
+    if legacy_wall_clock:
+        return F.date_trunc("second", F.to_utc_timestamp(wall, F.lit(local_zone)))
+    plain = F.to_utc_timestamp(wall, F.coalesce(given, rule["zone"], F.lit(local_zone)))
+    own = F.timestamp_micros(F.unix_micros(wall) - rule["own"].cast("bigint") * F.lit(1_000_000))
+    fits = rule["own"].isNotNull() & given.isNull() & (F.from_utc_timestamp(own, rule["zone"]) == wall)
+    return F.date_trunc("second", F.when(fits, own).otherwise(plain))
+
+
+def date_shape(body: Column) -> Column:
+    """The shape of a text: runs of letters as ``A``, one or two digits as ``n``, other digits as ``0`` each."""
+    shape = F.regexp_replace(F.regexp_replace(body, "[A-Za-z]+", "A"), "[0-9]", "0")
+    return F.regexp_replace(shape, "(?<!0)00?(?!0)", "n")
+
+
+def shapes_of(fmt: str) -> list[str]:
+    """The shapes of the texts that a format reads."""
+    parts = re.findall(r"\[([^\]]*)\]", fmt)
+    whole = re.sub(r"(\[[^\]]*\])+", "\0", fmt)
+    out = []
+    for f in [whole.replace("\0", p) for p in ["", *parts]]:
+        f = re.sub(r"'([A-Za-z]+)'|MMM|a", "A", f)
+        f = re.sub(r"yyyyMMdd|HHmmss|HHmm", lambda m: "0" * len(m.group()), f)
+        out.append(re.sub(r"yy|M|d|H|h|mm|ss", "n", f.replace("yyyy", "0000")))
+    return out
+
+
+def format_number(body: Column, formats) -> Column:
+    """Place of the first format that has the text's shape, NULL if none has."""
+    first: dict[str, int] = {}
+    for k, f in enumerate(formats):
+        for shape in shapes_of(f):
+            first.setdefault(shape, k)
+    if not first:
+        return F.lit(None).cast("int")
+    return F.try_element_at(F.expr(f"map({', '.join(f"'{shape}', {k}" for shape, k in first.items())})"), date_shape(body))
+
+
+def _parsed(body: Column, number: Column, formats, year: Column | int | None) -> Column:
+    """The text parsed by its format; two digits of a year are taken within fifty years of ``year``."""
+    this_year = F.year(F.current_timestamp()) if year is None else F.lit(year) if isinstance(year, int) else year
+    out = F.lit(None).cast("timestamp")
+    for k, f in reversed(list(enumerate(formats))):
+        text, f = (body, f) if "y" in f else (F.concat(this_year.cast("string"), F.lit(" "), body), f"yyyy {f}")
+        got = F.try_to_timestamp(text, F.lit(f))
+        if "yyyy" not in f:
+            got = F.when(F.year(got) < this_year + 50, got).otherwise(got - F.expr("INTERVAL 100 YEARS"))
+        out = F.when(number == k, got).otherwise(out)
+    return out
+
+
+def _staged_body(df, text: Column, formats, zones: dict | None):
+    """``df`` with the cleaned text without its zone, the offset and rules of the zone, and the number of the text's format; and their names."""
+    b, g, n, s = (f"__tl_d{x}" for x in "bgns")
+    d = df.withColumn(b, _clean_date(text))
+    d = d.withColumn(g, _given_offset(F.col(b))).withColumn(n, _zone_rules(F.col(b), zone_abbreviations() if zones is None else zones))
+    d = d.withColumn(b, _without_zone(F.col(b), F.col(g), F.col(n)))
+    return d.withColumn(s, format_number(F.col(b), formats)), b, g, n, s
 
 
-def parse_date(c: Column, formats=DEFAULT_DATE_FORMATS, zones: dict[str, str] | None = None,
-               local_zone: str = "UTC", legacy_wall_clock: bool = False) -> Column:
-    """Free-form date text -> TIMESTAMP (whole seconds), NULL if no format fits.
+def with_parsed_date(df, text: Column, out_col: str, formats=DEFAULT_DATE_FORMATS, zones: dict | None = None,
+                     local_zone: str = "UTC", legacy_wall_clock: bool = False, year: Column | int | None = None):
+    """Free-form date text -> TIMESTAMP (whole seconds), NULL if no format has its shape and fits.
 
-    A day name in front and fractions of a second are dropped.  A numeric
-    offset or ``Z`` at the end of a time counts; a zone abbreviation there is
-    looked up in ``zones``; text without a zone is read in ``local_zone``.
+    A day name in front and fractions of a second are dropped.  A numeric offset or ``Z`` at the end of a time counts; a
+    zone abbreviation there (or before the year at the end) is looked up in ``zones``; text without a zone is read in ``local_zone``.
+    ``year`` is for texts without one (this year if None).  Each step is a projection of its own, so that it is computed
+    once a row and the generated code stays small.
     """
-    body = _clean_date(c)
-    given, named = _given_offset(body), _zone_offset(body, zone_abbreviations() if zones is None else zones)
-    return _instant(_first_fit(_without_zone(body, given, named), formats), F.coalesce(given, named), local_zone, legacy_wall_clock)
-
-
-def with_parsed_date(df, text: Column, out_col: str, formats=DEFAULT_DATE_FORMATS, zones: dict[str, str] | None = None,
-                     local_zone: str = "UTC", legacy_wall_clock: bool = False):
-    """``parse_date`` as staged projections: each step is computed once per row
-    and the generated code stays small."""
-    zones = zone_abbreviations() if zones is None else zones
-    b, g, n = (f"__tl_d{x}" for x in "bgn")
-    d = df.withColumn(b, _clean_date(text))
-    d = d.withColumn(g, _given_offset(F.col(b))).withColumn(n, _zone_offset(F.col(b), zones))
-    d = d.withColumn(b, _without_zone(F.col(b), F.col(g), F.col(n)))
-    d = d.withColumn(out_col, _first_fit(F.col(b), formats))
-    return d.withColumn(out_col, _instant(F.col(out_col), F.coalesce(F.col(g), F.col(n)), local_zone, legacy_wall_clock)).drop(b, g, n)
+    d, b, g, n, s = _staged_body(df, text, formats, zones)
+    d = d.withColumn(out_col, _parsed(F.col(b), F.col(s), formats, year))
+    d = d.withColumn(n, _rule_of(F.col(n), F.col(out_col)))
+    return d.withColumn(out_col, _instant(F.col(out_col), F.col(g), F.col(n), local_zone, legacy_wall_clock)).drop(b, g, n, s)
+
+
+def unmatched_shapes(df, text: Column, formats=DEFAULT_DATE_FORMATS, zones: dict | None = None, year: Column | int | None = None):
+    """``(shape, n, example)`` of the texts that no format reads, to see which formats are missing: one row a shape,
+    the smallest text as its example."""
+    t, p, q = "__tl_t", "__tl_p", "__tl_q"
+    d, b, _, _, s = _staged_body(df.select(text.alias(t)), F.col(t), formats, zones)
+    d = d.withColumn(p, _parsed(F.col(b), F.col(s), formats, year)).withColumn(q, date_shape(F.col(b)))
+    unread = F.col(t).isNotNull() & F.col(p).isNull()   # counted, not filtered: a filter would be pushed down with all expressions in it
+    return d.groupBy(F.col(q).alias("shape")).agg(F.count_if(unread).alias("n"), F.min(F.when(unread, F.col(t))).alias("example")).where("n > 0")
 
 
 def with_field_time(df, parse_time: str | Column | None, fields_col: str = "fields", **date_opts):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonv
 from ..functions.text import py_strip, split_lines, PY_SPACE_CLASS
-from ..functions.timefmt import detect_epoch, epoch_seconds, with_field_time
+from ..functions.timefmt import detect_epoch, epoch_seconds, unmatched_shapes, with_field_time, with_parsed_date
 from ..operators.envelope import carry_time, now_column, resolve_time
 from ..operators.extract import extract_fields
 from ..operators.filters import classify, is_blank, too_old
@@ -65,34 +65,66 @@ def epoch_detect(spark, sf_dir):
     return df.select("event_id", "rendered", wire.alias("time_wire"), epoch_seconds(wire).alias("epoch_sec"))
 
 
-# Twelve forms of one instant (Python strftime of DuckDB; offset in hours east), dealt over the orders.
+# Forms of one instant (Python strftime of DuckDB, offset in hours east, the Spark pattern), dealt over the orders.
 DATE_FORMS = [
-    ("%Y-%m-%dT%H:%M:%SZ", 0), ("%Y-%m-%dT%H:%M:%S+02:00", 2), ("%Y-%m-%dT%H:%M:%S.250Z", 0), ("%d/%b/%Y:%H:%M:%S -0330", -3.5),
-    ("%b %d %H:%M:%S %Y", 0), ("%a %b %d %H:%M:%S %Y", 0), ("%a, %d %b %Y %H:%M:%S +0000", 0), ("%Y-%m-%d %H:%M", 0),
-    ("%m/%d/%Y %H:%M:%S", 0), ("%b %d, %Y %H:%M:%S EST", -5), ("%d %b %Y %H:%M:%S CET", 1), ("%Y-%m-%d %H:%M:%S,123", 0),
+    ("%Y-%m-%dT%H:%M:%SZ", 0, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ("%Y-%m-%dT%H:%M:%S+02:00", 2, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
+    ("%Y-%m-%dT%H:%M:%S.250Z", 0, "yyyy-MM-dd'T'HH:mm:ss'.250Z'"), ("%d/%b/%Y:%H:%M:%S -0330", -3.5, "dd/MMM/yyyy:HH:mm:ss' -0330'"),
+    ("%b %d %H:%M:%S %Y", 0, "MMM dd HH:mm:ss yyyy"), ("%a %b %d %H:%M:%S %Y", 0, "E MMM dd HH:mm:ss yyyy"),
+    ("%a, %d %b %Y %H:%M:%S +0000", 0, "E, dd MMM yyyy HH:mm:ss' +0000'"), ("%Y-%m-%d %H:%M", 0, "yyyy-MM-dd HH:mm"),
+    ("%m/%d/%Y %H:%M:%S", 0, "MM/dd/yyyy HH:mm:ss"), ("%Y-%m-%d %H:%M:%S,123", 0, "yyyy-MM-dd HH:mm:ss',123'"),
+    ("%d %b %Y %I:%M %p", 0, "dd MMM yyyy hh:mm a"), ("%b %d %Y", 0, "MMM dd yyyy"), ("%a %b %d %H:%M:%S UTC %Y", 0, "E MMM dd HH:mm:ss' UTC 'yyyy"),
+    ("%d %B %Y %H:%M:%S", 0, "dd MMMM yyyy HH:mm:ss"), ("%Y%m%dT%H%M%SZ", 0, "yyyyMMdd'T'HHmmss'Z'"), ("%m/%d/%y %H:%M:%S", 0, "MM/dd/yy HH:mm:ss"),
+    ("%B %d, %Y %I:%M:%S %p", 0, "MMMM dd, yyyy hh:mm:ss a"), ("%b %d, %Y %H:%M:%S GMT", 0, "MMM dd, yyyy HH:mm:ss' GMT'"),
 ]
-_FORM_SQL = " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, (f, _) in enumerate(DATE_FORMS))
-_OFFSET_SQL = " ".join(f"WHEN {i} THEN {int(h * 3600)}" for i, (_, h) in enumerate(DATE_FORMS))
-# The same forms as Spark patterns.
-_SPARK_FORMS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd'T'HH:mm:ss'.250Z'", "dd/MMM/yyyy:HH:mm:ss' -0330'",
-                "MMM dd HH:mm:ss yyyy", "E MMM dd HH:mm:ss yyyy", "E, dd MMM yyyy HH:mm:ss' +0000'", "yyyy-MM-dd HH:mm",
-                "MM/dd/yyyy HH:mm:ss", "MMM dd, yyyy HH:mm:ss' EST'", "dd MMM yyyy HH:mm:ss' CET'", "yyyy-MM-dd HH:mm:ss',123'"]
+# Texts of zones whose offset depends on the date: day, abbreviation, hours east then; the time is a number of seconds.
+ZONED_DAYS = [("2012-07-01", "MSK", 4), ("2020-07-01", "MSK", 3), ("2020-07-01", "BST", 1), ("2020-01-15", "BST", 0), ("2020-07-01", "CET", 2),
+              ("2020-01-15", "CET", 1), ("2016-07-01", "EST", -4), ("2016-01-15", "EST", -5)]
+# A text without a year, read in this one; texts without a format; how many forms there are.
+NO_YEAR, ODD = 1999, ["no date", "on 3 May or 4", "31.12.98"]
+_FORM_COUNT = len(DATE_FORMS) + len(ZONED_DAYS) + 1 + len(ODD)
+_K = f"o_orderkey % {_FORM_COUNT}"
+_Z0, _Y0 = len(DATE_FORMS), len(DATE_FORMS) + len(ZONED_DAYS)
+_TEXT_SQL = " ".join(
+    [f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, (f, _, _) in enumerate(DATE_FORMS)]
+    + [f"WHEN {_Z0 + i} THEN strftime(TIMESTAMP '{d}' + to_seconds(o_orderkey % 86400), '%Y-%m-%d %H:%M:%S') || ' {z}'" for i, (d, z, _) in enumerate(ZONED_DAYS)]
+    + [f"WHEN {_Y0} THEN strftime(o_orderdate, '%b %d %H:%M:%S')"] + [f"WHEN {_Y0 + 1 + i} THEN '{t}'" for i, t in enumerate(ODD)])
+_EPOCH_SQL = " ".join(
+    [f"WHEN {i} THEN CAST(epoch(o_orderdate) AS BIGINT) - {int(h * 3600)}" for i, (_, h, _) in enumerate(DATE_FORMS)]
+    + [f"WHEN {_Z0 + i} THEN CAST(epoch(TIMESTAMP '{d}') AS BIGINT) + o_orderkey % 86400 - {h * 3600}" for i, (d, _, h) in enumerate(ZONED_DAYS)]
+    + [f"WHEN {_Y0} THEN CASE WHEN strftime(o_orderdate, '%m%d') <> '0229' THEN CAST(epoch(strptime('{NO_YEAR}' || strftime(o_orderdate, '%m%d%H%M%S'), '%Y%m%d%H%M%S')) AS BIGINT) END"])
+
+
+def _date_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k, form = F.col("o_orderkey") % _FORM_COUNT, F.lit(None).cast("string")
+    seconds = (F.col("o_orderkey") % 86400).cast("bigint")
+    for i, (_, _, f) in enumerate(DATE_FORMS):
+        form = F.when(k == i, F.date_format("o_orderdate", f)).otherwise(form)
+    for i, (day, zone, _) in enumerate(ZONED_DAYS):
+        at = F.timestamp_seconds(F.unix_seconds(F.lit(day).cast("timestamp")) + seconds)
+        form = F.when(k == _Z0 + i, F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(f" {zone}"))).otherwise(form)
+    form = F.when(k == _Y0, F.date_format("o_orderdate", "MMM dd HH:mm:ss")).otherwise(form)
+    for i, t in enumerate(ODD):
+        form = F.when(k == _Y0 + 1 + i, t).otherwise(form)
+    return o.select("o_orderkey", form.alias("text"))
 
 
 @query("date_parse", "O22 O23", oracle=f"""
-SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 12 THEN 'no date' ELSE CASE o_orderkey % 13 {_FORM_SQL} END END AS text,
-       CASE WHEN o_orderkey % 13 < 12 THEN CAST(epoch(o_orderdate) AS BIGINT) - CASE o_orderkey % 13 {_OFFSET_SQL} END END AS epoch_sec,
-       o_orderkey % 13 = 12 AS time_unparsed
-FROM orders
+WITH d AS (SELECT o_orderkey, CASE {_K} {_TEXT_SQL} END AS text, CASE {_K} {_EPOCH_SQL} END AS epoch_sec FROM orders)
+SELECT *, epoch_sec IS NULL AS time_unparsed FROM d
 """)
 def date_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    form = F.lit("no date")
-    for i, f in enumerate(_SPARK_FORMS):
-        form = F.when(F.col("o_orderkey") % 13 == i, F.date_format("o_orderdate", f)).otherwise(form)
-    d = o.select("o_orderkey", form.alias("text")).withColumn("fields", F.create_map(F.lit("when"), F.col("text")))
-    d = with_field_time(d, "when")
-    return d.select("o_orderkey", "text", F.unix_seconds("event_time").alias("epoch_sec"), "time_unparsed")
+    d = with_parsed_date(_date_texts(spark, sf_dir), F.col("text"), "at", year=NO_YEAR)
+    return d.select("o_orderkey", "text", F.unix_seconds("at").alias("epoch_sec"), F.col("at").isNull().alias("time_unparsed"))
+
+
+@query("date_shapes", "O22 (the shapes that no format reads, with counts)", oracle=f"""
+WITH d AS (SELECT CASE {_K} {_TEXT_SQL} END AS text, CASE {_K} {_EPOCH_SQL} END AS epoch_sec FROM orders)
+SELECT regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z]+', 'A', 'g'), '[0-9]', '0', 'g'), '\\b00?\\b', 'n', 'g') AS shape,
+       count(*) AS n, min(text) AS example FROM d WHERE epoch_sec IS NULL GROUP BY 1
+""")
+def date_shapes(spark, sf_dir):
+    return unmatched_shapes(_date_texts(spark, sf_dir), F.col("text"), year=NO_YEAR)
 
 
 def _line_times(spark, sf_dir):

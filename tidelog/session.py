@@ -15,13 +15,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC session zone (all event times are instants),
-# AQE for partition coalescing and skew splits, Arrow for the pandas paths.
+# AQE for partition coalescing and skew splits, Arrow for the pandas paths; a generated
+# method over 8,000 bytes is never compiled by the JVM, so such a stage runs in smaller ones.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
