@@ -79,6 +79,19 @@ def test_ngram_join_by_brute_force(llm_spark, clashes):
     assert kept.filter("doc_id is null").count() == df.filter("doc_id is null").count()
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(llm_spark):
+    """Nothing goes by its id alone: B is the only row with its text, though its id is that of A."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near_b = b.replace("b7 ", "x ")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a, "s"), (0, near_b, "s"), (3, c, "s"), (3, c, "t"), (3, None, "s"), (3, "", "s"), (4, c + " end", "s"), (None, c, "s")]
+    got = one_of_each_class(llm_spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (0, near_b), (3, c), (3, None), (None, c)], key=str) \
+        or sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (0, near_b), (3, c), (3, ""), (None, c)], key=str)
+    rows = [(1, a), (1, b), (2, a)]
+    got = one_of_each_class(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (1, b)]
+
+
 def test_many_near_copies_in_blocks(llm_spark, monkeypatch):
     import tidelog.llm.ngram_join as m
     monkeypatch.setattr(m, "BLOCK", 4000)  # about ten texts in a block

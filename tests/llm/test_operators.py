@@ -366,3 +366,12 @@ def test_language(llm_spark):
 def test_fold(llm_spark):
     got = llm_spark.range(50).select("id", held_out("id", 5, 0).alias("h")).collect()
     assert all(x["h"] == (zlib.crc32(str(x["id"]).encode()) % 5 == 0) for x in got)
+
+
+def test_copies_of_a_row_in_parts(llm_spark, monkeypatch):
+    rows_ = [(i, "w " * 40, "a") for i in range(30)] + [(99, "v " * 7, "b")] * 3
+    df = llm_spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    whole = rows(mixing.mixed(df), "doc_id", "text", "source")
+    monkeypatch.setattr(mixing, "PART", 2)
+    assert rows(mixing.mixed(df), "doc_id", "text", "source") == whole
+    assert sum(r[0] == 99 for r in whole) == 9

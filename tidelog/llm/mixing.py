@@ -126,15 +126,25 @@ def targets(per: DataFrame) -> DataFrame:
     return per.withColumn("target", F.least(most, F.lit(level) * F.col("weight")))
 
 
+#: Copies of a row that one task puts out.
+PART = 1024
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
     """Rows equal in id, source and text have one key; they are interchangeable."""
     return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
 
 
+def second_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    """Another 64 bits: both keys together tell rows apart at any number of documents."""
+    return F.xxhash64(F.lit("second"), F.col(text_col), F.col(source_col), F.col(id_col))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken, copies, row_key``."""
+    """One row for each document: ``doc_id, size, source_size, target, taken, copies, row_key, row_key2``."""
     rows = kept_table(docs.select(
         F.col(id_col), F.col(source_col).alias("source"), row_key(id_col, text_col, source_col).alias("row_key"),
+        second_key(id_col, text_col, source_col).alias("row_key2"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -142,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = kept_table(per.withColumn("whole", whole.cast("long"))
                      .withColumn("part", F.when(ratio - whole > NEAR, ratio - whole).otherwise(0.0)))
     known = rows.withColumnRenamed("source", "_s").join(per, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-    base = [id_col, "row_key", "size", "source_size", "target", "whole", "place"]
+    base = [id_col, "row_key", "row_key2", "size", "source_size", "target", "whole", "place"]
     fixed = known.filter("part = 0 or size = 0").select(*base, F.lit(0.0).alias("pi"))
     left = known.filter("part > 0 and size > 0").select(*base, F.col("part").alias("pi"),
                                                         F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("long").alias("chunks"))
@@ -163,12 +173,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.col("pi").cast("long")).cast("long")
-    return out.select(F.col(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "row_key")
+    return out.select(F.col(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "row_key", "row_key2")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    key, copies, n = (unused(docs, x) for x in ("_key", "_copies", "_n"))
-    taken = mix(docs).groupBy(F.col("row_key").alias(key)).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias(copies)).filter(F.col(copies) > 0)
-    out = docs.withColumn(key, row_key()).join(taken, key).dropDuplicates([key])
+    """The rows of ``docs``, each as often as the mix takes it.  Rows taken very often are put out in parts of
+    ``PART`` copies by several tasks."""
+    key, key2, copies, n = (unused(docs, x) for x in ("_key", "_key2", "_copies", "_n"))
+    taken = mix(docs).groupBy(F.col("row_key").alias(key), F.col("row_key2").alias(key2)) \
+        .agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias(copies)).filter(F.col(copies) > 0)
+    once = docs.withColumn(key, row_key()).withColumn(key2, second_key()).join(taken, [key, key2]).dropDuplicates([key, key2])
+    parts = F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(PART).cast("long"))
+    often = once.filter(F.col(copies) > PART).withColumn(n, F.explode(parts)).repartition(key, n) \
+        .withColumn(copies, F.least(F.lit(PART).cast("long"), F.col(copies) - F.col(n)))
+    out = once.filter(F.col(copies) <= PART).unionByName(often.drop(n))
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -8,7 +8,7 @@ the full sets of 64-bit shingle hashes with integers.
 1. One pass over the texts gives a fingerprint of the shingle set and one
    bucket id per band.  Rows and bands follow from the wanted recall
    (``bands_for``): 32 bands of 6 rows miss a pair at 0.8 with probability 6e-5.
-2. Texts with equal sets are one class; its smallest doc_id stands for it.
+2. Texts with equal sets are one class; one of its rows stands for it.
 3. Classes that share a bucket are tied together; a group of any size is cut into
    blocks of bounded weight, and each task verifies one pair of blocks on the
    whole sets (read again from the text).  No row is made for a pair.
@@ -16,7 +16,7 @@ the full sets of 64-bit shingle hashes with integers.
 
 Defined results: a null text, or one without words, links with nothing.  A null
 doc_id takes no part (class_id null, n_links 0, kept).  Rows that repeat a
-doc_id count as copies; should their texts differ they still share one class.
+doc_id count as copies; should their texts differ they are documents of their own.
 Other columns of the input are ignored.
 """
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, kept_table, mix64, odd_numbers, runs, words
+from .common import hashed, kept_table, mix64, odd_numbers, runs, unused, words
 from .linking import block_members, bucket_edges, components, local_components, summed_links
 
 SHINGLE = 5
@@ -104,7 +104,7 @@ def _signed(frames: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterator[p
                     flush()
                     held = 0
         flush()
-        yield pd.DataFrame({"id": f["id"], "fp": fps, "n": ns, "buckets": keys})
+        yield pd.DataFrame({"id": f["id"], "key": f["key"], "fp": fps, "n": ns, "buckets": keys})
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -172,6 +172,34 @@ def _texts_to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[same]
 
 
+def _joined(docs: DataFrame, rows: int, bands: int) -> DataFrame:
+    """``docs(id, text, key)`` -> ``(id, key, n, rep, copies, links, class_id, kept, first)``: ``first`` is true for the rows
+    of the one shingle set of a class that holds its smallest id."""
+    named = docs.withColumn("id", F.col("id").cast("string"))  # pandas would make floats of longs with nulls
+    signed = named.mapInPandas(lambda fs: _signed(fs, rows, bands), "id string, key binary, fp binary, n long, buckets array<long>")
+    signed = kept_table(signed.withColumn("id", F.col("id").cast("long")).withColumn("row", F.monotonically_increasing_id()))
+    usable = signed.filter("fp is not null and id is not null")
+    classes = kept_table(usable.groupBy("fp").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count("*").alias("copies"),
+                                                  F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+    keys = classes.select(F.col("node").alias("id"), F.explode("buckets").alias("bucket"))
+    clusters = components(bucket_edges(keys))
+    members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("node", "id").drop("buckets"), "id") \
+        .withColumn("weight", F.greatest("n", F.lit(LEAST)))
+    placed = block_members(members.select("id", "fp", "copies", "cluster", "weight"), BLOCK).drop("weight")
+    texts = members.select(F.col("id").alias("node"), "fp", F.col("rep").alias("id")).join(docs.select("id", "text"), "id")
+    sets = texts.select(F.col("node").alias("id"), "fp", "text").mapInPandas(_texts_to_sets, "id long, fp binary, shingles binary")
+    dealt = placed.join(sets, ["id", "fp"]).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id")
+    found = summed_links(dealt.mapInPandas(_verified, "id long, links long, low long")).withColumnRenamed("id", "node")
+    found = kept_table(found.join(classes.select("node", "rep"), "node"))
+    least = found.groupBy("component").agg(F.min("rep").alias("class_id"), F.min(F.struct("rep", "node"))["node"].alias("first_node"))
+    found = found.drop("rep").join(least, "component")
+    known = classes.select("fp", "node", "rep", "copies").join(found, "node", "left")
+    out = signed.select("id", "key", "fp", "n").join(known, "fp", "left")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id"))
+    return out.select("id", "key", "n", "rep", "copies", "links", class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"),
+                      F.coalesce("first_node", "node").eqNullSafe(F.col("node")).alias("first"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row for each input row: ``doc_id, class_id, copy_id, n_links, n_shingles, kept``.
 
@@ -179,37 +207,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``copy_id`` the smallest doc_id with an equal shingle set, ``n_links`` the
     number of other documents linked directly, copies included.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = docs.withColumn("id", F.col("id").cast("string"))  # pandas would make floats of longs with nulls
-    signed = named.mapInPandas(lambda fs: _signed(fs, rows, bands), "id string, fp binary, n long, buckets array<long>")
-    signed = kept_table(signed.withColumn("id", F.col("id").cast("long")))
-    usable = signed.filter("fp is not null and id is not null")
-    classes = kept_table(usable.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
-                                                  F.first("buckets").alias("buckets")))
-    keys = classes.select(F.col("rep").alias("id"), F.explode("buckets").alias("bucket"))
-    clusters = components(bucket_edges(keys))
-    members = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("rep", "id").drop("buckets"), "id") \
-        .withColumn("weight", F.greatest("n", F.lit(LEAST)))
-    placed = block_members(members.select("id", "fp", "copies", "cluster", "weight"), BLOCK).drop("weight")
-    sets = members.select("id", "fp").join(docs, "id").select("id", "fp", "text").mapInPandas(_texts_to_sets, "id long, fp binary, shingles binary")
-    dealt = placed.join(sets, ["id", "fp"]).repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id")
-    found = summed_links(dealt.mapInPandas(_verified, "id long, links long, low long"))
-    known = classes.select("fp", "rep", "copies").join(found, F.col("rep") == F.col("id"), "left").drop("id")
-    out = signed.select("id", "fp", "n").join(known, "fp", "left")
-    class_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return out.select(
-        F.col("id").alias(id_col), class_id.alias("class_id"),
+    got = _joined(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("key")), rows, bands)
+    return got.select(
+        F.col("id").alias(id_col), "class_id",
         F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("copy_id"),
         F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.col("n").alias("n_shingles"),
-        F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
+        F.col("n").alias("n_shingles"), "kept")
 
 
-def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the documents whose class has a smaller doc_id; one row for a repeated id.
+def one_of_each_class(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs`` without the documents whose class has a smaller doc_id.
 
-    Rows with a null doc_id stay.
+    A document is a doc_id with a text: rows that repeat both are one, rows that share an id with another
+    text are judged by their own class.  Rows with a null doc_id stay.
     """
-    kept = ngram_join(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = unused(docs, "_text_key")
+    text = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, text)
+    kept = _joined(named.select(F.col("doc_id").cast("long").alias("id"), "text", F.col(key).alias("key")), rows, bands) \
+        .filter("kept and first").select(F.col("id").alias("doc_id"), F.col("key").alias(key)).distinct()
+    named = named.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -82,7 +82,7 @@ def _op4(spark, sf_dir):
 
 @_query("op6_cube_mixing")
 def _op6(spark, sf_dir):
-    return mix(read(spark, sf_dir, "documents")).drop("row_key")
+    return mix(read(spark, sf_dir, "documents")).drop("row_key", "row_key2")
 
 
 @_query("op8_quality_neighbour_voting")
