@@ -184,3 +184,16 @@ def test_observed_counters(spark):
     assert obs.get == {"events": 3, "queued": 2, "filtered": 1, "rejected": 1}
     got = {r["source"]: tuple(r)[1:] for r in source_counters(df).collect()}
     assert got == {"a": (2, 1, 1, 0, 0), "b": (1, 1, 0, 1, 1)}
+
+
+def test_null_group_is_not_the_group_named_none(spark):
+    from pyspark.sql import types as T
+    from tidelog.operators.sequential import ordered_scan
+    rows = [(g, i) for g in (None, "None", "nan", "") for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, i long")
+
+    def count(seg, state):
+        return {"n": range(state + 1, state + 1 + len(seg))}, state + len(seg)
+
+    got = ordered_scan(df, ["g"], ["i"], [T.StructField("n", T.LongType())], count, lambda: 0, partitions=1).collect()
+    assert sorted((str(type(r["g"])), r["g"] or "", r["i"], r["n"]) for r in got) == sorted((str(type(g)), g or "", i, i + 1) for g, i in rows)

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidelog.sources.inventory import (EMPTY_MD5, detect_changes, file_inventory, head_fingerprint, load_manifest,
+from tidelog.sources.inventory import (EMPTY_MD5, compact_manifest, detect_changes, file_inventory, head_fingerprint, load_manifest,
                                        python_fingerprint, save_manifest)
 from tidelog.sources.text import read_command_output, read_json_lines, read_lines
 
@@ -104,3 +104,30 @@ def test_command_json(spark, tmpdir_path):
     ok, bad = read_command_json(spark, p)
     assert [r["event_text"] for r in ok.collect()] == ['{"a": "x"}']
     assert [r["preview"] for r in bad.collect()] == ["not json"]
+
+
+def test_manifest_compaction(spark, tmpdir_path):
+    m = os.path.join(tmpdir_path, "m")
+    schema = "path string, mtime double, pos long, size long, sig_h string, sig_b int, saved_at double"
+
+    def save(at, **positions):
+        save_manifest(spark.createDataFrame([(p, 1.0, n, n, "h", 1, at) for p, n in positions.items()], schema), m)
+
+    def positions():
+        return {r["path"]: r["pos"] for r in load_manifest(spark, m).collect()}
+
+    assert positions() == {}
+    compact_manifest(spark, m)                      # of nothing
+    save(1.0, a=1, b=1)
+    save(2.0, b=2)
+    compact_manifest(spark, m)
+    assert positions() == {"a": 1, "b": 2}
+    save(3.0, c=3)
+    os.makedirs(os.path.join(m, "snapshot-00000003"))                       # a compaction that broke off
+    _write(os.path.join(m, "snapshot-00000003", "part-0"), "torn")
+    save(4.0, a=4)
+    assert positions() == {"a": 4, "b": 2, "c": 3}
+    compact_manifest(spark, m)
+    save(0.5, a=9)                                                          # an older save comes late
+    assert positions() == {"a": 4, "b": 2, "c": 3}
+    assert sorted(x for x in os.listdir(m) if not x.startswith(".")) == ["log-00000003", "log-00000004", "snapshot-00000002", "snapshot-00000003"]

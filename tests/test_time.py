@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.timefmt import (detect_epoch, epoch_seconds, shapes_of, unmatched_shapes, wire_to_timestamp, with_parsed_date,
                                        zone_abbreviations)
-from tidelog.operators.envelope import carry_forward, now_column, resolve_time
+from tidelog.operators.envelope import carry_forward, carry_time, now_column, resolve_time, two_passes
 from tidelog.operators.filters import too_old
 
 
@@ -133,3 +133,15 @@ def test_age_boundary(spark):
     got = [r[0] for r in df.select(too_old(F.col("t"), F.lit(now), 10000)).collect()]
     assert got == [False, True, False]
     assert [r[0] for r in df.select(too_old(F.col("t"), F.lit(now), 0)).collect()] == [False] * 3
+
+
+def test_two_passes_of_a_json_line(spark):
+    rows = [("s", 0, '{"t": "1700000000", "who": "ann"}'), ("s", 1, '"t": "1700000005" {broken'), ("s", 2, '{"who": "bob"}'), ("s", 3, "{}"), ("s", 4, "[1]")]
+    df = spark.createDataFrame(rows, "source string, seq long, event_text string")
+    patterns = [("raw", r'"t": "(?P<t>\d+)"'), ("w:who", r"^(?P<name>\w)"), ("x:name", "(?P<again>.)")]
+    got = carry_time(two_passes(df, patterns, "t", mode="fixpoint")).orderBy("seq").collect()
+    assert [r["fields"] for r in got] == [{"name": "a", "again": "a"}, {}, {"name": "b", "again": "b"}, {}, {}]
+    assert [r["time_wire"] for r in got] == ["1700000000"] + ["1700000005"] * 4
+    assert [r["event_json"] is None for r in got] == [False, True, False, False, False]
+    stop = two_passes(df, patterns, "t").orderBy("seq").collect()
+    assert [r["fields"] for r in stop] == [{}] * 5 and stop[0]["time_wire"] == "1700000000"

@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonv
-from ..functions.timefmt import epoch_seconds, ts_epoch_seconds
+from ..functions.timefmt import detect_epoch, epoch_seconds, ts_epoch_seconds, wire_to_timestamp
+from ..session import kept
+from .extract import extract_fields
 
 _P = "__tl_cf_"
 DEFAULT_CHUNK = 1 << 16
@@ -73,19 +75,40 @@ def carry_forward(df: DataFrame, value_col: str, by: str, order: str, out_col: s
 def carry_time(df: DataFrame, by: str = "source", order: str = "seq", width: int = DEFAULT_CHUNK) -> DataFrame:
     """Rows without a parsed time take the last parsed time of their source.
 
+    The input is kept in the checkpoint folder first: the chunks' reports and the rows both derive from it, and
+    neither its extraction nor a scan that numbers its rows may run twice.
+
     Expects ``time_wire`` / ``event_time`` from the time parse; must run before
     any filter that drops rows (a dropped row still sets the carried time).  A
     row whose time text did not parse (``time_unparsed``) keeps no time: it is a
     reject, not a line without a time."""
     d = df.withColumn(_P + "t", F.when(F.col("time_wire").isNotNull(),
                                        F.struct(F.col("time_wire").alias("w"), F.col("event_time").alias("t"))))
-    d = carry_forward(d, _P + "t", by, order, width=width)
+    d = carry_forward(kept(d), _P + "t", by, order, width=width)
     if "time_unparsed" in df.columns:
         d = d.withColumn(_P + "t", F.when(~F.col("time_unparsed"), F.col(_P + "t")))
     return (d.withColumn("time_wire", F.col(_P + "t.w")).withColumn("event_time", F.col(_P + "t.t"))
             .drop(_P + "t"))
 
 
+def two_passes(df: DataFrame, patterns, parse_time: str, *, text_col: str = "event_text", json_col: str = "event_json", mode: str = "stop") -> DataFrame:
+    """A JSON line goes through its pattern set twice, as raw text and, where it is JSON, as an object.
+
+    Adds ``json_col`` (NULL for a reject), ``fields`` (of the second pass alone), ``time_wire`` and ``event_time``: the time
+    field of the second pass, else that of the first, which a reject has as well and so carries on to later lines.
+    """
+    def time_of(fields: str) -> Column:
+        text = F.element_at(F.col(fields), F.lit(parse_time))
+        return detect_epoch(F.when(F.length(text) > 0, text))
+
+    raw, w1 = _P + "raw", _P + "w1"
+    df = extract_fields(df, patterns, text_col=text_col, out_col=raw, mode=mode).withColumn(w1, time_of(raw))
+    df = df.withColumn(json_col, jsonv.strict_parse_json(F.col(text_col)))
+    df = extract_fields(df, patterns, text_col=None, json_col=json_col, mode=mode)
+    df = df.withColumn("time_wire", F.coalesce(F.when(F.col(json_col).isNotNull(), time_of("fields")), F.col(w1)))
+    return df.withColumn("event_time", wire_to_timestamp(F.col("time_wire"))).drop(raw, w1)
+
+
 def resolve_time(env_time: Column, fields: Column, event_json: Column | None, now: Column,
                  env_given: Column | None = None) -> tuple[Column, Column]:
     """The payload time and where it came from, ``(value_text, origin)``.

@@ -35,12 +35,13 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
                 continue
             starts_idx = _run_starts(pdf, group_cols)
             idx = [int(i) for i in starts_idx] + [None]
-            heads = pdf[group_cols].iloc[starts_idx].astype(str)
-            keys = heads.agg("\x1f".join, axis=1) if len(group_cols) > 1 else heads[group_cols[0]]
+            heads = pdf[group_cols].iloc[starts_idx]
+            keys = [tuple(None if null else v for v, null in zip(*row)) for row in
+                    zip(heads.itertuples(index=False, name=None), heads.isna().itertuples(index=False, name=None))]
             pieces = []
             for j, (a, b) in enumerate(zip(idx, idx[1:])):
                 seg = pdf.iloc[a:] if b is None else pdf.iloc[a:b]
-                k = keys.iloc[j]
+                k = keys[j]
                 if k != cur_key:
                     cur_key, state = k, init()
                 cols, state = step(seg, state)

@@ -24,9 +24,10 @@ def fingerprint(spark, sf_dir):
     return d.select("doc_id", h.alias("sig_h"), b.alias("sig_b"))
 
 
-def _inventory_and_manifest(spark, sf_dir):
+def _inventory_and_manifest(spark, sf_dir, every_source=False):
+    """Files as they are (those of Spanish documents are gone) and as they were saved (those of ``src3`` were not, unless wanted)."""
     d = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/logs/"), F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".log"))
+    path = F.concat(F.lit("/logs/"), F.coalesce("source", F.lit("")) if every_source else F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".log"))
     size = F.octet_length("text").cast("long")
     mtime = (F.lit(1_700_000_000) + F.col("doc_id")).cast("double")
     inv = d.where(F.col("lang") != "es").select(path.alias("path"), size.alias("size"), mtime.alias("mtime"),
@@ -39,7 +40,7 @@ def _inventory_and_manifest(spark, sf_dir):
         .otherwise(F.md5(s_text.substr(F.lit(1), s_b)))
     s_size = F.when(lang == "fr", size + 100).otherwise(F.octet_length(s_text).cast("long"))
     s_mtime = F.when(lang.isin("en", "fr", "de"), mtime - 100).otherwise(mtime)
-    man = d.where(F.col("source") != "src3").select(
+    man = (d if every_source else d.where(F.col("source") != "src3")).select(
         path.alias("path"), s_mtime.alias("mtime"), s_size.alias("pos"), s_size.alias("size"), s_h.alias("sig_h"),
         s_b.alias("sig_b"))
     return inv, man

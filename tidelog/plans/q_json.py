@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonv
-from ..functions.timefmt import detect_epoch, wire_to_timestamp
 from ..functions.text import preview
-from ..operators.envelope import carry_time
+from ..operators.envelope import carry_time, two_passes
 from ..operators.extract import extract_fields
 from .registry import query
 from .tables import events_ts_utc, table
@@ -20,8 +19,10 @@ OBJECT_PATTERNS = [
 ]
 
 TWO_PASS_PATTERNS = [
-    ("w", r'"ts":\s*"(?P<ts>\d+)"'),
-    ("t:type", r"(?P<kind>\w+)"),
+    ("w", r'"at":\s*"(?P<ts>\d+)"'),
+    ("t:type", r"^(?P<kind>\w+)$"),
+    ("s:ts", r"^(?P<ts>\d+)$"),
+    ("k:kind", r"(?P<end>.)$"),
 ]
 
 
@@ -114,47 +115,32 @@ def bad_json(spark, sf_dir):
                      F.when(st == "invalid", preview(s, "short")).alias("preview"))
 
 
-@query("json_two_pass", "O31 O24 O21 O30", oracle=r"""
+@query("json_two_pass", "O31 O24 O21 O30 O14", oracle=r"""
 WITH l AS (
-  SELECT event_id, user_id,
+  SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS VARCHAR) AS us,
          CASE WHEN event_type = 'error' THEN '{"type": "error"}'
-              WHEN event_type = 'signup' THEN '{"ts": "' || epoch_us(ts) || '", "type": "signup"'
-              ELSE '{"ts": "' || epoch_us(ts) || '", "type": "' || event_type || '"}' END AS line
+              WHEN event_type = 'signup' THEN '{"at": "' || epoch_us(ts) || '", "type": "signup"'
+              WHEN event_type = 'view' THEN '{"at": "' || (epoch_us(ts) - 1000000) || '", "ts": "' || epoch_us(ts) || '", "type": "view"}'
+              ELSE '{"at": "' || epoch_us(ts) || '", "type": "' || event_type || '"}' END AS line
   FROM events),
-p AS (
-  SELECT *, regexp_extract(line, '"ts":\s*"(\d+)"', 1) AS d FROM l),
-t AS (
-  SELECT *, CASE WHEN d <> '' THEN
-           regexp_extract(d, '^\s*(\d{7,10})(\d*)', 1)
-           || CASE WHEN regexp_extract(d, '^\s*(\d{7,10})(\d*)', 2) <> ''
-                   THEN '.' || regexp_extract(d, '^\s*(\d{7,10})(\d*)', 2) ELSE '' END END AS wire
-  FROM p),
+t AS (SELECT *, CASE WHEN event_type <> 'error' THEN left(us, 10) || '.' || substr(us, 11) END AS wire FROM l),
 c AS (
   SELECT *, last_value(wire IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS time_wire
   FROM t)
-SELECT event_id, user_id, time_wire, CAST(0 AS BIGINT) AS n_fields FROM c WHERE json_valid(line)
+SELECT event_id, user_id, time_wire, event_type AS kind, CASE WHEN event_type = 'view' THEN us END AS ts, right(event_type, 1) AS "end",
+       CAST(CASE WHEN event_type = 'view' THEN 3 ELSE 2 END AS BIGINT) AS n_fields FROM c WHERE json_valid(line)
 """)
 def json_two_pass(spark, sf_dir):
+    """Errors have no time, signups are broken JSON with a time that later lines take, views have another time as a member."""
     ev = events_ts_utc(table(spark, sf_dir, "events"))
-    line = (F.when(F.col("event_type") == "error", F.lit('{"type": "error"}'))
-            .when(F.col("event_type") == "signup",
-                  F.concat(F.lit('{"ts": "'), _micros(), F.lit('", "type": "signup"')))
-            .otherwise(F.concat(F.lit('{"ts": "'), _micros(), F.lit('", "type": "'), F.col("event_type"),
-                                F.lit('"}'))))
+    kind, at = F.col("event_type"), F.concat(F.lit('{"at": "'), _micros(), F.lit('", "type": "'), F.col("event_type"), F.lit('"'))
+    earlier = (F.unix_micros("ts") - 1_000_000).cast("string")
+    line = (F.when(kind == "error", F.lit('{"type": "error"}')).when(kind == "signup", at)
+            .when(kind == "view", F.concat(F.lit('{"at": "'), earlier, F.lit('", "ts": "'), _micros(), F.lit('", "type": "view"}')))
+            .otherwise(F.concat(at, F.lit("}"))))
     df = ev.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"),
                    F.col("event_id").alias("seq"), "event_id", "user_id", line.alias("event_text"))
-    # pass 1 on the raw line: its fields are thrown away but its time is kept
-    df = extract_fields(df, TWO_PASS_PATTERNS, text_col="event_text", out_col="raw_fields")
-    raw = F.element_at(F.col("raw_fields"), F.lit("ts"))
-    wire1 = detect_epoch(F.when(F.length(raw) > 0, raw))
-    # pass 2 on the decoded object
-    df = df.withColumn("event_json", jsonv.strict_parse_json(F.col("event_text")))
-    df = extract_fields(df, TWO_PASS_PATTERNS, text_col=None, json_col="event_json")
-    t2 = F.element_at(F.col("fields"), F.lit("ts"))
-    wire2 = detect_epoch(F.when(F.length(t2) > 0, t2))
-    wire = F.coalesce(F.when(F.col("event_json").isNotNull(), wire2), wire1)
-    df = df.withColumn("time_wire", wire).withColumn("event_time", wire_to_timestamp(wire))
-    df = carry_time(df)
-    return df.where(F.col("event_json").isNotNull()).select(
-        "event_id", "user_id", "time_wire", F.size("fields").cast("bigint").alias("n_fields"))
+    df = carry_time(two_passes(df, TWO_PASS_PATTERNS, "ts", mode="fixpoint"))
+    found = [F.element_at("fields", F.lit(k)).alias(k) for k in ("kind", "ts", "end")]
+    return df.where(F.col("event_json").isNotNull()).select("event_id", "user_id", "time_wire", *found, F.size("fields").cast("bigint").alias("n_fields"))

@@ -73,3 +73,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tidelog-ckpt-", dir=os.environ.get("TIDELOG_SCRATCH", "/tmp"))
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the session's checkpoint folder and read from there, so that all that is derived from
+    it sees the same rows, also after an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -96,20 +96,61 @@ def detect_changes(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
                     cur_size.cast("bigint").alias("size"))
 
 
+def _generation(spark: SparkSession, path: str) -> int:
+    """Number of the last snapshot that was written to its end (its ``_SUCCESS`` mark is there), 0 without one."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [n for n in names if n.startswith("snapshot-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max((int(n.removeprefix("snapshot-")) for n in done), default=0)
+
+
+def _log(path: str, generation: int) -> str:
+    return f"{path}/log-{generation + 1:08d}"
+
+
+def _snapshot(path: str, generation: int) -> str:
+    return f"{path}/snapshot-{generation:08d}"
+
+
 def save_manifest(df: DataFrame, path: str) -> None:
-    """Append position rows (JSON lines, one per file and save)."""
-    df.select(*[f.name for f in MANIFEST_SCHEMA.fields]).write.mode("append").json(path)
+    """Append position rows (JSON lines, one per file and save) to the log after the last snapshot."""
+    names = [f.name for f in MANIFEST_SCHEMA.fields]
+    df.select(*names).write.mode("append").json(_log(path, _generation(df.sparkSession, path)))
+
+
+def _saved(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """Latest row per path of a snapshot and the log after it; corrupt rows of the log are ignored."""
+    rows = spark.read.parquet(_snapshot(path, generation)) if generation else spark.createDataFrame([], MANIFEST_SCHEMA)
+    log = spark._jvm.org.apache.hadoop.fs.Path(_log(path, generation))
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        schema = T.StructType(list(MANIFEST_SCHEMA.fields) + [T.StructField("_corrupt", T.StringType())])
+        raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(_log(path, generation))
+        rows = rows.unionByName(raw.where(F.col("_corrupt").isNull() & F.col("path").isNotNull()).drop("_corrupt"))
+    rest = [f.name for f in MANIFEST_SCHEMA.fields if f.name != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*rest), F.col("saved_at")).alias("m")).select("path", "m.*")
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Latest saved row per path; corrupt rows are ignored."""
-    schema = T.StructType(list(MANIFEST_SCHEMA.fields) + [T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    ok = raw.where(F.col("_corrupt").isNull() & F.col("path").isNotNull())
-    latest = ok.groupBy("path").agg(F.max_by(F.struct(*[f.name for f in MANIFEST_SCHEMA.fields if f.name != "path"]),
-                                              F.col("saved_at")).alias("m"))
-    return latest.select("path", "m.*")
+    """Latest saved row per path, from the last snapshot and what was saved after it."""
+    return _saved(spark, path, _generation(spark, path))
+
+
+def compact_manifest(spark: SparkSession, path: str) -> None:
+    """The latest rows as a new snapshot, after which the log starts anew.
+
+    The switch is the snapshot's ``_SUCCESS`` mark, which its writer puts last: a load or save sees the old snapshot with
+    its log, or the new one.  A compaction that broke off leaves a folder without the mark, which the next one
+    overwrites.  One writer at a time saves or compacts.  The generation before stays for readers that have begun; older ones go.
+    """
+    last = _generation(spark, path)
+    _saved(spark, path, last).write.mode("overwrite").parquet(_snapshot(path, last + 1))
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in ([_snapshot(path, last - 1), _log(path, last - 1)] if last > 1 else [_log(path, 0)] if last == 1 else []):
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def python_fingerprint(text: str, n: int = SIGNATURE_CHARS) -> tuple[str, int]:
