@@ -2,6 +2,8 @@
 
 import json
 import os
+import time
+from datetime import datetime, timezone
 
 from tidelog.operators.packets import key_parts, layer_shape, nested, normalise_packets, rewrite_keys
 from tidelog.streaming.growing import stream_growing_lines
@@ -198,3 +200,34 @@ def test_is_packet_predicate(spark):
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     got = [r[0] for r in df.select(is_packet(jsonv.strict_parse_json(F.col("t")))).collect()]
     assert got == [True, False, False, False, False]
+
+
+def test_rows_that_come_after_later_ones(spark, tmpdir_path):
+    """Late rows within the bound are carried as in order, a quiet source is put out with the next rows of another one, later
+    rows than the bound take the last time and don't set it."""
+    from tidelog.streaming.state import stream_carry_late
+    schema = "source string, seq long, time_wire string, event_time timestamp"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+    def step(rows):
+        made = [(s, n, w, None if w is None else datetime.fromtimestamp(int(w), timezone.utc)) for s, n, w in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(tmpdir_path + "/in")
+        stream = spark.readStream.schema(schema).parquet(tmpdir_path + "/in")
+        drain(write_parquet(stream_carry_late(stream, lateness=5, idle_ms=1), tmpdir_path + "/out", tmpdir_path + "/ckpt"))
+        return sorted((r["source"], r["seq"], r["time_wire"], r["us"] // 10 ** 6) for r in spark.read.parquet(tmpdir_path + "/out")
+                      .selectExpr("source", "seq", "time_wire", "unix_micros(event_time) AS us").collect() if r["us"] is not None)
+
+    try:
+        assert step([("a", 1, "10"), ("a", 4, "40"), ("a", 3, None)]) == []
+        first = step([("a", 2, None), ("b", 1, "7"), ("a", 9, None), ("a", 6, "60")])
+        assert first == [("a", 1, "10", 10), ("a", 2, "10", 10), ("a", 3, "10", 10), ("a", 4, "40", 40)]
+        got = step([("b", 2, None), ("a", 20, "200"), ("a", 0, "1"), ("a", 2, None)])
+        assert set(got) - set(first) == {("a", 0, "1", 1), ("a", 2, "40", 40), ("a", 6, "60", 60), ("a", 9, "60", 60)}
+        time.sleep(0.1)
+        last = step([("c", 1, "5")])
+        assert set(last) - set(got) == {("a", 20, "200", 200), ("b", 1, "7", 7), ("b", 2, "7", 7)} and len(last) == 11
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)

@@ -21,7 +21,7 @@ from ..operators.extract import extract_fields
 from ..operators.filters import is_blank
 from ..session import ensure_checkpoint_dir
 from ..streaming.pipeline import drain, write_parquet
-from ..streaming.state import stream_carry_time, stream_throttle
+from ..streaming.state import stream_carry_late, stream_carry_time, stream_throttle
 from .q_delivery import events_with_gaps
 from .q_time import LINE_PATTERNS, event_lines
 from .registry import REGISTRY, query
@@ -82,6 +82,43 @@ def stream_carry(spark, sf_dir):
     return out.select("event_id", "user_id", "time_wire", F.unix_seconds("event_time").alias("epoch_sec"))
 
 
+LATE = 200   # how far a row may come behind a later one
+
+
+@query("stream_carry_late", "O24(stream, late rows) O81 O82", oracle=REGISTRY["carry_time"].oracle.replace("SELECT event_id, user_id,", "SELECT event_id, user_id % 16 AS user,").replace("PARTITION BY user_id", "PARTITION BY user").replace("user_id % 16 AS user,\n       last", "user,\n       last"))
+def stream_carry_late_q(spark, sf_dir):
+    """Lines of 16 sources landed in two steps; every second row comes up to ``LATE`` rows late, so many come after later ones
+    in another step.  A last line of each source, further on than rows can be late, tells that no more come."""
+    base, empty = _scratch(spark), "spark.sql.streaming.noDataMicroBatches.enabled"
+    ev = event_lines(spark, sf_dir)
+    rec = F.concat_ws("\t", F.col("event_id").cast("string"), (F.col("user_id") % 16).cast("string"), F.col("event_text"))
+    late = F.col("event_id") + F.when(F.col("event_id") % 2 == 0, F.pmod(F.xxhash64("event_id"), F.lit(LATE + 1))).otherwise(0)
+    lines = ev.select(late.alias("lands"), rec.alias("value"))
+    lo, hi = lines.agg(F.min("lands"), F.max("lands")).first()
+
+    def step(df) -> None:
+        df.write.mode("append").text(base + "/in")
+        s = spark.readStream.format("text").load(base + "/in")
+        parts = F.split(F.col("value"), "\t", 3)
+        s = s.select(F.concat(F.lit("s"), parts[1]).alias("source"), parts[0].cast("bigint").alias("seq"), parts[2].alias("event_text"))
+        s = with_field_time(extract_fields(s, LINE_PATTERNS), "ts").select("source", "seq", "time_wire", "event_time")
+        spark.conf.set(empty, "false")   # see stream_carry_late
+        try:
+            drain(write_parquet(stream_carry_late(s, lateness=LATE), base + "/out", base + "/ckpt"))
+        finally:
+            spark.conf.unset(empty)
+
+    for k in range(2 if lo is not None else 0):
+        cut = [lo + (hi + 1 - lo) * i // 2 for i in (k, k + 1)]
+        step(lines.where((F.col("lands") >= cut[0]) & (F.col("lands") < cut[1])).select("value").repartition(8))
+    if lo is None:
+        lo = hi = 0
+    step(spark.range(16).select(F.concat_ws("\t", F.lit(str(hi + LATE + 1)), F.col("id").cast("string"), F.lit("end")).alias("value")))
+    out = spark.read.parquet(base + "/out").where(F.col("seq") <= hi)
+    return out.select(F.col("seq").alias("event_id"), F.substring("source", 2, 9).cast("bigint").alias("user"), "time_wire",
+                      F.unix_seconds("event_time").alias("epoch_sec"))
+
+
 @query("stream_throttle", "O71(stream) O81 O82", oracle=REGISTRY["throttle"].oracle)
 def stream_throttle_q(spark, sf_dir):
     base = _scratch(spark)

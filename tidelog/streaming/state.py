@@ -7,6 +7,10 @@ in the reference the state is kept for ever unless ``timeout`` is given
 (``GroupStateTimeout.ProcessingTimeTimeout``: a key idle that long is
 dropped).  A key's rows of one micro-batch are in one task: the trigger's input
 bound (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bounds them.
+
+``stream_carry_late`` is O24 where rows may come after later ones, also in another micro-batch.  It runs on
+``transformWithStateInPandas`` with the RocksDB store: a row waits in the state of its source until no row before it
+is to be expected, and timers put out what still waits in a source that has gone quiet.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -51,6 +57,89 @@ def stream_carry_time(df: DataFrame, by: str = "source", order: str = "seq",
     return df.groupBy(by).applyInPandasWithState(fn, schema, state_schema, "append", mode)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _CarryLate(StatefulProcessor):
+    """Rows of one source: those up to ``lateness`` below the highest order key wait, the rest are put out in order."""
+
+    def __init__(self, schema: T.StructType, order: str, lateness: int, idle_ms: int):
+        self.schema, self.order, self.lateness, self.idle_ms = schema, order, lateness, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "top long, out long, w string, t timestamp")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def _rows(self, frame: pd.DataFrame) -> list[tuple]:
+        return [tuple(None if v is pd.NaT or v is None or v != v else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
+                      for v in row) for row in frame.itertuples(index=False, name=None)]
+
+    def _put_out(self, rows: list[tuple], top: int, mark: tuple) -> list[tuple]:
+        """Rows in order with carried times; a row below one that is out already takes the last time but doesn't set it."""
+        _, out, w, t = mark
+        names = self.schema.names
+        at, aw, a_t = names.index(self.order), names.index("time_wire"), names.index("event_time")
+        done = []
+        for row in sorted(rows, key=lambda r: r[at]):
+            row = list(row)
+            if row[aw] is None:
+                row[aw], row[a_t] = w, t
+            elif out is None or row[at] >= out:
+                w, t = row[aw], row[a_t]
+            out = row[at] if out is None else max(out, row[at])
+            done.append(tuple(row))
+        self.mark.update((top, out, w, t))
+        return done
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.schema.names).astype({f.name: "datetime64[us]" for f in self.schema if isinstance(f.dataType, T.TimestampType)}
+                                                                    | {f.name: "Int64" for f in self.schema if isinstance(f.dataType, T.IntegralType)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = self.mark.get() if self.mark.exists() else (None, None, None, None)
+        at = self.schema.names.index(self.order)
+        new = [r for f in rows for r in self._rows(f[self.schema.names])]
+        every = ([tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []) + new
+        top = max(r[at] for r in new) if mark[0] is None else max(mark[0], max(r[at] for r in new))
+        ready, wait = [], []
+        for r in every:
+            (ready if r[at] <= top - self.lateness else wait).append(r)
+        done = self._put_out(ready, top, mark)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if wait:
+            self.waiting.put(wait)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        else:
+            self.waiting.clear()
+        yield self._frame(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = self.mark.get()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        self.waiting.clear()
+        yield self._frame(self._put_out(rows, mark[0], mark))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_carry_late(df: DataFrame, by: str = "source", order: str = "seq", *, lateness: int, idle_ms: int = 60_000) -> DataFrame:
+    """Streaming O24 for rows that may come after later ones: equal to the batch form as long as, when a row comes, the
+    highest ``order`` of its source is at most ``lateness`` above its own.
+
+    A row is put out when a row ``lateness`` above it has come, or when its source has had no row for ``idle_ms``
+    (told in the next micro-batch of any source).  The state of a source is its last time and the rows that wait, all
+    within ``lateness`` of its highest.  A row that comes later than that is put out at once with the last time.
+    Rows need a non-null ``order``.  A drain (``availableNow``) has to run with ``spark.sql.streaming.noDataMicroBatches.enabled``
+    off: while timers are in use Spark always has one more batch without data to run, and the drain would not end.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own = df.where(F.col(order).isNotNull())
+    return own.groupBy(by).transformWithStateInPandas(_CarryLate(df.schema, order, lateness, idle_ms), df.schema, "Append", "ProcessingTime")
+
+
 def stream_throttle(df: DataFrame, tag_col: str, micros_col: str, limit_s: float, order: list[str],
                     timeout_ms: int | None = None, failed_col: str | None = None) -> DataFrame:
     """Streaming O71: ``kept`` per row; the clock of each tag is the state.  A
