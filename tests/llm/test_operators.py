@@ -1,8 +1,10 @@
 """Operators 1 and 3 to 9 against brute force, round trips and awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +105,87 @@ def test_a_long_secret_is_proposed_whole():
     assert run in {run[s:e] for s, e, _, _ in secret_scan.candidates(run)}
 
 
+def plain_features(text, start, end, kind, name, words):
+    """The features of one span, each from its definition."""
+    v = text[start:end]
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+    classes = ["digits" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "other" for c in v]
+    i = hit = 0
+    while i < len(low):
+        n = next((n for n in range(min(24, len(low) - i), 2, -1) if low[i:i + n] in words.words), 0)
+        hit, i = hit + n, i + (n or 1)
+    out = {c: classes.count(c) / len(v) for c in ("digits", "upper", "lower", "other")}
+    out |= {"chars": len(v), "distinct": len(set(v)) / len(v), "entropy": -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v)),
+            "changes": sum(a != b for a, b in zip(classes, classes[1:])) / len(v), "covered": hit / len(v),
+            "surprise": sum(words.surprise.get(p, words.unseen) for p in zip(low, low[1:])) / max(len(v) - 1, 1),
+            "placeholder": bool(re.search(r"(?i)example|sample|dummy|changeme|placeholder|x{4}|0{8}|\*{3}|your[_-]", v)),
+            "named": bool(secret_scan.SECRET_NAME.search(name)), "name_chars": len(name)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_secret_features_by_brute_force(seed):
+    r = random.Random(seed)
+    words = secret_scan.Words(["the", "quick", "token", "there", "brown", "user"])
+    parts = ["the", "quick", "token=", "a:", "user=", "&", ";", "9f8a7b6c5d4e3f2a", "xxxx", "your_", "Example", "AKIA" + "Q7" * 8, " ", '"', "é", "İ", "there", "00000000", "Zz"]
+    for _ in range(40):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 40)))
+        spans = secret_scan.candidates(text)
+        names = {(s, e, k): n for s, e, k, n in spans}
+        got = list(secret_scan.describe(text, spans, words))
+        assert len(got) == len(spans)
+        for span, values, _ in got:
+            values = dict(zip(secret_scan.FEATURES, values))
+            want = plain_features(text, *span, names[span], words)
+            assert {k: pytest.approx(v) for k, v in want.items()} == {k: values[k] for k in want}, (text, span)
+
+
+@pytest.mark.parametrize("piece", ["ab0:", "password=your_x,", "a=b1&", "x" * 7 + ":", "the=quick;", "9f8a7b6c5d4e3f2a"])
+def test_a_long_piece_takes_time_in_proportion(piece):
+    text = piece * (1_000_000 // len(piece))
+    words = secret_scan.Words(["the", "quick", "password"])
+    t = time.time()
+    n = sum(1 for _ in secret_scan.describe(text, secret_scan.candidates(text), words))
+    assert n and time.time() - t < 60   # a few seconds on an idle machine; hours if each value were walked by itself
+
+
+def test_the_dictionary_does_not_switch_with_size(llm_spark):
+    texts = [f"common words here {w} {w}" for w in ("alpha", "beta", "gamma", "beta")]
+    one = llm_spark.createDataFrame([(t,) for t in texts], "text string")
+    four = one.unionByName(one).unionByName(one).unionByName(one)
+    for share, want in ((0.5, {"common", "words", "here", "beta"}), (0.6, {"common", "words", "here"}), (0.001, {"common", "words", "here", "alpha", "beta", "gamma"})):
+        for df in (one, four):
+            got = secret_scan.dictionary(df, share=share)
+            assert got.words == want
+    assert secret_scan.dictionary(one).surprise == secret_scan.dictionary(four).surprise
+
+
+def test_secrets_without_a_secret_name(llm_spark):
+    """Held-out: values of names that say nothing are found by their look, words and numbers there are not."""
+    r = random.Random(8)
+    vocabulary = PROSE.split() + ["configuration", "directory", "information", "production", "location"]
+    made, planted = [], {}
+
+    def key():
+        return "".join(r.choice("0123456789abcdefghijkmnpqrstuvwxyzABCDEFGH") for _ in range(r.randint(20, 40)))
+
+    for i in range(200):
+        words_ = " ".join(r.choice(vocabulary) for _ in range(20))
+        made.append((i, f"{words_} api_key={key()} mode={r.choice(vocabulary)}{r.choice(vocabulary)} {words_} db.password: {key()}"))
+    for i in range(1000, 1060):
+        value = planted[i] = key()
+        made.append((i, f"some {r.choice(vocabulary)} handle={value} then region={r.choice(vocabulary)}{r.choice(vocabulary)} end"))
+    df = llm_spark.createDataFrame(made, "doc_id long, text string")
+    text = dict(made)
+    kept = {}
+    for x in secret_scan.secret_scan(df).filter("doc_id >= 1000 and kept").collect():
+        kept.setdefault(x["doc_id"], set()).add(text[x["doc_id"]][x["start"]:x["end"]])
+    found = sum(planted[i] in kept.get(i, ()) for i in planted)
+    wrong = sum(len(v - {planted[i]}) for i, v in kept.items())
+    print(f"recall {found / 60:.3f}, precision {found / max(found + wrong, 1):.3f}")
+    assert found >= 54 and wrong <= 6
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 4, 40), Limits(128, 1000, 128)])
 def test_shard_limits(limits):
     r = random.Random(7)
