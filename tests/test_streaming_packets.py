@@ -6,7 +6,7 @@ import time
 from datetime import datetime, timezone
 
 from tidelog.operators.packets import key_parts, layer_shape, nested, normalise_packets, rewrite_keys
-from tidelog.streaming.growing import stream_growing_lines
+from tidelog.streaming.growing import GrowingFilesReader, stream_growing_lines
 from tidelog.streaming.pipeline import drain, write_parquet
 
 
@@ -202,6 +202,57 @@ def test_is_packet_predicate(spark):
     assert got == [True, False, False, False, False]
 
 
+def test_rotation_loses_nothing(spark, tmpdir_path):
+    """Renamed between offset and read, rotated with unread lines, rotated to a name that matches as well, deleted."""
+    d = os.path.join(tmpdir_path, "logs")
+    os.makedirs(d)
+    log = os.path.join(d, "app.log")
+
+    def texts(reader, start, end):
+        return [(os.path.basename(p), pos, t) for part in reader.partitions(start, end) for p, pos, t in reader.read(part)]
+
+    for pattern, name in (("/*.log", "app.log"), ("/app*", "app.log.1")):
+        reader = GrowingFilesReader(d + pattern)
+        _append(log, "one\ntwo\n")
+        first = reader.latestOffset()
+        parts = reader.partitions({}, first)
+        os.rename(log, log + ".1")                                   # after the offset, before the read
+        assert [t for part in parts for _, _, t in reader.read(part)] == ["one", "two"]
+        assert [t for _, _, t in texts(reader, {}, first)] == ["one", "two"]
+        _append(log + ".1", "three\n")                               # the writer still had it open
+        _append(log, "new\n")
+        second = reader.latestOffset()
+        assert sorted(texts(reader, first, second)) == [("app.log", 0, "new"), (name, 8, "three")]
+        assert texts(reader, second, reader.latestOffset()) == []
+        os.remove(log)
+        os.remove(log + ".1")
+        assert texts(reader, second, reader.latestOffset()) == [] and texts(reader, first, second) == []
+    old = {log: reader.latestOffset().get(log, [0, 0, ""])[:3]}      # an offset of an old checkpoint
+    _append(log, "x\n")
+    assert texts(reader, old, reader.latestOffset()) == [("app.log", 0, "x")]
+
+
+def test_a_stream_outlives_rotation(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "logs")
+    os.makedirs(d)
+    log, out, ck = os.path.join(d, "app.log"), os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+
+    def run():
+        drain(write_parquet(stream_growing_lines(spark, d + "/*.log"), out, ck))
+        return sorted(r["event_text"] for r in spark.read.parquet(out).collect())
+
+    _append(log, "a\nb\n")
+    assert run() == ["a", "b"]
+    _append(log, "c\n")
+    os.rename(log, log + ".1")
+    _append(log, "d\n")
+    assert run() == ["a", "b", "c", "d"]
+    os.remove(log)
+    os.remove(log + ".1")
+    _append(log, "e\n")
+    assert run() == ["a", "b", "c", "d", "e"]
+
+
 def test_rows_that_come_after_later_ones(spark, tmpdir_path):
     """Late rows within the bound are carried as in order, a quiet source is put out with the next rows of another one, later
     rows than the bound take the last time and don't set it."""

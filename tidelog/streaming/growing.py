@@ -8,8 +8,12 @@ read in blocks by its own task: a split owns the lines that start in it.  Lines
 ``\\n``, ``\\r`` or ``\\r\\n``; a last line without an end waits for it (quirk
 Q11: the reference emits it as it is), and so does one that ends in ``\\r`` at the
 end of the file.  A file that is shorter than its offset, or whose head is another
-than the fingerprint says (O08), was rewritten and is read again from 0; a file that
-disappeared is dropped from the offset.
+than the fingerprint says (O08), was rewritten and is read again from 0.
+
+A file is known by its identity on the file system, not by its name.  One that was renamed between the offset and the read
+is read under its new name; one whose name is gone or was given to another file (rotation) is read to its end in the next
+batch, wherever in the same folder it is now, and if the pattern matches its new name, on from its position.  Its lines keep the name
+they were found under.  A file that was deleted is dropped from the offset with a warning, and doesn't stop the stream.
 
 Each line comes with ``pos`` (its byte position), which is its order key.
 The files must be on a file system that driver and executors mount.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import logging
 import os
 from collections.abc import Iterator
 
@@ -27,6 +32,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SCHEMA = StructType([StructField("source", StringType()), StructField("pos", LongType()),
                      StructField("event_text", StringType())])
+log = logging.getLogger("tidelog.growing")
+
 HEAD = 1024
 BLOCK = 1 << 20
 SPLIT = 64 << 20
@@ -54,6 +61,25 @@ def _head(path: str, length: int) -> str:
         return hashlib.md5(fh.read(length)).hexdigest()
 
 
+def _identity(path: str) -> str | None:
+    try:
+        st = os.stat(path)
+    except OSError:
+        return None
+    return f"{st.st_dev}:{st.st_ino}"
+
+
+def _where(path: str, identity: str | None) -> str | None:
+    """Where the file that was found at ``path`` is now, in the same folder; None if it is gone."""
+    if identity is None or _identity(path) == identity:
+        return path if os.path.exists(path) else None
+    try:
+        with os.scandir(os.path.dirname(path) or ".") as entries:
+            return next((e.path for e in entries if e.is_file() and _identity(e.path) == identity), None)
+    except OSError:
+        return None
+
+
 def lines_between(path: str, start: int, end: int, whole_line: bool) -> Iterator[tuple[int, bytes]]:
     """``(position, line)`` of the lines that start in ``[start, end)``, read in blocks.
 
@@ -80,11 +106,13 @@ def lines_between(path: str, start: int, end: int, whole_line: bool) -> Iterator
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, whole_line: bool):
-        self.path, self.start, self.end, self.whole_line = path, start, end, whole_line
+    def __init__(self, path: str, identity: str | None, start: int, end: int, whole_line: bool):
+        self.path, self.identity, self.start, self.end, self.whole_line = path, identity, start, end, whole_line
 
 
 class GrowingFilesReader(DataSourceStreamReader):
+    """The offset: ``{path: [position, length of the head, its md5, identity]}`` (the identity is missing in old checkpoints)."""
+
     def __init__(self, pattern: str, split: int = SPLIT):
         self.pattern, self.split = pattern, split
 
@@ -95,23 +123,48 @@ class GrowingFilesReader(DataSourceStreamReader):
         out = {}
         for p in sorted(glob.glob(self.pattern)):
             try:
+                identity = _identity(p)
                 end = _lines_end(p, os.path.getsize(p))
-                out[p] = [end, min(end, HEAD), _head(p, min(end, HEAD))]
+                head = _head(p, min(end, HEAD))
             except FileNotFoundError:
                 continue
+            if identity is not None and identity == _identity(p):   # else it was renamed meanwhile: in the next offset
+                out[p] = [end, min(end, HEAD), head, identity]
         return out
 
     def partitions(self, start: dict, end: dict):
+        before = {v[3]: (p, v) for p, v in start.items() if len(v) > 3}
+        now = {v[3] for v in end.values() if len(v) > 3}
+        wanted = []
+        for p, (e, _, _, *identity) in sorted(end.items()):
+            known = before.get(identity[0]) if identity else None
+            known = known[1] if known else start.get(p) if len(start.get(p, [0] * 4)) == 3 else None
+            wanted.append((p, identity[0] if identity else None, known, e))
+        for identity, (p, v) in sorted(before.items()):
+            if identity not in now:                                  # rotated away: to its end
+                at = _where(p, identity)
+                if at is None:
+                    log.warning("%s is gone, read up to byte %d", p, v[0])
+                else:
+                    wanted.append((p, identity, v, _lines_end(at, os.path.getsize(at))))
         parts = []
-        for p, (e, _, _) in sorted(end.items()):
-            s, length, sign = start.get(p, [0, 0, ""])
-            if s and (e < s or _head(p, length) != sign):   # rewritten since
+        for p, identity, known, e in wanted:
+            s, length, sign = known[:3] if known else (0, 0, "")
+            at = _where(p, identity)
+            if at is None:
+                log.warning("%s is gone before it was read", p)
+                continue
+            if s and (e < s or _head(at, length) != sign):           # rewritten since
                 s = 0
-            parts += [_Range(p, at, min(e, at + self.split), at == s) for at in range(s, e, self.split)]
+            parts += [_Range(p, identity, b, min(e, b + self.split), b == s) for b in range(s, e, self.split)]
         return parts
 
     def read(self, partition: _Range):
-        for pos, raw in lines_between(partition.path, partition.start, partition.end, partition.whole_line):
+        at = _where(partition.path, partition.identity)
+        if at is None:
+            log.warning("%s is gone before it was read", partition.path)
+            return
+        for pos, raw in lines_between(at, partition.start, partition.end, partition.whole_line):
             yield (partition.path, pos, raw.decode("utf-8", "ignore"))
 
     def commit(self, end: dict) -> None:
