@@ -54,3 +54,27 @@ def test_text_helpers(spark):
     assert r[3] == "x" * 98 + " … " and r[4] == "y" * 79 + "…"
     assert r[5] == "https://h:8088" and r[6] == "/tmp/out.json" and r[7] == "/var/x.json"
     assert r[8] == "a b"
+
+
+def test_envelopes_and_ascii(spark):
+    """As a plain model of the merge and of json.dumps."""
+    import json
+    from tidelog.functions import jsonv
+    events = ['{"event": "e", "host": "mine", "zz": 1, "aa": {"x": [null, "ü"]}}', '{"event": {"a": 1}, "time": 5, "fields": {"q": "1"}, "index": null}', '{"a": 1}', '"text"', "[1]",
+              '{"event": null, "k\\"q": "𝄞"}', '{"event": "only"}', None, '{"\u00e9": "\u007f\u0080\uffff"}']
+    base = {"index": "i", "sourcetype": "s", "source": "src", "host": "h", "fields": {"f": "\u00fc"}, "time": 7}
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(events)], "i int, e string").withColumn("j", jsonv.strict_parse_json(F.col("e")))
+
+    def encoded(ascii):
+        return encode_payload(F.lit("i"), F.lit("s"), F.lit("src"), F.lit("h"), F.create_map(F.lit("f"), F.lit("\u00fc")), F.lit(7), event_text=F.lit("line"),
+                              event_json=F.col("j"), ascii=ascii)
+
+    for r in df.select("i", encoded(False).alias("p"), encoded(True).alias("a")).collect():
+        e = json.loads(events[r["i"]]) if events[r["i"]] else "line"
+        want = dict(base)
+        if isinstance(e, dict) and "event" in e:
+            want |= {k: v for k, v in sorted(e.items()) if k != "event"}
+            e = e["event"]
+        want["event"] = e
+        assert r["p"] == json.dumps(want, separators=(",", ":"), ensure_ascii=False)
+        assert r["a"] == json.dumps(want, separators=(",", ":"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mask_keep_last4, mask_secret, normalise_collector_url, normalise_file_target, preview
 from ..functions.timefmt import timestamp_to_wire
-from ..operators.payload import encode_payload
+from ..operators.payload import encode_payload, json_string
 from ..operators.routes import overlay_defaults, route_events, routes_frame
 from .registry import query
 from .tables import events_ts_utc, table
@@ -104,26 +104,45 @@ def endpoints(spark, sf_dir):
                     normalise_file_target(target, "/var/spool/tidelog/").alias("file_target"))
 
 
-@query("payloads", "O60 O50 O25", oracle=f"""
+@query("payloads", "O60 O50 O25 O73", oracle=f"""
 WITH r AS ({ROUTES_SQL}),
 e AS (
   SELECT e.event_id, e.user_id, e.event_type,
          (epoch_us(e.ts) // 1000000)::VARCHAR || CASE WHEN e.event_id % 4 = 0 THEN '' ELSE '.' || lpad((e.event_id % 1000)::VARCHAR, 3, '0') || '000' END AS secs,
-         'type=' || e.event_type || ' value=' || CAST(e.value AS VARCHAR) || ' note=é"\\' AS line,
+         'type=' || e.event_type || ' value=' || CAST(e.value AS VARCHAR) || ' note=é"\\ 𝄞' AS line,
          r."index" AS idx, r.sourcetype
   FROM events e JOIN r ON e.event_type = r.source),
-p AS (SELECT event_id, rtrim(json_object('index', idx, 'sourcetype', sourcetype, 'source', 'user-' || user_id, 'host', 'ingest-1',
-                   'fields', json_object('kind', event_type))::VARCHAR, '}}') || '}},"time":' || secs || ',"event":' || to_json(line)::VARCHAR || '}}' AS payload
-      FROM e)
-SELECT event_id, payload, CAST(strlen(payload) AS BIGINT) AS payload_bytes FROM p
+p AS (SELECT event_id, rtrim(json_object('index', idx, 'sourcetype', CASE WHEN event_id % 6 = 0 THEN NULL ELSE sourcetype END, 'source', 'user-' || user_id,
+                   'host', CASE WHEN event_id % 3 = 0 THEN 'edge-' || user_id % 5 ELSE 'ingest-1' END, 'fields', json_object('kind', event_type))::VARCHAR, '}}')
+             || '}},"time":' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE secs END
+             || CASE WHEN event_id % 3 = 0 THEN ',"k' || user_id % 7 || '":[' || user_id || ',null],"ä":{{"b":"ö"}}' ELSE '' END
+             || ',"event":' || CASE WHEN event_id % 3 = 1 THEN '{{"id":' || event_id || '}}' ELSE to_json(line)::VARCHAR END || '}}' AS payload
+      FROM e),
+a AS (SELECT *, array_to_string(list_transform(regexp_extract_all(payload, '(?s).'), lambda c: CASE WHEN unicode(c) < 127 THEN c
+          WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c))
+          ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END), '') AS payload_ascii FROM p)
+SELECT event_id, payload, payload_ascii, CAST(strlen(payload) AS BIGINT) AS payload_bytes, CAST(strlen(payload_ascii) AS BIGINT) AS ascii_bytes FROM a
 """)
 def payloads(spark, sf_dir):
+    """A third of the events are lines, a third objects, a third envelopes: they have their own host, time, now and then no sourcetype, and
+    members whose names come from the data."""
     df = _routed_events(spark, sf_dir)
     line = F.concat(F.lit("type="), F.col("source"), F.lit(" value="), F.col("value").cast("string"),
-                    F.lit(' note=é"\\'))
+                    F.lit(' note=é"\\ 𝄞'))
     fields = F.create_map(F.lit("kind"), F.col("source"))
     fraction = F.when(F.col("event_id") % 4 == 0, 0).otherwise((F.col("event_id") % 1000) * 1000)  # three in four have a fraction
     wire = timestamp_to_wire(F.timestamp_micros(F.unix_seconds("ts") * 1_000_000 + fraction))
-    p = encode_payload(F.col("index"), F.col("sourcetype"), F.concat(F.lit("user-"), F.col("user_id").cast("string")),
-                       F.col("host"), fields, wire, event_text=line)
-    return df.select("event_id", p.alias("payload"), F.octet_length(p).cast("bigint").alias("payload_bytes"))
+    number = F.col("event_id").cast("string")
+    given = F.concat(F.lit('{"ä": {"b": "ö"}, "time": '), number, F.lit(', "host": "edge-'), (F.col("user_id") % 5).cast("string"), F.lit('", "k'),
+                     (F.col("user_id") % 7).cast("string"), F.lit('": ['), F.col("user_id").cast("string"), F.lit(", null], "),
+                     F.when(F.col("event_id") % 6 == 0, '"sourcetype": null, ').otherwise(""), F.lit('"event": '), json_string(F.col("line")), F.lit("}"))
+    text = F.when(F.col("event_id") % 3 == 0, given).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"id": '), number, F.lit("}")))
+    df = df.withColumn("line", line).withColumn("wire", wire)
+    df = df.withColumn("event_json", F.parse_json(text))
+
+    def encoded(ascii: bool):
+        return encode_payload(F.col("index"), F.col("sourcetype"), F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.col("host"), fields,
+                              F.col("wire"), event_text=F.col("line"), event_json=F.col("event_json"), ascii=ascii)
+
+    df = df.select("event_id", encoded(False).alias("payload"), encoded(True).alias("payload_ascii"))
+    return df.select("*", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.octet_length("payload_ascii").cast("bigint").alias("ascii_bytes"))
