@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.delivery import backoff, deliver, is_transient, outcome, settle
+from ..operators.delivery import backoff, is_transient, outcome, settle
 from ..operators.packing import assemble_batches, flush_stats, pack_batches, single_event_batches
 from ..operators.throttle import message_tag, throttle
 from .registry import query
@@ -66,25 +66,26 @@ def single_event(spark, sf_dir):
     return single_event_batches(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "role", "items", "bytes")
 
 
-def fake_collector(endpoint, token, body):
-    """Stand-in collector used by the repeatable delivery query: refuses
-    (HTTP 503) batches of 3,900 bytes or more, accepts the rest."""
-    n = len(body.encode("utf-8"))
-    return (503, '{"text":"Server is busy","code":9}') if n >= 3900 else (200, '{"text":"Success","code":0}')
+# Recorded answers of one flush: none for the batch with this number in its group, 503 for one of 3,900 bytes or more after it.
+NO_ANSWER, BUSY_BYTES = 11, 3900
 
 
-@query("deliver", "O64 O65 O66 O68", oracle=PACK_CTE + """,
-b AS (SELECT role, batch_no, CAST(sum(sz) + count(*) - 1 AS BIGINT) AS bytes FROM packed GROUP BY role, batch_no)
-SELECT role, batch_no, bytes,
-       CASE WHEN bytes >= 3900 THEN 503 ELSE 200 END AS status,
-       CASE WHEN bytes >= 3900 THEN 'server_error' ELSE 'ok' END AS outcome
-FROM b
+@query("deliver", "O61 O65 O66 O67 O68", oracle=PACK_CTE + f""",
+b AS (SELECT role, batch_no, CAST(sum(sz) + count(*) - 1 AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS items FROM packed GROUP BY role, batch_no),
+s AS (SELECT *, CASE WHEN batch_no = {NO_ANSWER} THEN NULL WHEN bytes >= {BUSY_BYTES} AND batch_no > 2 THEN 503 WHEN batch_no % 2 = 1 THEN 400 ELSE 200 END AS status FROM b),
+o AS (SELECT *, CASE WHEN status IS NULL THEN 'connection_error' WHEN status = 503 THEN 'server_error' ELSE 'ok' END AS outcome FROM s),
+f AS (SELECT role, min(batch_no) AS at FROM o WHERE outcome <> 'ok' GROUP BY role)
+SELECT o.role, batch_no, bytes, items, status, outcome,
+       CASE WHEN f.at IS NULL OR batch_no < f.at THEN 'sent' WHEN batch_no = f.at THEN 'failed' ELSE 'queued' END AS state
+FROM o LEFT JOIN f ON o.role IS NOT DISTINCT FROM f.role
 """)
 def deliver_q(spark, sf_dir):
+    """A flush of the packed batches by their recorded answers: which of each group are sent, which one fails, which wait."""
     b = assemble_batches(_packed(spark, sf_dir), ["role"], ["conv_id", "turn"], "text", sep=" ")
-    b = b.withColumn("endpoint", F.lit("https://collector-a.example:8088")).withColumn("token", F.lit("tok-a-1234"))
-    d = deliver(b, fake_collector)
-    return d.select("role", "batch_no", "bytes", "status", "outcome")
+    n = F.col("batch_no")
+    status = (F.when(n == NO_ANSWER, F.lit(None).cast("int")).when((F.col("bytes") >= BUSY_BYTES) & (n > 2), 503).when(n % 2 == 1, 400).otherwise(200))
+    done = settle(b.select("role", "batch_no", "bytes", "items", status.alias("status")), ["role"], ["batch_no"])
+    return done.select("role", "batch_no", "bytes", "items", "status", outcome(F.col("status")).alias("outcome"), "state")
 
 
 @query("outcomes", "O66", oracle="""
