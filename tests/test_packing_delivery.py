@@ -105,6 +105,20 @@ def test_failed_batches_come_first_in_the_next_step(spark, tmpdir_path):
     assert step(2, [], set()) == {"s": [], "t": ["c", "d"]}
     assert step(3, [], set()) == {"s": [], "t": []}
 
+    # what failed last is sent again without new input, and isn't sent twice
+    def resend(down):
+        open(seen, "w").close()
+        left = CollectorSink(collector(down), tmpdir_path + "/retry", ["batch_no"]).resend(spark)
+        return left, [x.split()[1] for x in open(seen)]
+
+    assert resend(set()) == (0, [])
+    assert step(4, [("e", "t", 0, "f"), ("e", "t", 1, "g"), ("e", "t", 2, "h")], {"g"})["t"] == ["f", "g"]
+    assert resend({"h"}) == (1, ["g", "h"])
+    assert resend({"h"}) == (1, ["h"])
+    assert step(5, [("e", "t", 0, "i")], {"i"})["t"] == ["h", "i"]
+    assert resend(set()) == (0, ["i"])
+    assert resend(set()) == (0, []) and step(6, [], set())["t"] == []
+
 
 def test_backoff_against_spec(spark):
     rng = random.Random(2)
