@@ -211,3 +211,36 @@ def test_null_group_is_not_the_group_named_none(spark):
 
     got = ordered_scan(df, ["g"], ["i"], [T.StructField("n", T.LongType())], count, lambda: 0, partitions=1).collect()
     assert sorted((str(type(r["g"])), r["g"] or "", r["i"], r["n"]) for r in got) == sorted((str(type(g)), g or "", i, i + 1) for g, i in rows)
+
+
+def test_throttle_of_many_small_tags_and_hot_ones(spark):
+    """Equal to the sequential rule over tags cut by partitions and batches; rows are dealt once and joined by no shuffle."""
+    import numpy as np
+    import pandas as pd
+
+    from tidelog.operators.throttle import edge_runs, throttle, throttle_sequential
+    rng = np.random.default_rng(5)
+    rows = [(i, None if tag % 7 == 0 else "hot" if tag < 300 else f"t{tag}", None if i % 41 == 0 else float(at), bool(bad))
+            for i, (tag, at, bad) in enumerate(zip(rng.integers(0, 900, 4000), rng.integers(0, 3000, 4000), rng.random(4000) < 0.2))]
+    df = spark.createDataFrame(rows, "id long, tag string, at double, bad boolean")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for limit in (1, 40, 5000):
+            out = throttle(df, "tag", "at", limit, order_cols=["id"], failed_col="bad", partitions=7)
+            plan = out._jdf.queryExecution().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            got = {r["id"]: r["kept"] for r in out.collect()}
+            want = {i: None for i, _, at, _ in rows if at is None}
+            for tag in {r[1] for r in rows}:
+                mine = sorted((at, i, bad) for i, t, at, bad in rows if t == tag and at is not None)
+                kept = throttle_sequential([m[0] for m in mine], limit, [m[2] for m in mine])
+                want |= {i: bool(k) for (_, i, _), k in zip(mine, kept)}
+            assert got == want, limit
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    made = pd.DataFrame({"g": [None, None, "a", "b", "b", "b"], "t": range(6), "f": [False] * 6})
+    for cuts in ([], [1], [2], [3], [4], [5], [1, 2, 3, 4, 5]):
+        parts = [made.iloc[a:b] for a, b in zip([0] + cuts, cuts + [6])]
+        assert [(g, t.tolist(), h) for g, t, _, h in edge_runs(parts, "g", "t", "f")] == [(None, [0, 1], True), ("b", [3, 4, 5], False)]
+        assert [(t.tolist(), h) for _, t, _, h in edge_runs([x.assign(g="x") for x in parts], "g", "t", "f")] == [([0, 1, 2, 3, 4, 5], True)]

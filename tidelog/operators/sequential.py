@@ -33,7 +33,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
         for pdf in batches:
             if pdf.empty:
                 continue
-            starts_idx = _run_starts(pdf, group_cols)
+            starts_idx = run_starts(pdf, group_cols)
             idx = [int(i) for i in starts_idx] + [None]
             heads = pdf[group_cols].iloc[starts_idx]
             keys = [tuple(None if null else v for v, null in zip(*row)) for row in
@@ -54,7 +54,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ou
     return d.mapInPandas(run, schema)
 
 
-def _run_starts(pdf: pd.DataFrame, key_cols: list[str]) -> np.ndarray:
+def run_starts(pdf: pd.DataFrame, key_cols: list[str]) -> np.ndarray:
     """Positions where the key differs from the row before (vectorised); NULLs are equal."""
     n = len(pdf)
     change = np.zeros(n, dtype=bool)
@@ -75,10 +75,10 @@ def key_segments(batches: Iterator[pd.DataFrame], key_cols: list[str]) -> Iterat
     for pdf in batches:
         if pdf.empty:
             continue
-        bounds = list(_run_starts(pdf, key_cols)) + [len(pdf)]
+        bounds = list(run_starts(pdf, key_cols)) + [len(pdf)]
         if held:
             ends = pd.concat([held[-1][key_cols].iloc[-1:], pdf[key_cols].iloc[:1]])
-            if len(_run_starts(ends, key_cols)) > 1:
+            if len(run_starts(ends, key_cols)) > 1:
                 yield pd.concat(held, ignore_index=True)
                 held = []
         for a, b in zip(bounds, bounds[1:]):

@@ -7,20 +7,19 @@ does not start the clock.
 The rule is greedy, and one tag may hold a third of all rows, so it runs
 exactly and in parallel in three steps (as the packing does):
 
-1. **Chunks.** ``repartitionByRange(tag, time)`` cuts every tag, a hot one
-   into many, into bounded runs; a chunk is (tag, range partition).  The
-   chunked input is checkpointed (reliably, lazily) so both passes below see
-   the same chunks.
-2. **Chunk scan** (per chunk).  From a successful kept event ``i`` the next
-   one is found by binary search, so the clock at the chunk end is known for
-   every start (a reverse pass).  An entering clock ``L`` is older than the
-   chunk's first time ``t0``, so the first kept event of the chunk is one of
-   the events before ``t0 + limit`` (or the one after): the chunk reports only
-   those candidates with their end clocks.
-3. **Walk and assign.**  Per tag, a walk over the small chunk reports fixes
-   the entering clock of each chunk; joined back on (tag, chunk), a second
-   pass marks the kept events.  Every pass is one ``mapInPandas`` per
-   partition over sorted key runs: chunks are many and small.  Equal to the sequential rule (tested against it).
+1. **Chunks.** ``repartitionByRange(tag, time)`` cuts the rows into bounded, sorted
+   range partitions; a hot tag runs over many.  The input dealt so is checkpointed
+   (reliably, lazily), so both passes below see the same partitions.
+2. **Edge reports.**  All tags but the first and the last of a partition lie in it whole
+   and need no other.  For the last, the clock at the partition's end is reported.  For
+   the first, an entering clock ``L`` is older than its first time ``t0``, so its first
+   kept event is one of those before ``t0 + limit`` (or the one after): the report
+   has those candidates with their end clocks (from a successful kept event ``i``
+   the next one is found by binary search, in a reverse pass).
+3. **Walk and scan.**  Per tag, a walk over its reports fixes the clock that enters each
+   partition, one value a partition; with it each partition is scanned once in order.
+   Both passes go over Arrow batches of many tags (no call, frame or copy per
+   tag).  Equal to the sequential rule (tested against it).
 
 ``throttle_scan`` keeps the single ordered scan (``sequential.ordered_scan``)
 for comparison.
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .sequential import join_null_safe, key_segments, ordered_scan
+from .sequential import key_segments, ordered_scan, run_starts
 
 _T = "__tl_thr_t"
 
@@ -109,17 +108,15 @@ def chunk_tables(t: np.ndarray, failed: np.ndarray, limit: int):
     """Per chunk (times sorted): next successful index from each position,
     and the end clock for a successful kept event at each position."""
     n = len(t)
-    nextok = np.full(n + 1, n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        nextok[i] = i if not failed[i] else nextok[i + 1]
     jump = np.searchsorted(t, t + limit, side="left")   # first index with t >= t_i + limit
     jump = np.maximum(jump, np.arange(n) + 1)
-    end = np.empty(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        j = jump[i]
-        k = nextok[j] if j < n else n
-        end[i] = t[i] if k >= n else end[k]
-    return nextok, jump, end
+    nextok, end = [n] * (n + 1), [0] * n
+    for i, bad in zip(range(n - 1, -1, -1), failed[::-1].tolist()):
+        nextok[i] = nextok[i + 1] if bad else i
+    for i, j, at in zip(range(n - 1, -1, -1), jump[::-1].tolist(), t[::-1].tolist()):
+        k = nextok[j]
+        end[i] = at if k >= n else end[k]
+    return np.array(nextok, dtype=np.int64), jump, np.array(end, dtype=np.int64)
 
 
 def chunk_report(t: np.ndarray, failed: np.ndarray, limit: int):
@@ -165,6 +162,53 @@ def mark_kept(t: np.ndarray, failed: np.ndarray, start: int, limit: int) -> np.n
     return kept
 
 
+def scan_kept(first: list[bool], t: list[int], failed: list[bool], limit: int, clock: int) -> tuple[list[bool], int]:
+    """Kept flags of sorted rows of many tags, ``first`` where a tag begins, and the clock after them; ``clock``
+    is the one that enters the first row, if that one goes on with a tag."""
+    kept = []
+    for new, at, bad in zip(first, t, failed):
+        if new:
+            clock = _NONE
+        ok = clock == _NONE or at - clock >= limit
+        kept.append(ok)
+        if ok and not bad:
+            clock = at
+    return kept, clock
+
+
+def edge_runs(batches, tag_col: str, time_col: str, failed_col: str):
+    """The first and the last tag of sorted rows: ``(tag, times, failed, is the first)``, or the one where there is one tag."""
+    held: list[pd.DataFrame] = []          # pieces of the tag that the rows so far end with
+    is_first = True
+
+    def run(pieces):
+        seg = pd.concat(pieces, ignore_index=True)
+        return seg[tag_col].iloc[0], seg[time_col].to_numpy(dtype=np.int64), seg[failed_col].to_numpy(dtype=bool), is_first
+
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        starts = run_starts(pdf, [tag_col]).tolist()
+        if held and _goes_on(held[-1], pdf, tag_col):
+            starts = starts[1:]
+            held.append(pdf.iloc[:starts[0]] if starts else pdf)
+        if not starts:
+            continue
+        if not held and len(starts) > 1:
+            held = [pdf.iloc[:starts[1]]]
+        if held and is_first:
+            yield run(held)
+            is_first = False
+        held = [pdf.iloc[starts[-1]:]]
+    if held:
+        yield run(held)
+
+
+def _goes_on(before: pd.DataFrame, after: pd.DataFrame, tag_col: str) -> bool:
+    """Whether the first row of ``after`` has the tag of the last row of ``before``."""
+    return len(run_starts(pd.concat([before[[tag_col]].iloc[-1:], after[[tag_col]].iloc[:1]]), [tag_col])) == 1
+
+
 def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, order_cols: list[str] | None = None,
              failed_col: str | None = None, tag_col: str = "tag", partitions: int | None = None) -> DataFrame:
     """Add ``kept BOOLEAN`` (see module doc).  ``time_col`` is a TIMESTAMP or
@@ -182,55 +226,67 @@ def throttle(df: DataFrame, tag: Column | str, time_col: str, limit: float, orde
     untimed = d.where(F.col(_T).isNull()).drop(_T, fcol).withColumn("kept", F.lit(None).cast("boolean"))
     d = d.where(F.col(_T).isNotNull())
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ch = "__tl_thr_c"
-    # The range bounds come from a sample; both passes must see the same chunks,
-    # so the chunked input is one RDD: a reliable (not local) lazy checkpoint in
+    ch, clock, head = "__tl_thr_c", "__tl_thr_k", "__tl_thr_h"
+    # The range bounds come from a sample; both passes must see the same partitions,
+    # so the input dealt by them is one RDD: a reliable (not local) lazy checkpoint in
     # the session's checkpoint directory, which also cuts the lineage.
     ensure_checkpoint_dir(df.sparkSession)
+    sort_cols = [ch, tag_col, _T] + order_cols
     d = d.repartitionByRange(parts, tag_col, _T, *order_cols).withColumn(ch, F.spark_partition_id()) \
-        .checkpoint(eager=False)
-    keys = [tag_col, ch]
-    sort_cols = [_T] + order_cols
-    # Chunks are many and small: every pass is one mapInPandas per partition
-    # walking sorted key runs (key_segments), not a Python call per group.
-    d = d.sortWithinPartitions(*keys, *sort_cols)
-
-    rep_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
+        .sortWithinPartitions(*sort_cols).checkpoint(eager=False)
+
+    rep_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()), T.StructField(head, T.BooleanType()),
                                T.StructField("cand_t", T.ArrayType(T.LongType())),
                                T.StructField("exits", T.ArrayType(T.LongType()))])
 
     def report(it):
+        at = []
+
+        def noted():
+            for pdf in it:
+                at[:] = at or pdf[ch].iloc[:1].tolist()
+                yield pdf
+
         rows = []
-        for seg in key_segments(it, keys):
-            cand_t, exits = chunk_report(seg[_T].to_numpy(dtype=np.int64), seg[fcol].to_numpy(dtype=bool), lim)
-            rows.append((seg[tag_col].iloc[0], int(seg[ch].iloc[0]), cand_t, exits))
+        for tg, t, failed, is_first in edge_runs(noted(), tag_col, _T, fcol):
+            cand_t, exits = chunk_report(t, failed, lim)
+            rows.append((tg, at[0], is_first, cand_t, exits) if is_first else (tg, at[0], False, [], exits[:1]))
         if rows:
             yield pd.DataFrame(rows, columns=rep_schema.names)
 
-    reports = d.select(*keys, _T, fcol).mapInPandas(report, rep_schema)
-    entry_schema = T.StructType([d.schema[tag_col], T.StructField(ch, T.IntegerType()),
-                                 T.StructField("start", T.LongType())])
+    reports = d.select(tag_col, ch, _T, fcol).sortWithinPartitions(ch, tag_col, _T).mapInPandas(report, rep_schema)
+    entry_schema = T.StructType([T.StructField(ch, T.IntegerType()), T.StructField(clock, T.LongType())])
 
     def walk(it):
         rows = []
         for seg in key_segments(it, [tag_col]):
             res = walk_reports(zip(seg["cand_t"], seg["exits"]), lim)
-            rows.extend((tg, c, r[0]) for tg, c, r in zip(seg[tag_col], seg[ch], res))
+            rows.extend((c, r[1]) for c, h, r in zip(seg[ch], seg[head], res) if h and r[1] != _NONE)
         if rows:
             yield pd.DataFrame(rows, columns=entry_schema.names)
 
+    # One clock a partition at most: small enough for every task to have all of them.
     entries = reports.repartition(parts, tag_col).sortWithinPartitions(tag_col, ch) \
         .mapInPandas(walk, entry_schema)
     out_schema = T.StructType([f for f in d.schema.fields if f.name not in (_T, fcol, ch)]
                               + [T.StructField("kept", T.BooleanType())])
     names = out_schema.names
 
-    def assign(it):
-        for seg in key_segments(it, keys):
-            seg = seg.copy()
-            seg["kept"] = mark_kept(seg[_T].to_numpy(dtype=np.int64), seg[fcol].to_numpy(dtype=bool),
-                                    int(seg["start"].iloc[0]), lim)
-            yield seg[names]
-
-    joined = join_null_safe(d, entries, keys).sortWithinPartitions(*keys, *sort_cols)
-    return joined.mapInPandas(assign, out_schema).unionByName(untimed)
+    def scan(it):
+        last, now = None, _NONE
+        for pdf in it:
+            if pdf.empty:
+                continue
+            first = np.zeros(len(pdf), dtype=bool)
+            first[run_starts(pdf, [tag_col])] = True
+            if last is None:                 # the partition's first tag may have begun before it
+                first[0], now = False, pdf[clock].iloc[0]
+                now = _NONE if pd.isna(now) else int(now)
+            else:
+                first[0] = not _goes_on(last, pdf, tag_col)
+            kept, now = scan_kept(first.tolist(), pdf[_T].tolist(), pdf[fcol].tolist(), lim, now)
+            last = pdf[[tag_col]].iloc[-1:]
+            yield pdf.assign(kept=kept)[names]
+
+    entered = d.join(F.broadcast(entries), ch, "left").sortWithinPartitions(*sort_cols)
+    return entered.mapInPandas(scan, out_schema).unionByName(untimed)
