@@ -20,9 +20,10 @@ Semantics kept from the reference:
   tried; one whose input is missing is retried after the others, in passes,
   until a pass adds nothing.
 
-Each step is one narrow projection: an ``rlike`` guard, then a
+Each step is one narrow projection: a guard, then a
 ``regexp_extract`` per group under that guard, so the regex runs on the JVM in
-whole-stage codegen and nothing is shuffled.  Patterns with optional groups go
+whole-stage codegen and nothing is shuffled.  A group that is never absent and never empty is
+the guard (the pattern runs once for both), else it is an ``rlike``.  Patterns with optional groups go
 through a pandas UDF running Python's ``re`` (Arrow batches), because Java's
 ``regexp_extract`` cannot tell an absent group from an empty one.
 """
@@ -116,11 +117,19 @@ def _apply_step(df: DataFrame, spec: PatternSpec, st: _State, text_col, json_col
         drop = [r_name]
     else:
         df = df.select(*others, inp.alias(inp_name))
-        matched = F.coalesce(gate & F.col(inp_name).rlike(spec.java), F.lit(False))
-        df = df.select(*others, F.col(inp_name), matched.alias(m_name))
         vals = {k: F.regexp_extract(F.col(inp_name), spec.java, gi) for k, gi in zip(spec.keys, spec.group_index)}
         vals = {k: F.nullif(v, F.lit("")) if spec.null_if_empty(gi) else v for (k, v), gi in zip(vals.items(), spec.group_index)}
-        drop = []
+        told = spec.telling_key
+        if told is None:
+            matched = F.coalesce(gate & F.col(inp_name).rlike(spec.java), F.lit(False))
+            df = df.select(*others, F.col(inp_name), matched.alias(m_name))
+            drop = []
+        else:
+            r_name = f"{_H}r"
+            df = df.select(*others, F.col(inp_name), F.when(gate, vals[told]).alias(r_name))
+            df = df.select(*others, F.col(inp_name), F.col(r_name), F.coalesce(F.col(r_name) != "", F.lit(False)).alias(m_name))
+            vals[told] = F.col(r_name)
+            drop = [r_name]
     m = F.col(m_name)
     new_cols = {}
     for k in spec.keys:

@@ -184,7 +184,7 @@ SELECT doc_id, CASE WHEN m1 THEN f.word END AS word, CASE WHEN m1 THEN f.gap END
 """)
 def unicode_classes(spark, sf_dir):
     """Document texts with combining accents, file separators, undertie marks, a next-line mark and a superscript."""
-    line = F.translate(F.replace(F.replace("text", F.lit("a"), F.lit("a\u0301")), F.lit(" t"), F.lit("\x1ct")), "n", "\u203f")
+    line = F.replace(F.replace(F.replace("text", F.lit("a"), F.lit("a\u0301")), F.lit(" t"), F.lit("\x1ct")), F.lit("n"), F.lit("\u203f"))
     line = F.concat(line, F.lit("\x85end\u200d\u00b2"))
     df = extract_fields(table(spark, sf_dir, "documents").select("doc_id", line.alias("event_text")), CLASS_PATTERNS)
     return df.select("doc_id", _f("word"), _f("gap"), _f("next"), _f("run"), _f("the"))
