@@ -282,3 +282,38 @@ def test_rows_that_come_after_later_ones(spark, tmpdir_path):
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_learnt_forms_equal_decoding(spark):
+    """Lines that a form matches, and those it must not, give what decoding gives."""
+    from tidelog.operators.packets import _ENCODE, _Regrouper
+
+    def line(ts='"1"', a='"x"', b='"y"', more=""):
+        return '{"timestamp": %s, "layers": {"ip": {"ip_ip_src": %s, "ip_ip_src": %s, "ip_opt_%%_ip_opt_%%": "p%%s", "text_ip": "t"}%s}}' % (ts, a, b, more)
+
+    lines = [line(), line(b='"z"'), line('"2"', '"q"', '"é{}[],:"'), line(b='"a\\"b"'), line(b='"\\u0041"'), line(b='"a\tb"'), line(b='"\\ud83d\\ude00"'),
+             line("2"), line('"#0"'), line("[1]"), line("null"), line(b="5"), line(b='["#1"]'), line(b='{"n": "v"}'), line(b='{"n": "w"}'), line(b='"#3"'),
+             line(more=', "x": {}'), line(more=', "x": "s"'), " " + line(b='"u"') + "\n", line() + "x", line()[:-1], "42", '{"index": {}}', None, "", line(b='"' + "k" * 300 + '"')]
+    one = _Regrouper(True)
+    for text in lines * 3:
+        assert one(text) == _Regrouper(True)(text), text
+    assert len(one.forms) > 0 and _ENCODE("é") == '"é"'
+    assert one.decoded(line(b='"only form"')) and one(line(b='"form"'))[1] == _Regrouper(True)(line(b='"form"'))[1]
+    calls, decoded = [], one.decoded
+    one.decoded = lambda text: calls.append(text) or decoded(text)
+    for k in range(50):
+        one(line(f'"{k}"', b=f'"v{k}"'))
+    assert not calls
+
+
+def test_valid_lines_stay_out_of_python(spark, tmpdir_path):
+    """Only the bytes of invalid lines are sent to Python."""
+    from tidelog.sources.text import read_command_output
+    p = os.path.join(tmpdir_path, "out.txt")
+    with open(p, "wb") as fh:
+        fh.write(b"good \xc3\xa9\r\nbad \xff\xc3!\n\xef\xbf\xbd\xfe\n\n")
+    df = read_command_output(spark, p)
+    assert sorted(r["event_text"] for r in df.collect()) == ["", "bad !", "good é\r", "�"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("_decode_ignore("):].split("\n")[0]
+    assert "CASE WHEN" in plan and "CASE WHEN" in sent or "_decode_ignore(pythonUDF" in sent or "_decode_ignore(_" in sent
