@@ -317,3 +317,12 @@ def test_valid_lines_stay_out_of_python(spark, tmpdir_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     sent = plan[plan.index("_decode_ignore("):].split("\n")[0]
     assert "CASE WHEN" in plan and "CASE WHEN" in sent or "_decode_ignore(pythonUDF" in sent or "_decode_ignore(_" in sent
+
+
+def test_keys_whose_first_word_stands_again(spark):
+    """The regex is only met by keys that hold their first word again; all are split as before."""
+    keys = ["a_a_b", "_x__x_r", "____r", "a_b_a_b_c", "tcp_tcp", "tcp_tcp_", "x_a_x_a", "ab_a_b", "__a", "a", "", "_", "é_é_z", "a_a_a_a_b"]
+    df = rewrite_keys(spark.createDataFrame([("a", k) for k in keys], "layer string, orig string"))
+    assert {(r["orig"], r["key"], r["dissector"], r["name"], r["split"]) for r in df.collect()} == \
+        {(k, *key_parts("a", k), key_parts("a", k)[2] is not None) for k in keys}
+    assert "instr(" in df._jdf.queryExecution().optimizedPlan().toString()
