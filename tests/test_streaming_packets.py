@@ -326,3 +326,47 @@ def test_keys_whose_first_word_stands_again(spark):
     assert {(r["orig"], r["key"], r["dissector"], r["name"], r["split"]) for r in df.collect()} == \
         {(k, *key_parts("a", k), key_parts("a", k)[2] is not None) for k in keys}
     assert "instr(" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_of_many_keys_over_restarts(spark, tmpdir_path):
+    """Carried times and clocks of many keys, NULL among them, over three drains equal one ordered walk; a
+    bucket of keys is one call, and a key without rows for long is forgotten while its neighbours stay."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidelog.operators.throttle import throttle_sequential
+    from tidelog.streaming import state
+    rng = random.Random(3)
+    rows = [(n, None if k == 7 else f"k{k}", str(n) if rng.random() < 0.3 else None, None if rng.random() < 0.1 else n * 1_000_000 + rng.randrange(10))
+            for n, k in ((n, rng.randrange(60)) for n in range(900))]
+    was, state.BUCKETS = state.BUCKETS, 5
+    try:
+        for k in range(3):
+            made = rows[k * 300:k * 300 + 300]
+            rng.shuffle(made)
+            spark.createDataFrame(made, "n long, k string, w string, us long").write.mode("append").parquet(tmpdir_path + "/in")
+            s = spark.readStream.schema("n long, k string, w string, us long").parquet(tmpdir_path + "/in")
+            c = s.select("k", "n", F.col("w").alias("time_wire"), F.timestamp_seconds(F.when(F.col("n") % 5 != 0, F.col("w").cast("long"))).alias("event_time"))
+            drain(write_parquet(state.stream_carry_time(c, "k", "n", timeout_ms=3_600_000), tmpdir_path + "/o1", tmpdir_path + "/c1"))
+            drain(write_parquet(state.stream_throttle(s, "k", "us", 50, ["n"]), tmpdir_path + "/o2", tmpdir_path + "/c2"))
+            short = state.stream_throttle(s.where(F.col("k").isNotNull()), "k", "us", 10 ** 6, ["n"], timeout_ms=1)
+            drain(write_parquet(short, tmpdir_path + "/o3", tmpdir_path + "/c3"))
+            time.sleep(0.1)
+    finally:
+        state.BUCKETS = was
+    carried = {r["n"]: (r["time_wire"], r["s"]) for r in spark.read.parquet(tmpdir_path + "/o1").select("n", "time_wire", F.unix_seconds("event_time").alias("s")).collect()}
+    kept = {r["n"]: r["kept"] for r in spark.read.parquet(tmpdir_path + "/o2").collect()}
+    assert len(carried) == len(kept) == 900
+    for k in {r[1] for r in rows}:
+        mine, w = sorted((r for r in rows if r[1] == k), key=lambda r: r[0]), None
+        for r in mine:
+            w = r[2] or w
+            assert carried[r[0]][0] == w
+            if r[2] and r[0] % 5:
+                assert carried[r[0]][1] == int(r[2])
+        timed = [r for r in mine if r[3] is not None]
+        assert [kept[r[0]] for r in timed] == throttle_sequential([r[3] for r in timed], 50_000_000)
+        assert all(kept[r[0]] is None for r in mine if r[3] is None)
+    short = [r for r in spark.read.parquet(tmpdir_path + "/o3").collect() if r["kept"]]
+    assert len(short) >= len({r["k"] for r in short}) > 50

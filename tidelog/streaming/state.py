@@ -1,11 +1,10 @@
 """Stateful streaming forms of O24 (carried time) and O71 (throttle).
 
-``applyInPandasWithState`` keyed by source (or tag): inside a micro-batch the
-rows of a key are sorted by their order key, the state holds the last parsed
-time (or the throttle clock) across batches and restarts (checkpoint).  As
-in the reference the state is kept for ever unless ``timeout`` is given
-(``GroupStateTimeout.ProcessingTimeTimeout``: a key idle that long is
-dropped).  A key's rows of one micro-batch are in one task: the trigger's input
+``applyInPandasWithState`` over ``BUCKETS`` buckets of sources (or tags), as there may be millions of them and a call
+for each costs far more than its rows: inside a micro-batch a bucket's rows are sorted by key and order, the
+bucket's state holds each key's last parsed time (or throttle clock) across batches and restarts (checkpoint).
+As in the reference the state is kept for ever unless ``timeout`` is given (``GroupStateTimeout.ProcessingTimeTimeout``:
+a key idle that long is dropped).  A bucket's rows of one micro-batch are in one task: the trigger's input
 bound (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bounds them.
 
 ``stream_carry_late`` is O24 where rows may come after later ones, also in another micro-batch.  It runs on
@@ -26,35 +25,94 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_carry_time(df: DataFrame, by: str = "source", order: str = "seq",
-                      timeout_ms: int | None = None) -> DataFrame:
-    """Streaming O24: ``time_wire`` / ``event_time`` of rows without a time take
-    the last one of their source, across micro-batches."""
-    schema = df.schema
-    names = [f.name for f in schema.fields]
-    state_schema = T.StructType([T.StructField("w", T.StringType()), T.StructField("t", T.TimestampType())])
+#: Groups that the keys of a stream are dealt to.
+BUCKETS = 1024
+_BUCKET, _KEY = "__tl_bucket", "__tl_key"
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+
+def _bucketed(df: DataFrame, by: str, held: list[T.StructField], schema: T.StructType, timeout_ms: int | None, fn) -> DataFrame:
+    """Run ``fn(rows, keys, values) -> (frames, new values)`` for each bucket of ``by`` and micro-batch.
+
+    ``_KEY`` of ``rows`` is the place of a row's key in ``keys``; ``values`` maps a key to what is held of it (one value
+    for each field of ``held``)."""
+    state_schema = T.StructType([T.StructField("keys", T.ArrayType(df.schema[by].dataType)), T.StructField("seen", T.ArrayType(T.LongType()))]
+                                + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in held])
+
+    def save(state: GroupState, values: dict, seen: dict) -> None:
+        if timeout_ms:
+            now = state.getCurrentProcessingTimeMs()
+            for key in [k for k, at in seen.items() if at + timeout_ms <= now]:
+                values.pop(key, None)
+                del seen[key]
+        if values:
+            state.update((list(values), [seen.get(k, 0) for k in values], *(list(column) for column in zip(*values.values()))))
+            if timeout_ms:
+                state.setTimeoutDuration(max(1, min(seen[k] for k in values) + timeout_ms - now))
+        elif state.exists:
             state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
-        has = pdf["time_wire"].notna()
-        pdf["event_time"] = pdf["event_time"].where(has).ffill()
-        pdf["time_wire"] = pdf["time_wire"].ffill()
+
+    def run(_, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        values, seen = {}, {}
         if state.exists:
-            last_w, last_t = state.get
-            before = has.cumsum() == 0
-            pdf.loc[before, "time_wire"] = last_w
-            pdf.loc[before, "event_time"] = pd.Timestamp(last_t)
-        if has.any():
-            state.update((pdf["time_wire"].iloc[-1], pdf["event_time"].iloc[-1].to_pydatetime()))
+            keys, times, *columns = state.get
+            values, seen = dict(zip(keys, zip(*columns))), dict(zip(keys, times))
+        if state.hasTimedOut:
+            save(state, values, seen)
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        codes, found = pd.factorize(pdf[by], use_na_sentinel=False)
+        pdf[_KEY] = codes
+        names = [None if pd.isna(k) else k.item() if hasattr(k, "item") else k for k in found]
+        frames, new = fn(pdf, names, values)
+        values |= new
         if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pdf[names]
+            now = state.getCurrentProcessingTimeMs()
+            seen |= dict.fromkeys(names, now)
+        save(state, values, seen)
+        for frame in frames:
+            yield frame[schema.names]
 
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return df.groupBy(by).applyInPandasWithState(fn, schema, state_schema, "append", mode)
+    return df.withColumn(_BUCKET, F.pmod(F.xxhash64(by), F.lit(BUCKETS))).groupBy(_BUCKET) \
+        .applyInPandasWithState(run, schema, state_schema, "append", mode)
+
+
+def _starts(codes: np.ndarray) -> np.ndarray:
+    """Where the rows of each key begin, of rows sorted by key."""
+    return np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[:len(codes)])
+
+
+def stream_carry_time(df: DataFrame, by: str = "source", order: str = "seq",
+                      timeout_ms: int | None = None) -> DataFrame:
+    """Streaming O24: ``time_wire`` / ``event_time`` of rows without a time take
+    the last one of their source, across micro-batches."""
+    held = [T.StructField("w", T.StringType()), T.StructField("t", T.LongType())]
+
+    def carry(pdf: pd.DataFrame, names: list, values: dict):
+        pdf = pdf.sort_values([_KEY, order], kind="stable").reset_index(drop=True)
+        codes = pdf[_KEY].to_numpy()
+        starts = _starts(codes)
+        begin, here = np.repeat(starts, np.diff([*starts, len(pdf)])), np.arange(len(pdf))
+        has = pdf["time_wire"].notna().to_numpy()
+        micros = pdf["event_time"].to_numpy(dtype="datetime64[us]")
+        wire = pdf["time_wire"].to_numpy(dtype=object)
+        from_w = np.maximum.accumulate(np.where(has, here, -1))
+        from_t = np.maximum.accumulate(np.where(has & ~np.isnat(micros), here, -1))
+        new_w = np.where(from_w >= begin, wire[from_w], None)
+        new_t = np.where(from_t >= begin, micros[from_t], np.datetime64("NaT", "us"))
+        ends, new = [*starts[1:], len(pdf)], {}
+        for a, b in zip(starts.tolist(), ends):
+            name = names[codes[a]]
+            last = values.get(name)
+            if last is not None:
+                until = a + int((from_w[a:b] < a).sum())     # rows before the first time of this batch
+                new_w[a:until] = last[0]
+                new_t[a:until] = np.datetime64("NaT" if last[1] is None else last[1], "us")
+            if from_w[b - 1] >= a:
+                new[name] = (new_w[b - 1], None if np.isnat(new_t[b - 1]) else int(new_t[b - 1].astype(np.int64)))
+        return [pdf.assign(time_wire=new_w, event_time=new_t)], new
+
+    return _bucketed(df, by, held, df.schema, timeout_ms, carry)
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -145,38 +203,25 @@ def stream_throttle(df: DataFrame, tag_col: str, micros_col: str, limit_s: float
     """Streaming O71: ``kept`` per row; the clock of each tag is the state.  A
     failed event sets no clock; one without a time gets ``kept`` NULL."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField("kept", T.BooleanType())])
-    names = [f.name for f in schema.fields]
-    state_schema = T.StructType([T.StructField("clock", T.LongType())])
     limit = int(round(limit_s * 1_000_000))
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([micros_col] + order, kind="stable")
-        clock = state.get[0] if state.exists else None
+    def keep(pdf: pd.DataFrame, names: list, values: dict):
         timed = pdf[micros_col].notna()
-        untimed, pdf = pdf[~timed], pdf[timed]
-        t = pdf[micros_col].to_numpy(dtype=np.int64)
-        failed = pdf[failed_col].fillna(False).to_numpy(dtype=bool) if failed_col else np.zeros(len(t), dtype=bool)
-        kept = np.zeros(len(t), dtype=bool)
-        i = 0
-        while i < len(t):
+        untimed, pdf = pdf[~timed], pdf[timed].sort_values([_KEY, micros_col] + order, kind="stable")
+        codes = pdf[_KEY].to_numpy()
+        t = pdf[micros_col].to_numpy(dtype=np.int64).tolist()
+        failed = pdf[failed_col].fillna(False).to_numpy(dtype=bool).tolist() if failed_col else [False] * len(t)
+        starts, kept, new = _starts(codes).tolist(), [], {}
+        for a, b in zip(starts, [*starts[1:], len(t)]):
+            name = names[codes[a]]
+            clock = values.get(name, (None,))[0]
+            for at, bad in zip(t[a:b], failed[a:b]):
+                ok = clock is None or at - clock >= limit
+                kept.append(ok)
+                if ok and not bad:
+                    clock = at
             if clock is not None:
-                i += int(np.searchsorted(t[i:], clock + limit, side="left"))
-                if i >= len(t):
-                    break
-            kept[i] = True
-            clock = clock if failed[i] else int(t[i])
-            i += 1
-        pdf = pdf.assign(kept=kept)
-        if clock is not None:
-            state.update((clock,))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pdf[names]
-        if len(untimed):
-            yield untimed.assign(kept=None)[names]
+                new[name] = (clock,)
+        return [pdf.assign(kept=kept)] + ([untimed.assign(kept=None)] if len(untimed) else []), new
 
-    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return df.groupBy(tag_col).applyInPandasWithState(fn, schema, state_schema, "append", mode)
+    return _bucketed(df, tag_col, [T.StructField("clock", T.LongType())], schema, timeout_ms, keep)
