@@ -101,6 +101,30 @@ def test_read_packets_from_capture_file(spark, tmpdir_path):
     assert got == [{"ip": {"src": "10.0.0.1", "text_ip": {"note": "x"}}, "timestamp": "1"}]
 
 
+def test_capture_files_are_compressed_and_bounded(spark, tmpdir_path, monkeypatch):
+    """What packet_files lands is a small part of its text, in files of bounded length, and all of it is read back."""
+    import glob
+    import gzip
+
+    from tidelog.plans import q_end
+    from tidelog.plans.q_packets import packet_lines, packet_nest
+    monkeypatch.setattr(q_end, "_scratch", lambda spark: tmpdir_path + "/scratch")
+    monkeypatch.setattr(q_end, "CAPTURE_LINES", 500, raising=False)
+    spark.range(0, 3000, 1, 2).selectExpr(
+        "id div 4 AS l_orderkey", "CAST(id % 4 + 1 AS int) AS l_linenumber", "id * 7919 % 20000 AS l_partkey", "id * 31 % 1000 AS l_suppkey",
+        "CAST(id % 50 + 1 AS double) AS l_quantity", "timestamp_seconds(800000000 + id * 86400 % 200000000) AS l_shipdate").write.parquet(tmpdir_path + "/lineitem.parquet")
+    spark.range(0, 750, 1, 1).selectExpr("id AS o_orderkey", "CASE WHEN id % 3 = 0 THEN 'P' ELSE 'O' END AS o_orderstatus",
+                                         "timestamp_seconds(800000000 + id * 86400) AS o_orderdate").write.parquet(tmpdir_path + "/orders.parquet")
+    text = [r["event_text"] for r in packet_lines(spark, tmpdir_path).collect()]
+    got = q_end.packet_files(spark, tmpdir_path)
+    files = glob.glob(tmpdir_path + "/scratch/in/part-*")
+    assert sum(os.path.getsize(f) for f in files) * 5 < sum(len(t.encode()) + 1 for t in text)
+    landed = [gzip.open(f, "rt", encoding="utf-8", newline="\n").read().split("\n")[:-1] for f in files]
+    assert max(map(len, landed)) == 500 and sorted(sum(landed, [])) == sorted(text)
+    events = sorted(r["event"] for r in packet_nest(spark, tmpdir_path).collect())
+    assert sorted(r["event"] for r in got.collect()) == events and len(events) == 3000
+
+
 def test_collector_sink_requeues(spark, tmpdir_path):
     from tidelog.sinks import CollectorSink, write_json_lines
     b = spark.createDataFrame([("e", "t", "ok-batch", "main"), ("e", "t", "bad-batch", "web")],
